@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, mixing, simhash
+from . import decontam, langid, linededup, maxent, mixing, neardup, quotes, simhash, suffixes, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_quotes": quotes.op2_quotes,
+    "op3_near_vectors": neardup.op3_near_vectors,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_langid": langid.op6_langid,
     "op7_simhash": simhash.op7_simhash,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_lm_score": maxent.op9_lm_score,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op1_line_dedup": linededup.ORACLE,
+    "op2_quotes": quotes.ORACLE,
+    "op3_near_vectors": neardup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
