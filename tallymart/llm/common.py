@@ -66,7 +66,8 @@ def word_count(c: Column) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table as (node, root), root being the smallest id of the component.
+    """Connected components of an undirected edge table as (node, root), root being the smallest id of the component; roots
+    themselves have no row.
 
     Alternates large-star and small-star steps: every step points a node's neighbours at its smallest neighbour. Each
     is an aggregate with map-side combining and a join that adaptive execution can split, so a hub with a third of
