@@ -1,2 +1,7 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the retail operators, with their SQL."""
+
+from .operators import catalogue, graph, history, pricing, quality, retrieval  # noqa: F401
+from .plans import baskets  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .sources import files  # noqa: F401
+from .streaming import alerts  # noqa: F401
