@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, table, written
 
-FREQUENT, SINGLES, SHARED, FEATURES, STEP, BATCH = 1 << 17, 48, 16, 1 << 14, 0.1, 8192
+FREQUENT, SINGLES, SHARED, FEATURES, STEP, BATCH, PIECE = 1 << 17, 48, 16, 1 << 14, 0.1, 8192, 1024
 END = b"\n"  # no token holds it
 KNOWN_WORDS = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,14 +50,23 @@ def tokens(text) -> list[bytes]:
     return out
 
 
-class Hashes(dict):
-    """Token to hash; forgets when it has grown large."""
+class Codes(dict):
+    """Token to a small number, in order of first sight; forgets all when it has grown large."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
 
     def __missing__(self, token):
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        h = self[token] = digest(token)
-        return h
+        code = self[token] = len(self.hashes)
+        self.hashes.append(digest(token))
+        return code
+
+    def forget_if_large(self) -> bool:
+        if len(self) <= KNOWN_WORDS:
+            return False
+        self.clear()
+        self.hashes.clear()
+        return True
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -83,32 +92,59 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def sequence(part, column: int, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a batch of documents in a row, and the number of tokens of each."""
-    words: list[bytes] = []
-    sizes = []
-    for text in part.column(column):
-        more = tokens(text)
-        sizes.append(len(more))
-        words += more
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64)
-
-
-def features_of(h: np.ndarray, sizes: np.ndarray, features: int) -> np.ndarray:
-    """(3, tokens): bigram, skip and pair features; before a document stand zeros."""
-    x = h.view(np.uint64)
-    one, two = np.zeros_like(x), np.zeros_like(x)
-    one[1:], two[2:] = x[:-1], x[:-2]
-    start = np.cumsum(sizes) - sizes
-    one[start], two[start] = 0, 0
-    second = start[sizes > 1] + 1
-    two[second] = 0
-    quarter = np.uint64(features // 4)
+class Reader:
+    """Turns batches of documents into arrays, one entry per token; what depends on a token alone is kept by its code."""
+
+    def __init__(self, model: Model):
+        self.model, self.codes = model, Codes()
+        self.clear()
+
+    def clear(self):
+        self.h = np.zeros(0, np.int64)
+        self.kind, self.often, self.log_count = self.model.look_up(self.h)
+
+    def __call__(self, column):
+        """codes, sizes (tokens by document) and features (3, tokens) of a column of texts."""
+        if self.codes.forget_if_large():
+            self.clear()
+        words: list[bytes] = []
+        sizes = []
+        for text in column:
+            more = tokens(text)
+            sizes.append(len(more))
+            words += more
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+        new = np.array(self.codes.hashes[len(self.h) :], np.int64)
+        if len(new):
+            self.h = np.concatenate((self.h, new))
+            more = self.model.look_up(new)
+            self.kind, self.often, self.log_count = (np.concatenate(x) for x in zip((self.kind, self.often, self.log_count), more))
+            self.parts = feature_parts(np.append(self.h, 0), self.model.features)
+        sizes = np.array(sizes, np.int64)
+        none = len(self.h)  # before a document stand zeros
+        one, two = np.full(len(code), none, np.int32), np.full(len(code), none, np.int32)
+        one[1:], two[2:] = code[:-1], code[:-2]
+        start = np.cumsum(sizes) - sizes
+        one[start], two[start] = none, none
+        two[start[sizes > 1] + 1] = none
+        return code, sizes, features_of(self.parts, one, two, self.model.features)
+
+
+def feature_parts(h: np.ndarray, features: int):
+    """By token: its bigram and skip features and its two shares of a pair feature."""
+    x, quarter = h.view(np.uint64), np.uint64(features // 4)
     with np.errstate(over="ignore"):
-        a = (one * MIX) >> np.uint64(33)
-        b = ((two + np.uint64(1)) * MIX) >> np.uint64(33)
-        c = ((one ^ (two * np.uint64(31) + np.uint64(7))) * MIX) >> np.uint64(31)
-    return np.stack((a % quarter, quarter + b % quarter, 2 * quarter + c % (2 * quarter))).astype(np.int64)
+        a = ((x * MIX) >> np.uint64(33)) % quarter
+        b = quarter + (((x + np.uint64(1)) * MIX) >> np.uint64(33)) % quarter
+        left, right = (x * MIX) >> np.uint64(31), ((x * np.uint64(31) + np.uint64(7)) * MIX) >> np.uint64(31)
+    return a.astype(np.uint16), b.astype(np.uint16), left.astype(np.uint32), right.astype(np.uint32)
+
+
+def features_of(parts, one: np.ndarray, two: np.ndarray, features: int) -> np.ndarray:
+    """(3, tokens): bigram, skip and pair features. features is a power of two of at most 65,536."""
+    a, b, left, right = parts
+    pair = (left[one] ^ right[two]) & np.uint32(features // 2 - 1)
+    return np.stack((a[one], b[two], (pair + np.uint32(features // 2)).astype(np.uint16)))
 
 
 class Model:
@@ -141,13 +177,39 @@ class Model:
         single = np.where(often, self.single[at], -1)
         return np.where(single >= 0, single, kind), often, np.where(often, np.log10(self.n[at] + 1.0), 0.0)
 
-    def class_logs(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        z = weights[f[0]]
-        z += weights[f[1]]
-        z += weights[f[2]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return z
+    def class_logs(self, f: np.ndarray, weights: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Log weights of the classes, the largest 0, into out: a stretch of rows at a time, so that it stays in the cache."""
+        more = np.empty((min(PIECE, f.shape[1]), self.classes), np.float32)
+        for at in range(0, f.shape[1], PIECE):
+            g = f[:, at : at + PIECE]
+            z, m = out[at : at + g.shape[1]], more[: g.shape[1]]
+            np.take(weights, g[0], axis=0, out=z, mode="clip")
+            for row in g[1:]:
+                np.take(weights, row, axis=0, out=m, mode="clip")
+                z += m
+            z += self.bias
+            z -= z.max(axis=1, keepdims=True)
+        return out[: f.shape[1]]
+
+
+def sums_by_id(ids: np.ndarray, p: np.ndarray, room: np.ndarray, few: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, how often each occurs, and the sum of its rows of p."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    rows = np.take(p, order, axis=0, out=room[: len(p)], mode="clip")
+    start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    n = np.diff(np.append(start, len(ids)))
+    most_first = np.argsort(-n, kind="stable")
+    start, n = start[most_first], n[most_first]
+    g = rows[start]
+    many = int(np.searchsorted(-n, -few, side="left"))  # of more than few
+    for i in range(many):
+        rows[start[i] : start[i] + n[i]].sum(axis=0, out=g[i])
+    for k in range(1, few):
+        upto = int(np.searchsorted(-n, -k, side="left"))  # of more than k
+        if upto > many:
+            g[many:upto] += rows[start[many:upto] + k]
+    return ids[start], n, g
 
 
 def train(texts: DataFrame, model: Model) -> np.ndarray:
@@ -156,27 +218,23 @@ def train(texts: DataFrame, model: Model) -> np.ndarray:
 
     def run(parts):
         weights = np.zeros((count, classes), np.float32)
-        squares = np.full((count, classes), 1e-2, np.float32)
+        squares = np.full(count, 1e-2 * classes, np.float32)
         seen = np.zeros(count, np.int64)
-        known = Hashes()
+        read, buffer, room = Reader(model), np.empty((BATCH, classes), np.float32), np.empty((BATCH, classes), np.float32)
         for part in parts:
-            h, sizes = sequence(part, 0, known)
-            f = features_of(h, sizes, count)
-            kind = model.look_up(h)[0]
-            for at in range(0, len(h), BATCH):
+            code, _, f = read(part.column(0))
+            kind = read.kind[code]
+            for at in range(0, len(code), BATCH):
                 g_f, k = f[:, at : at + BATCH], kind[at : at + BATCH]
-                p = model.class_logs(g_f, weights)
+                p = model.class_logs(g_f, weights, buffer)
                 np.exp(p, out=p)
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(k)), k] -= 1
                 for row in g_f:
-                    order = np.argsort(row, kind="stable")
-                    ids = row[order]
-                    new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-                    g = np.add.reduceat(p[order], new, axis=0)
-                    ids, n = ids[new], np.diff(np.append(new, len(order)))
-                    squares[ids] += g * g
-                    weights[ids] -= STEP * g / np.sqrt(squares[ids])
+                    ids, n, g = sums_by_id(row, p, room)
+                    squares[ids] += np.einsum("ij,ij->i", g, g)
+                    g *= (STEP / np.sqrt(squares[ids] / classes))[:, None]
+                    weights[ids] -= g
                     seen[ids] += n
         ids = np.flatnonzero(seen)
         for at in range(0, len(ids), 4096):
@@ -223,19 +281,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     floor = np.log10(model.total + model.vocabulary + 1.0)
 
     def run(parts):
-        known = Hashes()
+        read, buffer = Reader(model), np.empty((BATCH, model.classes), np.float32)
         pair = pa.struct([("h", pa.int64()), ("n", pa.int32())])
         for part in parts:
             if not part.num_rows:
                 continue
-            h, sizes = sequence(part, 2, known)
-            f = features_of(h, sizes, model.features)
-            k, often, log_count = model.look_up(h)
-            class_log = np.empty(len(h))
-            for at in range(0, len(h), BATCH):
-                z = model.class_logs(f[:, at : at + BATCH], model.weights)
+            code, sizes, f = read(part.column(2))
+            h, k, often, log_count = read.h[code], read.kind[code], read.often[code], read.log_count[code]
+            class_log = np.empty(len(code))
+            for at in range(0, len(code), BATCH):
+                z = model.class_logs(f[:, at : at + BATCH], model.weights, buffer)
                 own = z[np.arange(len(z)), k[at : at + BATCH]]
-                class_log[at : at + BATCH] = (own - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+                np.exp(z, out=z)
+                class_log[at : at + BATCH] = (own - np.log(z.sum(axis=1))) / np.log(10)
             start = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x, start)  # noqa: E731  every document has a token
             counted = total(log_count)

@@ -42,7 +42,8 @@ def test_probabilities_sum_to_one(spark):
     model, _ = maxent.fit(spark.createDataFrame(rows, SCHEMA), frequent=1000, singles=4, shared=4, features=256)
     known = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in (t or "").encode().lower().split()}
     before = np.array([maxent.digest(w) for w in (b"the", b"cat")] + [0], np.int64)
-    z = model.class_logs(maxent.features_of(before, np.array([3]), model.features)[:, 2:], model.weights)[0].astype(float)
+    f = maxent.features_of(maxent.feature_parts(before, model.features), np.array([1]), np.array([0]), model.features)
+    z = model.class_logs(f, model.weights, np.empty((1, model.classes), np.float32))[0].astype(float)
     p = np.exp(z) / np.exp(z).sum()
     kind, often, log_count = model.look_up(np.array([maxent.digest(w) for w in [*known, b"\n"]], np.int64))
     unknown = sum(p[c] / 10 ** model.log_mass[c] for c in range(model.singles, model.classes))
