@@ -4,7 +4,8 @@ Reading gives a row per chunk (record_id, chunk_no, data, ...): a payload of any
 ``chunk`` bytes, its SHA-1 carried along from piece to piece, and no record is held whole. Writing takes records from
 the partitions of a table, one archive or more a partition, and writes payloads piece by piece too.
 
-Archives are plain WARC/1.1. A payload equal to that of a page with a larger id is written as a revisit record
+Archives are WARC/1.1, each record a gzip member of its own, packed and unpacked a chunk at a time. A payload equal to
+that of a page with a larger id is written as a revisit record
 (identical-payload-digest): the HTTP header with the payload's length, and the digest, but no payload.
 
 Files are opened with pyarrow's file systems on the executors, in the folder that all share. Each attempt of a task
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -88,18 +90,20 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
         for part in parts:
             for page_id, url, payload, digest, kind, refers_to in zip(*(part.column(i) for i in range(6))):
                 if out is None:
-                    path, n, size = f"archives/{uuid.uuid4().hex}.warc", 0, 0
-                    out = fs.open_output_stream(f"{root}/{path}")
+                    path, n, size = f"archives/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = fs.open_output_stream(f"{root}/{path}", compression=None)
                 data = payload.as_buffer()
                 head, http = record_head(page_id.as_py(), url.as_py(), data.size, digest.as_py(), kind.as_py(), refers_to.as_py())
-                out.write(head)
-                out.write(http)
-                if kind.as_py() == "response":
-                    for at in range(0, data.size, CHUNK):
-                        out.write(data.slice(at, min(CHUNK, data.size - at)))
-                    size += data.size
-                out.write(b"\r\n\r\n")
-                n, size = n + 1, size + len(head) + len(http) + 4
+                body = range(0, data.size, CHUNK) if kind.as_py() == "response" else ()
+                member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                for piece in (head, http, *(slice(at, at + CHUNK) for at in body), b"\r\n\r\n", None):
+                    if piece is None:
+                        packed = member.flush()
+                    else:
+                        packed = member.compress(memoryview(data)[piece] if isinstance(piece, slice) else piece)
+                    out.write(packed)
+                    size += len(packed)
+                n += 1
                 if size >= archive_bytes:
                     out.close()
                     out = None
@@ -113,6 +117,29 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
     return written(records.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(run, INDEX), f"{folder}/index")
 
 
+class Unpacked:
+    """The bytes of gzip members in a row, read like a file."""
+
+    def __init__(self, stream, chunk: int = CHUNK):
+        self.stream, self.chunk, self.rest, self.member = stream, chunk, b"", None
+
+    def read(self, n: int) -> bytes:
+        while True:
+            data = self.rest or self.stream.read(self.chunk)
+            if self.member is None:
+                if not data:
+                    return b""
+                self.member = zlib.decompressobj(31)
+            out = self.member.decompress(data, n)
+            self.rest = self.member.unconsumed_tail
+            if self.member.eof:
+                self.rest, self.member = self.member.unused_data, None
+            elif not data and not out:
+                raise ValueError("the archive ends within a record")
+            if out:
+                return out
+
+
 def chunks_of(stream, chunk: int = CHUNK):
     """Rows of RECORDS from an open archive, front to back, never holding more than a chunk and a header."""
 
@@ -192,8 +219,8 @@ def read(index: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
         for part in parts:
             for path in part.column(0).to_pylist():
                 rows, size = [], 0
-                with fs.open_input_stream(f"{root}/{path}") as stream:
-                    for row in chunks_of(stream, chunk):
+                with fs.open_input_stream(f"{root}/{path}", compression=None) as stream:
+                    for row in chunks_of(Unpacked(stream, chunk), chunk):
                         rows.append(row)
                         size += len(row[5])
                         if size >= 4 << 20 or len(rows) >= 2000:
