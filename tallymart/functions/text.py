@@ -25,7 +25,7 @@ def tokens(key: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def percentage(name: Column) -> Column:
     """The first percentage in a name, null without one."""
-    return F.expr("nullif(regexp_extract({0}, '([0-9]+(?:[.][0-9]+)?) ?%', 1), '')".replace("{0}", "_x")) if name is None else F.nullif(F.regexp_extract(name, r"([0-9]+(?:\.[0-9]+)?) ?%", 1), F.lit("")).cast("double")
+    return F.nullif(F.regexp_extract(name, r"([0-9]+(?:\.[0-9]+)?) ?%", 1), F.lit("")).cast("double")
 
 
 def char_score(a: Column, b: Column) -> Column:
@@ -46,7 +46,8 @@ def similarity(a: Column, b: Column) -> Column:
     pa, pb = percentage(a), percentage(b)
     score = 0.5 * both / either + 0.25 * both / fewer + 0.25 * char_score(ka, kb)
     score = F.when(pa.isNotNull() & pb.isNotNull() & (pa != pb), 0.6 * score).otherwise(score)
-    return F.when(fewer == 0, 0.5 * char_score(ka, kb)).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    score = F.when(fewer == 0, 0.5 * char_score(ka, kb)).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    return F.when(a.isNotNull() & b.isNotNull(), score)
 
 
 def head_word(key: Column, noise: tuple[str, ...] = ()) -> Column:

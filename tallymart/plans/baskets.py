@@ -114,17 +114,17 @@ def p12_clean_lines(spark, sf_dir):
 
 @query(
     "w08_allocated_discount",
-    f"""WITH {OFFERS}, {CART_LINES}, x AS (SELECT l.cart, l.line, l.qty * min(o.price_c) AS base FROM cart_lines l JOIN offers o USING (gtin) GROUP BY l.cart, l.line, l.qty),
-s AS (SELECT *, sum(base) OVER c AS total, floor(sum(base) OVER c * 0.07::DOUBLE)::BIGINT AS pool, row_number() OVER (PARTITION BY cart ORDER BY line DESC) AS back FROM x WINDOW c AS (PARTITION BY cart)),
+    f"""WITH {OFFERS}, {CART_LINES}, x AS (SELECT l.cart, l.line, gtin, l.qty * p AS base FROM cart_lines l JOIN (SELECT gtin, min(price_c) AS p FROM offers GROUP BY gtin) USING (gtin)),
+s AS (SELECT *, sum(base) OVER c AS total, floor(sum(base) OVER c * 0.07::DOUBLE)::BIGINT AS pool, row_number() OVER (PARTITION BY cart ORDER BY line DESC, gtin, base) AS back FROM x WINDOW c AS (PARTITION BY cart)),
 d AS (SELECT *, (pool * base // total)::BIGINT AS share FROM s)
 SELECT cart, line, base::BIGINT AS base, (CASE WHEN back = 1 THEN pool - (sum(share) OVER (PARTITION BY cart) - share) ELSE share END)::BIGINT AS share FROM d""",
 )
 def w08_allocated_discount(spark, sf_dir):
     """7 % off a cart dealt to its lines in proportion to their base; the last line takes what rounding leaves."""
     cheapest = offers(spark, sf_dir).groupBy("gtin").agg(F.min("price_c").alias("price_c"))
-    x = cart_lines(spark, sf_dir).join(cheapest, "gtin").select("cart", "line", (F.col("qty") * F.col("price_c")).alias("base"))
+    x = cart_lines(spark, sf_dir).join(cheapest, "gtin").select("cart", "line", "gtin", (F.col("qty") * F.col("price_c")).alias("base"))
     by = Window.partitionBy("cart")
-    x = x.withColumns({"total": F.sum("base").over(by), "back": F.row_number().over(by.orderBy(F.col("line").desc()))})
+    x = x.withColumns({"total": F.sum("base").over(by), "back": F.row_number().over(by.orderBy(F.col("line").desc(), "gtin", "base"))})
     x = x.withColumn("pool", F.floor(F.col("total") * F.lit(0.07)).cast("long")).withColumn("share", F.expr("pool * base div total"))
     rest = F.col("pool") - (F.sum("share").over(by) - F.col("share"))
     return x.select("cart", "line", "base", F.when(F.col("back") == 1, rest).otherwise(F.col("share")).alias("share"))

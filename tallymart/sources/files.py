@@ -15,7 +15,7 @@ ITEM = (
 )
 PROMO_ITEM = "struct<ItemCode:string,RewardType:string,MinQty:string,MaxQty:string,DiscountRate:string,DiscountedPrice:string,bIsWeighted:string>"
 PROMOTION = (
-    "PromotionId string, PromotionDescription string, PromotionStartDate string, PromotionEndDate string, RewardType string, MinQty string, MaxQty string, MAXQTY string, "
+    "PromotionId string, PromotionDescription string, PromotionStartDate string, PromotionEndDate string, RewardType string, MinQty string, MaxQty string, "
     "DiscountRate string, DiscountedPrice string, RedemptionLimit string, ClubID string, AdditionalIsCoupon string, "
     "PromotionItems struct<Item:array<struct<ItemCode:string,IsGiftItem:string>>>, "
     f"Groups struct<Group:array<struct<PromotionItems:struct<PromotionItem:array<{PROMO_ITEM}>>>>>"
@@ -73,14 +73,17 @@ def drop_unpriced(rows: DataFrame) -> DataFrame:
     return rows.filter("price IS NOT NULL AND code IS NOT NULL")
 
 
-def promotion_files(spark: SparkSession, path: str) -> DataFrame:
-    """promo_id, description, starts, ends, code, reward, min_qty, max_qty, rate, total, gift, club, coupon: one row per promotion and item, of either layout."""
-    raw = spark.read.format("xml").option("rowTag", "Promotion").schema(PROMOTION).load(path)
+def promotion_files(spark: SparkSession, path: str, most: str = "MaxQty") -> DataFrame:
+    """promo_id, description, starts, ends, code, reward, min_qty, max_qty, rate, total, gift, club, coupon: one row per promotion and item, of either layout.
+
+    most: how the files spell the promotion's greatest quantity; column names differ by case, which a schema can't hold twice.
+    """
+    raw = spark.read.format("xml").option("rowTag", "Promotion").schema(PROMOTION.replace(" MaxQty string", f" {most} string", 1)).load(path)
     none = F.lit(None).cast("string")
     flat = F.transform(
         F.coalesce("PromotionItems.Item", F.array()),
         lambda x: F.struct(
-            x["ItemCode"].alias("code"), F.col("RewardType").alias("reward"), F.col("MinQty").alias("min_qty"), F.coalesce("MaxQty", "MAXQTY").alias("max_qty"),
+            x["ItemCode"].alias("code"), F.col("RewardType").alias("reward"), F.col("MinQty").alias("min_qty"), F.col(most).alias("max_qty"),
             F.col("DiscountRate").alias("rate"), F.col("DiscountedPrice").alias("total"), x["IsGiftItem"].alias("gift"),
         ),
     )

@@ -15,7 +15,7 @@ from ..registry import query
 from ..sources.scratch import shared_folder
 
 LATE = "10 minutes"
-REPORTS = "reports AS (SELECT event_id, (user_id % 14)::INT AS chain, ts, event_type <> 'error' AS ok, json_extract_string(props, '$.k')::INT AS k FROM events), mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS at FROM reports)"
+REPORTS = "reports AS (SELECT event_id, (user_id % 14)::INT AS chain, ts, event_type <> 'error' AS ok, json_extract_string(props, '$.k')::INT AS k FROM events), mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS closed FROM reports)"
 
 
 def report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     return raw.select(
-        "event_id", (F.col("user_id") % 14).cast("int").alias("chain"), "ts", (F.col("event_type") != "error").alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("k")
+        "event_id", (F.col("user_id") % 14).cast("int").alias("chain"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("k")
     )
 
 
@@ -38,7 +38,7 @@ def run(stream: DataFrame) -> DataFrame:
 @query("t03_structure_alerts", f"WITH {REPORTS} SELECT event_id, chain, ts FROM reports WHERE NOT ok AND k >= 90")
 def t03_structure_alerts(spark, sf_dir):
     """Stateless: failures whose code tells of a changed site."""
-    return run(report_stream(spark, sf_dir).filter("NOT ok AND k >= 90").select("event_id", "chain", "ts"))
+    return run(report_stream(spark, sf_dir).filter("NOT ok AND k >= 90").select("event_id", "chain", F.col("ts").cast("timestamp_ntz").alias("ts")))
 
 
 def last_ten(key, parts, state: GroupState):
@@ -71,21 +71,21 @@ def t04_failure_rate(spark, sf_dir):
     "t05_cool_down",
     f"""WITH {REPORTS}, f AS (SELECT chain, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 15 MINUTE, true)::INT AS new FROM reports WHERE NOT ok WINDOW w AS (PARTITION BY chain ORDER BY ts)),
 s AS (SELECT chain, ts, sum(new) OVER (PARTITION BY chain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM f)
-SELECT chain, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY chain, no HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT at FROM mark)""",
+SELECT chain, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY chain, no HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT closed FROM mark)""",
 )
 def t05_cool_down(spark, sf_dir):
     """Failures of a chain within 15 minutes of its last one fold into one alert with a count."""
     s = report_stream(spark, sf_dir).withWatermark("ts", LATE)
     out = s.filter(~F.col("ok")).groupBy(F.session_window("ts", "15 minutes"), "chain").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
-    return run(out.select("chain", "first_ts", "n"))
+    return run(out.select("chain", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n"))
 
 
 @query(
     "t06_hourly_counts",
     f"""WITH {REPORTS} SELECT date_trunc('hour', ts) AS hour, chain, count(*) AS n, count(*) FILTER (NOT ok) AS failed FROM reports GROUP BY ALL
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT at FROM mark)""",
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT closed FROM mark)""",
 )
 def t06_hourly_counts(spark, sf_dir):
     s = report_stream(spark, sf_dir).withWatermark("ts", LATE)
     out = s.groupBy(F.window("ts", "1 hour").alias("w"), "chain").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"))
-    return run(out.select(F.col("w.start").alias("hour"), "chain", "n", "failed"))
+    return run(out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "chain", "n", "failed"))
