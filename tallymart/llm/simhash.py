@@ -140,7 +140,8 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
     crowd = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     hub = emit(crowd, 64, radius // 2)
     least = hub.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("key", "a")
-    stars = hub.join(least, "key").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    # Spark takes both sides for as small as the table before the balls; neither may be broadcast.
+    stars = hub.join(least.hint("merge"), "key").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return found.filter(F.col("b").isNotNull()).unionByName(stars).distinct()
 
 
