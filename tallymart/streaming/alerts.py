@@ -71,18 +71,18 @@ def t04_failure_rate(spark, sf_dir):
     "t05_cool_down",
     f"""WITH {REPORTS}, f AS (SELECT chain, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 15 MINUTE, true)::INT AS new FROM reports WHERE NOT ok WINDOW w AS (PARTITION BY chain ORDER BY ts)),
 s AS (SELECT chain, ts, sum(new) OVER (PARTITION BY chain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM f)
-SELECT chain, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY chain, no HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT closed FROM mark)""",
+SELECT chain, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY chain, no HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM f)""",
 )
 def t05_cool_down(spark, sf_dir):
-    """Failures of a chain within 15 minutes of its last one fold into one alert with a count."""
-    s = report_stream(spark, sf_dir).withWatermark("ts", LATE)
-    out = s.filter(~F.col("ok")).groupBy(F.session_window("ts", "15 minutes"), "chain").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    """Failures of a chain within 15 minutes of its last one fold into one alert with a count. Failures alone move the watermark."""
+    s = report_stream(spark, sf_dir).filter(~F.col("ok")).withWatermark("ts", LATE)
+    out = s.groupBy(F.session_window("ts", "15 minutes"), "chain").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
     return run(out.select("chain", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n"))
 
 
 @query(
     "t06_hourly_counts",
-    f"""WITH {REPORTS} SELECT date_trunc('hour', ts) AS hour, chain, count(*) AS n, count(*) FILTER (NOT ok) AS failed FROM reports GROUP BY ALL
+    f"""WITH {REPORTS} SELECT date_trunc('hour', ts) AS hour, chain, count(*) AS n, count(*) FILTER (NOT ok) AS failed FROM reports GROUP BY date_trunc('hour', ts), chain
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT closed FROM mark)""",
 )
 def t06_hourly_counts(spark, sf_dir):
