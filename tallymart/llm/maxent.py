@@ -9,8 +9,8 @@ token included, which is what a softmax with only a feature of its own per token
 Training is one pass of distributed gradient updates: each task takes adaptive-gradient steps over the training
 documents it holds, starting at the classes' frequencies, and gives back the weights of the features that it saw; these
 are averaged by feature, weighted by how often each task saw it. Counts cover all training documents and stay in a
-table. What is sent to the workers has a fixed size: the weights (``features`` x classes) and the ``frequent`` most
-frequent tokens with their counts. Rarer tokens are joined with the table by hash, once per document and token.
+table. What is sent to the workers has a fixed size: the weights (``features`` x classes) and at most
+``frequent`` of the most frequent tokens with their counts. Rarer tokens are joined with the table by hash, once per document and token.
 
 Null and empty texts have only the end token. A row's equal twin gets the same result. Without training documents every
 count is 0 and the model gives base scores in a single class. An empty table gives no rows. Tokens are known by 64-bit hashes.
@@ -30,7 +30,7 @@ from .common import batches, table, written
 
 FREQUENT, SINGLES, SHARED, FEATURES, STEP, BATCH, PIECE = 1 << 17, 48, 16, 1 << 14, 0.1, 8192, 1024
 END = b"\n"  # no token holds it
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,7 +84,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for part in parts:
             for text in part.column(0):
                 held.update(tokens(text))
-            if len(held) > KNOWN_WORDS // 2:
+            if len(held) > KNOWN_WORDS:
                 yield from out()
                 held.clear()
         yield from out()
@@ -252,13 +252,29 @@ def train(texts: DataFrame, model: Model) -> np.ndarray:
     return weights
 
 
+def most_frequent(counts: DataFrame, most: int):
+    """At most so many of the most frequent tokens, in order: all whose count lies in the eighths of powers of two that fit.
+
+    A top-k would send that many rows of each partition to the driver; here it gets a few hundred sums, then the rows.
+    """
+    step = F.floor(F.log2("n") * 8)
+    upto, least = 0, None
+    for at, rows in sorted(counts.groupBy(step.alias("at")).count().collect(), reverse=True):
+        upto += rows
+        if upto > most:
+            break
+        least = at
+    found = counts.filter(step >= least if least is not None else F.lit(False)).toPandas()
+    return found.sort_values(["n", "h"], ascending=[False, True])
+
+
 def fit(docs: DataFrame, frequent: int = FREQUENT, singles: int = SINGLES, shared: int = SHARED, features: int = FEATURES) -> tuple[Model, DataFrame]:
     """docs(doc_id, text) -> the model, and the counts (h, n) of all training tokens as a written table."""
     batches(docs.sparkSession)
     texts = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("data"))
     counts = written(token_counts(texts))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "h").limit(frequent).toPandas()
+    top = most_frequent(counts, frequent)
     h, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     # The unsigned hash modulo a power of two is that of its low bits.
     by_class = counts.groupBy(F.col("h").bitwiseAND(F.lit(shared - 1)).alias("k")).agg(F.sum(F.col("n") + 1).alias("mass")).collect()
