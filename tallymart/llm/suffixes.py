@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, forget, table, written
+from .common import batches, table, written
 
 LEAST, GRAM, CROWD = 100, 32, 4096
 PIECE = 1 << 20
@@ -49,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value for each byte; powers of MUL and of its inverse up to n."""
     if n not in _powers:
         base = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        up = lambda x: np.cumprod(np.concatenate(([1], np.full(n, x, np.uint64))).astype(np.uint64), dtype=np.uint64)
+        up = lambda x: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, x, np.uint64)), dtype=np.uint64)
         _powers[n] = base, up(MUL), up(np.uint64(pow(int(MUL), -1, 1 << 64)))
     return _powers[n]
 
@@ -100,9 +100,12 @@ def contexts(data: np.ndarray, ends: np.ndarray, least: int, gram: int):
 
 
 def joined(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray):
-    """Merges stretches of one owner that touch; they come in order."""
-    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (lo[1:] < lo[:-1])))) if len(lo) else np.zeros(0, int)
-    return (lo[new], np.maximum.reduceat(hi, new), owner[new]) if len(lo) else (lo, hi, owner)
+    """Merges stretches of one owner that touch; an owner's come together and in order."""
+    if not len(lo):
+        return lo, hi, owner
+    apart = np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1]))).astype(np.int64) << 44  # owners' stretches never touch
+    new = np.flatnonzero(np.concatenate(([True], (lo + apart)[1:] > np.maximum.accumulate(hi + apart)[:-1])))
+    return lo[new], np.maximum.reduceat(hi, new), owner[new]
 
 
 def anchored(docs: DataFrame, least: int, gram: int) -> DataFrame:

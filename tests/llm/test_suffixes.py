@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tallymart.llm import suffixes
@@ -45,3 +46,21 @@ def test_empty_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], SCHEMA)
     got = sorted(((r.doc_id or 9, r.n_removed) for r in suffixes.without_repeats(docs).collect()))
     assert got[0] == got[1] and got[0][1] < 240 and got[2:] == [(2, 240), (9, 240)]
+
+
+def test_contexts_that_differ_in_any_byte_differ():
+    """The hash takes in every byte of a context, wherever it begins."""
+    rng = random.Random(9)
+    data = np.array([rng.randrange(97, 123) for _ in range(3000)], np.uint8)
+    base, up, down = suffixes.powers(3000)
+    assert all(int(up[i]) * int(down[i]) % (1 << 64) == 1 for i in range(0, 3001, 97))
+    one = suffixes.contexts(data, np.full(3000, 3000), 100, 32)
+    for at in rng.sample(range(200, 2800), 40):
+        changed = data.copy()
+        changed[at] ^= 1
+        two = suffixes.contexts(changed, np.full(3000, 3000), 100, 32)
+        hashes = lambda c: {int(lo): (int(h), int(n)) for h, lo, n in zip(c[1], c[2], c[4])}
+        before, after = hashes(one), hashes(two)
+        for lo in before.keys() & after.keys():
+            if lo <= at < lo + before[lo][1] + 99 and before[lo][1] == after[lo][1]:
+                assert before[lo][0] != after[lo][0]
