@@ -1,6 +1,6 @@
 """All queries of the retail operators, with their SQL."""
 
-from .operators import catalogue, graph, history, pricing, quality, retrieval, rules  # noqa: F401
+from .operators import audits, catalogue, graph, history, pricing, quality, retrieval, rules  # noqa: F401
 from .plans import baskets  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .sources import files  # noqa: F401
