@@ -17,7 +17,7 @@ from .quality import IDENTITY, identity_members
     f"WITH {PRICE_ROWS} SELECT chain, count(*) AS n, count(*) FILTER (price_c <= 0) AS unpriced, count(*) FILTER (price_c > 0 AND price_c < 5000) AS implausible, count(*) FILTER (price_c >= 5000) AS kept FROM price_rows GROUP BY chain",
 )
 def p02_dropped_rows(spark, sf_dir):
-    """Rows without a price and with an implausible one, by chain; under 50.00 stands in for the reference's 0.20."""
+    """Rows without a price and with an implausible one, by chain; here that is one under 50.00."""
     p = F.col("price_c")
     return price_rows(spark, sf_dir).groupBy("chain").agg(
         F.count("*").alias("n"), F.count_if(p <= 0).alias("unpriced"), F.count_if((p > 0) & (p < 5000)).alias("implausible"), F.count_if(p >= 5000).alias("kept")

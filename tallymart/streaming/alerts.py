@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..registry import query
+from ..sources.market import PRICE_ROWS, STORES, price_rows, stores
 from ..sources.scratch import shared_folder
 
 LATE = "10 minutes"
@@ -89,3 +90,66 @@ def t06_hourly_counts(spark, sf_dir):
     s = report_stream(spark, sf_dir).withWatermark("ts", LATE)
     out = s.groupBy(F.window("ts", "1 hour").alias("w"), "chain").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"))
     return run(out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "chain", "n", "failed"))
+
+
+@query(
+    "t02_newest_price",
+    f"WITH {PRICE_ROWS} SELECT chain, gtin, max((day, price_c))[1] AS day, max((day, price_c))[2] AS price_c FROM price_rows GROUP BY ALL",
+)
+def t02_newest_price(spark, sf_dir):
+    """The newest price of each chain and product, kept up as batches of days arrive.
+
+    Every batch is reduced to a row a key and upserted into the current table, which is written under the batch's number:
+    a batch that runs again writes the same table again.
+    """
+    landed, path = shared_folder(spark), shared_folder(spark)
+    rows = price_rows(spark, sf_dir).select("chain", "gtin", "day", "price_c")
+    rows.repartitionByRange(4, "day").write.parquet(landed)
+    last = {"table": None}
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy("chain", "gtin").agg(F.max(F.struct("day", "price_c")).alias("x"))
+        if last["table"] is not None:
+            new = new.unionByName(batch.sparkSession.read.parquet(last["table"])).groupBy("chain", "gtin").agg(F.max("x").alias("x"))
+        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        last["table"] = f"{path}/{number}"
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(last["table"]).select("chain", "gtin", "x.day", "x.price_c")
+
+
+@query(
+    "t07_expired_reports",
+    f"WITH {REPORTS} SELECT chain, count(*) AS n_live FROM reports WHERE ts > (SELECT max(ts) - INTERVAL 7 DAY FROM reports) GROUP BY chain",
+)
+def t07_expired_reports(spark, sf_dir):
+    """Reports within their seven days of the newest one; older ones have expired."""
+    rows = run(report_stream(spark, sf_dir).select("chain", "ts"))
+    newest = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("from"))
+    return rows.join(F.broadcast(newest)).filter(F.col("ts") > F.col("from")).groupBy("chain").agg(F.count("*").alias("n_live"))
+
+
+@query(
+    "t08_missing_days",
+    f"""WITH {REPORTS}, d AS (SELECT DISTINCT chain, ts::DATE AS day FROM reports WHERE NOT ok), a AS (SELECT DISTINCT ts::DATE AS day FROM reports), c AS (SELECT DISTINCT chain FROM reports)
+SELECT c.chain, a.day FROM a CROSS JOIN c WHERE (c.chain, a.day) NOT IN (SELECT (chain, day) FROM d)""",
+)
+def t08_missing_days(spark, sf_dir):
+    """Days on which a chain published nothing, of those on which any chain did: what came over the stream, against the grid of few chains and days."""
+    rows = run(report_stream(spark, sf_dir).select("chain", "ok", F.to_date("ts").alias("day")))
+    seen = rows.groupBy("chain", "day").agg(F.count_if(~F.col("ok")).alias("n"))
+    chains = seen.agg(F.collect_set("chain").alias("all"))
+    grid = seen.select("day").distinct().join(F.broadcast(chains)).select("day", F.explode("all").alias("chain"))
+    return grid.join(seen.filter("n > 0"), ["chain", "day"], "left_anti").select("chain", "day")
+
+
+@query(
+    "t09_enriched_reports",
+    f"""WITH {REPORTS}, {STORES}, s AS (SELECT chain, count(*) AS n_stores, count(*) FILTER (served) AS n_served FROM stores GROUP BY chain)
+SELECT event_id, chain, ok, n_stores, n_served FROM reports JOIN s USING (chain) WHERE NOT ok""",
+)
+def t09_enriched_reports(spark, sf_dir):
+    """A stream joined with a table of its chains."""
+    s = stores(spark, sf_dir).groupBy("chain").agg(F.count("*").alias("n_stores"), F.count_if("served").alias("n_served"))
+    return run(report_stream(spark, sf_dir).filter("NOT ok").join(s, "chain").select("event_id", "chain", "ok", "n_stores", "n_served"))
