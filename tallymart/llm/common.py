@@ -6,45 +6,17 @@ executor costs at most the stage that runs. Nothing here collects rows; only sin
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = r"[^\x20\x09-\x0D]+"
-_own: dict[str, str] = {}
-
+from ..operators.graph import components  # noqa: F401
+from ..sources.scratch import forget, shared_folder, written  # noqa: F401
 
+WHITE = r"[^\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; a local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
-    return f"{base.rstrip('/')}/tallymart-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = path or shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tallymart-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: Python workers get at most so many rows at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -63,43 +35,3 @@ def lower_ascii(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WHITE)), F.lit(0)).cast("long")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge table as (node, root), root being the smallest id of the component; roots
-    themselves have no row.
-
-    Alternates large-star and small-star steps: every step points a node's neighbours at its smallest neighbour. Each
-    is an aggregate with map-side combining and a join that adaptive execution can split, so a hub with a third of
-    all edges does not land in one task. Every round is written, and only the edge count and a checksum come back.
-    """
-    e = written(
-        edges.filter(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    state = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was = state(e)
-    for _ in range(rounds):
-        if not was[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = (
-            both.filter("v > u").join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        )
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = star.join(low, "u")
-        new = written(
-            pairs.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").filter("u <> v").distinct()
-        )
-        forget(e)
-        now, e = state(new), new
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
