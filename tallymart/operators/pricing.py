@@ -44,12 +44,12 @@ def line_prices(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col("rules"), F.array().cast(f"array<{RULE}>")),
         lambda r, i: F.struct(rule_total(qty, price, r, weighed).alias("total"), i.alias("no"), F.coalesce(r["club"], F.lit(False)).alias("club")),
     )
-    fit = lambda club: F.array_min(F.filter(tried, lambda x: x["total"].isNotNull() & (x["club"] == F.lit(club)) & (x["total"] < base)))
-    out = lines.withColumns({"base_c": base, "_best": fit(False), "_club": fit(True)})
+    fit = lambda club: F.array_min(F.filter("_tried", lambda x: x["total"].isNotNull() & (x["club"] == F.lit(club)) & (x["total"] < F.col("base_c"))))
+    out = lines.withColumns({"base_c": base, "_tried": tried}).withColumns({"_best": fit(False), "_club": fit(True)})
     total = F.coalesce(F.col("_best.total"), F.col("base_c"))
     return out.withColumns(
         {"total_c": total, "rule_no": F.col("_best.no"), "club_c": F.when(F.col("_club.total") < total, F.col("_club.total"))}
-    ).drop("_best", "_club")
+    ).drop("_best", "_club", "_tried")
 
 
 def rules_from_percent(pct: Column, price: Column) -> Column:
