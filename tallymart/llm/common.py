@@ -1,7 +1,7 @@
-"""Helpers shared by the training-data operators: shared folders, row keys, prefix sums, components.
+"""Helpers shared by the training-data operators: tables, batches, values bound once, words.
 
 Intermediate tables go to the folder that the session names in ``spark.checkpoint.dir``, so that losing an
-executor costs at most the stage that runs. Nothing here collects rows; only single numbers reach the driver.
+executor costs at most the stage that runs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from ..operators.graph import components  # noqa: F401
 from ..sources.scratch import forget, shared_folder, written  # noqa: F401
 
 WHITE = r"[^\x20\x09-\x0D]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
