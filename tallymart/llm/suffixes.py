@@ -287,7 +287,8 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int =
     """docs(doc, t, data) -> doc, t, p, q: bytes p to -q of a document go. Stretches may overlap."""
     found = written(split_copies(anchored(docs, least, gram), least))
     left = found.filter("q >= 0")
-    crowded = left.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("anchor").alias("_anchor"))
+    # Written, so that Spark knows how few these are and need not shuffle the contexts by anchor to mark them.
+    crowded = written(left.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("anchor").alias("_anchor")))
     left = left.join(crowded, F.col("anchor") == F.col("_anchor"), "left").withColumn("crowded", F.col("_anchor").isNotNull())
     lists = left.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "crowded", "p", "q")).alias("found"))
     near = docs.join(lists, ["doc", "t"]).dropDuplicates(["doc", "t"]).select("doc", "t", "data", "found")
