@@ -78,7 +78,7 @@ def learn(docs: DataFrame, per_language: int = 2000, size: int = 400) -> dict[st
     """
     spark = docs.sparkSession
     batches(spark)
-    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     share = rows.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(per_language) / F.col("count")).alias("share"))
     picked = (
         rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20))

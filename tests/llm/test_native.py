@@ -158,7 +158,7 @@ def test_language_profiles(spark):
         lang = rng.choice(list(parts))
         rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(rng.randrange(2, 40))), lang if i % 7 else None))
     rows += [(1000, None, "aa"), (1001, "123 !!", "bb"), (1002, "", None), (1003, "bor" * 50_000, None), (1004, "𝒳𐐷𐐷 ok", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumn("score", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumns({"score": F.lit(1), "share": F.lit(2), "count": F.lit(3), "at": F.lit(4)})
     model = langid.learn(docs)
     assert sorted(model) == ["aa", "bb", "cc"]
     got = {r.doc_id: r["_tm_lang"] for r in langid.predict(docs, model).collect()}
