@@ -1,6 +1,6 @@
 """All queries of the retail operators, with their SQL."""
 
-from .operators import audits, catalogue, graph, history, joins, pricing, quality, retrieval, rules, swaps  # noqa: F401
+from .operators import audits, catalogue, graph, history, joins, names, pricing, quality, retrieval, rules, swaps  # noqa: F401
 from .plans import baskets, lines  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .sources import files  # noqa: F401
