@@ -1,7 +1,7 @@
 """All queries of the retail operators, with their SQL."""
 
-from .operators import audits, catalogue, graph, history, joins, names, pricing, quality, retrieval, rules, swaps, votes  # noqa: F401
+from .operators import audits, catalogue, graph, history, joins, names, pricing, quality, retrieval, rules, search, swaps, votes  # noqa: F401
 from .plans import baskets, lines  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
-from .sources import files  # noqa: F401
+from .sources import feeds, files  # noqa: F401
 from .streaming import alerts  # noqa: F401

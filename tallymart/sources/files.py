@@ -49,7 +49,7 @@ def file_parts(path: Column) -> dict[str, Column]:
     stamp = F.concat(pick(5, 4), F.rpad(pick(6, 5), 6, "0"))
     return {
         "kind": F.nullif(kind, F.lit("")), "chain": F.nullif(F.regexp_extract(name, head, 2), F.lit("")),
-        "sub": F.nullif(three, F.lit("")), "store": F.lpad(F.nullif(pick(4, 3), F.lit("")), 3, "0"),
+        "sub": F.nullif(three, F.lit("")), "store": F.when(F.length(pick(4, 3)) < 3, F.lpad(F.nullif(pick(4, 3), F.lit("")), 3, "0")).otherwise(pick(4, 3)),
         "stamp": F.to_utc_timestamp(F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")), "Asia/Jerusalem"),
     }
 
