@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -16,12 +16,14 @@ pairs AS (SELECT w.chain, w.gtin, w.concept, w.price_c AS base_c, w.size AS base
 judged AS (SELECT *, CASE WHEN department <> base_department THEN 'department' WHEN size * 4 < base_size * 3 OR size * 3 > base_size * 4 THEN 'size' WHEN price_c > 3 * base_c OR price_c * 3 < base_c THEN 'price' ELSE 'ok' END AS reason FROM pairs)"""
 
 
-def swap_pairs(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+def swap_pairs(rows: DataFrame, key: str, n: int | None = 5) -> DataFrame:
     """rows as stocked() -> each offer out of stock with the n cheapest of its ``key`` (class or family) that its chain has in stock.
 
-    Candidates are cut to n a group before the join, so that a class makes n rows an offer however large it is.
+    With n None each offer meets all of its key, judged or not: only for queries whose result is these pairs. Where a result is the
+    best or the number of admissible pairs, reach() has it without making them.
     """
-    c = cheapest(rows.filter("in_stock"), "chain", key, n=n)
+    here = Window.partitionBy("chain", key).orderBy("price_c", "gtin")
+    c = rows.filter("in_stock").withColumn("nth", F.row_number().over(here)) if n is None else cheapest(rows.filter("in_stock"), "chain", key, n=n)
     c = c.select("chain", key, "nth", F.col("gtin").alias("item"), F.col("concept").alias("item_concept"), "size", "department", "brand", "price_c")
     wanted = rows.filter(~F.col("in_stock")).select(
         "chain", "gtin", *({key, "concept"}), F.col("price_c").alias("base_c"), F.col("size").alias("base_size"), F.col("department").alias("base_department"), F.col("brand").alias("base_brand")
@@ -29,6 +31,50 @@ def swap_pairs(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     return wanted.join(c, ["chain", key])
 
 
+def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3) -> DataFrame:
+    """rows as stocked() -> chain, gtin, department of each offer out of stock, with the cheapest of all offers of its ``key`` that verdict()
+    lets in as ``best`` (price_c, item; null without), and its candidates: n_all of the key, n_same of the department too, n_sized
+    of them of a size that passes, n_ok that pass in all.
+
+    No pair is made. Offers in stock are summed up by department, size and blocks of prices (price >> level, for each level), and a
+    range of prices is what its lower end's blocks hold less what those of the first price above it hold. So an offer emits a row
+    for each bit of its price, and a wanted one such a row for each size that passes, however large the class is.
+    """
+    group = ["chain", key, "department"]
+    keep = 100 - size_pct
+    shift = lambda x, i: F.call_function("shiftright", x, i)
+    bits = lambda x: F.length(F.bin(x))
+    at = lambda level, block: F.named_struct(F.lit("level"), level.cast("int"), F.lit("block"), block.cast("long"))
+    price = F.col("price_c").cast("long")
+    stock = rows.filter("in_stock")
+    tree = stock.select(*group, "size", "price_c", "gtin", F.inline(F.transform(F.sequence(F.lit(0), bits(price) - 1), lambda i: at(i, shift(price, i)))))
+    tree = tree.groupBy(*group, "size", "level", "block").agg(F.min(F.struct("price_c", F.col("gtin").alias("item"))).alias("x"), F.count("*").alias("n"))
+
+    wanted = rows.filter(~F.col("in_stock")).select("chain", "gtin", key, "department", F.col("size").alias("base_size"), F.col("price_c").cast("long").alias("base_c"))
+    like = [*group, "base_size", "base_c"]
+    sizes = stock.groupBy(*group, "size").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list(F.struct("size", "n")).alias("sizes"))
+    asked = wanted.select(*like).distinct().join(sizes, group)
+    fits = F.filter("sizes", lambda s: ~((s["size"] * 100 < F.col("base_size") * keep) | (F.col("base_size") * 100 < s["size"] * keep)))
+    asked = asked.withColumn("fits", fits).withColumns({"low": F.ceil(F.col("base_c") / F.lit(price_times).cast("decimal(9,0)")).cast("long"), "past": F.col("base_c") * price_times + 1})
+    total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    facts = asked.select(*like, total(F.col("sizes")).alias("n_same"), total(F.col("fits")).alias("n_sized"))
+
+    # From x up: x itself, and at each level whose bit x lacks the block beside x's. Levels above the ends' first difference cancel out.
+    levels = F.sequence(F.lit(0), bits(F.col("low").bitwiseXOR(F.col("past"))) - 1)
+    lacks = lambda x: F.filter(levels, lambda i: shift(x, i) % 2 == 0)
+    upward = lambda x: F.concat(F.array(at(F.lit(0), x)), F.transform(lacks(x), lambda i: at(i, shift(x, i) + 1)))
+    signed = lambda end, sign: F.transform(upward(F.col(end)), lambda b: F.named_struct(F.lit("level"), b["level"], F.lit("block"), b["block"], F.lit("sign"), F.lit(sign)))
+    probes = asked.select(*like, "past", F.explode(F.transform("fits", lambda s: s["size"])).alias("size"), F.concat(signed("low", 1), signed("past", -1)).alias("blocks"))
+    probes = probes.select(*like, "past", "size", F.inline("blocks"))
+    found = probes.join(tree, [*group, "size", "level", "block"]).groupBy(*like, "past").agg(F.min(F.when(F.col("sign") > 0, F.col("x"))).alias("x"), F.sum(F.col("sign") * F.col("n")).alias("n_ok"))
+    found = found.select(*like, F.when(F.col("x.price_c") < F.col("past"), F.col("x")).alias("best"), "n_ok")
+
+    everyone = stock.groupBy("chain", key).agg(F.count("*").alias("n_all"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = wanted.join(everyone, ["chain", key], "left").join(facts, like, "left").join(found, like, "left")
+    return out.select("chain", "gtin", "department", "best", *map(count, ("n_all", "n_same", "n_sized", "n_ok")))
+
+
 def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
     """The first rule that refuses a pair, else ``ok``. A size may differ by size_pct of the larger, a price by price_times either way."""
     size, base, price, base_c = F.col("size"), F.col("base_size"), F.col("price_c"), F.col("base_c")
@@ -41,7 +87,7 @@ def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
 
 @query("c01_verdicts", f"WITH {SWAPS} SELECT chain, gtin, item, reason FROM judged")
 def c01_verdicts(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", verdict().alias("reason"))
+    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", verdict().alias("reason"))
 
 
 @query(
@@ -51,7 +97,7 @@ def c01_verdicts(spark, sf_dir):
 )
 def c02_caveats(spark, sf_dir):
     """For lines that would stay empty, refused offers are let in with one caveat, never two."""
-    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("reason", verdict())
+    x = swap_pairs(stocked(spark, sf_dir), "concept", None).withColumn("reason", verdict())
     near = (F.col("size") <= 3 * F.col("base_size")) & (F.col("base_size") <= 3 * F.col("size"))
     caveat = F.when((F.col("reason") == "size") & near, "other size").when((F.col("reason") == "department") & (F.col("brand") == F.col("base_brand")), "other department")
     return x.select("chain", "gtin", "item", caveat.alias("caveat")).filter("caveat IS NOT NULL")
@@ -63,17 +109,16 @@ def c02_caveats(spark, sf_dir):
 )
 def c04_by_pack_price(spark, sf_dir):
     """The offer that costs least for what the wanted pack holds; offers without a measure (here: sizes by nine) come last."""
-    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("per_unit", F.expr("price_c * 1000 div size"))
-    best = x.groupBy("chain", "gtin").agg(F.min(F.struct((F.col("size") % 9 == 0).alias("unmeasured"), "per_unit", "item")).alias("x"))
-    return best.select("chain", "gtin", "x.item", "x.per_unit")
+    rows = stocked(spark, sf_dir)
+    x = rows.filter("in_stock").withColumn("per_unit", F.expr("price_c * 1000 div size"))
+    # Of a class in a chain one offer is best whoever asks, since those who ask aren't in stock.
+    best = x.groupBy("chain", "concept").agg(F.min(F.struct((F.col("size") % 9 == 0).alias("unmeasured"), "per_unit", F.col("gtin").alias("item"))).alias("x"))
+    return rows.filter(~F.col("in_stock")).join(best, ["chain", "concept"]).select("chain", "gtin", "x.item", "x.per_unit")
 
 
 def tiered(rows: DataFrame) -> DataFrame:
     """Each offer out of stock with its best substitute: of its class if one passes, else of its family; tier null without."""
-    best = lambda key, tier: (
-        swap_pairs(rows, key).withColumn("reason", verdict()).filter("reason = 'ok'").groupBy("chain", "gtin")
-        .agg(F.min(F.struct(F.lit(tier).alias("tier"), "price_c", "item")).alias("x"))
-    )
+    best = lambda key, tier: reach(rows, key).filter("best IS NOT NULL").select("chain", "gtin", F.struct(F.lit(tier).alias("tier"), "best.price_c", "best.item").alias("x"))
     found = best("concept", 1).unionByName(best("family", 2)).groupBy("chain", "gtin").agg(F.min("x").alias("x"))
     wanted = rows.filter(~F.col("in_stock")).select("chain", "gtin")
     return wanted.join(found, ["chain", "gtin"], "left").select("chain", "gtin", "x.tier", "x.item", "x.price_c")
@@ -100,7 +145,7 @@ def j19_family_fallback(spark, sf_dir):
 
 @query("j18_class_candidates", f"WITH {SWAPS} SELECT chain, gtin, item, nth AS place FROM pairs")
 def j18_class_candidates(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", F.col("nth").alias("place"))
+    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", F.col("nth").alias("place"))
 
 
 @query(
@@ -110,9 +155,9 @@ def j18_class_candidates(spark, sf_dir):
 def c06_policies(spark, sf_dir):
     """Classes without substitutes fall out, some have them for missing lines only; the policy table is a parameter."""
     policies = spark.createDataFrame([("PROMO", "none"), ("LARGE", "missingOnly"), ("SMALL", "missingOnly")], "base_department string, policy string")
-    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("reason", verdict()).filter("reason = 'ok'")
+    x = reach(stocked(spark, sf_dir), "concept").filter("n_ok > 0").withColumnRenamed("department", "base_department")
     x = x.join(F.broadcast(policies), "base_department", "left").withColumn("policy", F.coalesce("policy", F.lit("full"))).filter("policy <> 'none'")
-    return x.groupBy("chain", "policy").agg(F.count("*").alias("n"), F.count_distinct("gtin").alias("n_wanted"))
+    return x.groupBy("chain", "policy").agg(F.sum("n_ok").alias("n"), F.count_distinct("gtin").alias("n_wanted"))
 
 
 @query(
@@ -135,9 +180,14 @@ def c07_family_table(spark, sf_dir):
 )
 def c08_refusal_audit(spark, sf_dir):
     """Pairs by the reason that refuses them, and how many of them belong to offers that stay without a substitute."""
-    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("reason", verdict())
-    counts = x.groupBy("chain", "gtin").agg(F.max(F.col("reason") == "ok").alias("served"), F.collect_list("reason").alias("reasons"))  # five at most
-    return counts.select("chain", F.explode("reasons").alias("reason"), "served").groupBy("chain", "reason").agg(F.count("*").alias("n_pairs"), F.count_if(~F.col("served")).alias("n_unserved"))
+    return refusals(reach(stocked(spark, sf_dir), "concept"))
+
+
+def refusals(x: DataFrame) -> DataFrame:
+    """x as reach() -> chain, reason, n_pairs, n_unserved; a rule refuses what the ones before it let in."""
+    n = {"department": F.col("n_all") - F.col("n_same"), "size": F.col("n_same") - F.col("n_sized"), "price": F.col("n_sized") - F.col("n_ok"), "ok": F.col("n_ok")}
+    rows = x.select("chain", (F.col("n_ok") > 0).alias("served"), F.inline(F.array(*[F.struct(F.lit(k).alias("reason"), v.alias("n")) for k, v in n.items()]))).filter("n > 0")
+    return rows.groupBy("chain", "reason").agg(F.sum("n").alias("n_pairs"), F.sum(F.when(F.col("served"), 0).otherwise(F.col("n"))).alias("n_unserved"))
 
 
 @query(

@@ -121,6 +121,37 @@ def test_candidates_stay_few_in_a_large_class(spark):
     assert swaps.swap_pairs(rows, "concept").count() == 5 * 1000
 
 
+def test_reach_against_all_pairs(spark):
+    """Every offer of the class is judged, however many cheaper ones are refused before it."""
+    r = random.Random(8)
+    base = [(1 + i % 2, i, r.choice("ab") + " x", r.choice("DE"), r.choice("uv"), r.randint(1, 40), r.choice([0, 1, 2, 3, r.randint(1, 900), r.randint(50, 70), 1 << r.randint(0, 20)]), r.random() < 0.6) for i in range(500)]
+    base += [(3, 1000, "a x", "D", "u", 10, 900, False), *((3, 1001 + i, "a x", "D", "u", 10, 300 - 60 * (i < 7) + i, True) for i in range(9))]
+    rows = spark.createDataFrame([(c, g, n, n.split()[0], "x", d, b, s, p, 0, k) for c, g, n, d, b, s, p, k in base], OFFERED)
+
+    def reason(w, c):
+        if w[3] != c[3]:
+            return "department"
+        if c[5] * 4 < w[5] * 3 or c[5] * 3 > w[5] * 4:
+            return "size"
+        return "price" if c[6] > 3 * w[6] or c[6] * 3 < w[6] else "ok"
+
+    for key, of in (("concept", lambda x: x[2]), ("family", lambda x: "x")):
+        want, audit = {}, {}
+        for w in base:
+            if not w[7]:
+                judged = [(reason(w, c), c[6], c[1]) for c in base if c[7] and c[0] == w[0] and of(c) == of(w)]
+                ok = sorted((p, g) for k, p, g in judged if k == "ok")
+                want[w[:2]] = (*(ok[0] if ok else (None, None)), len(judged), len(ok))
+                for k, _, _ in judged:
+                    n = audit.setdefault((w[0], k), [0, 0])
+                    n[0], n[1] = n[0] + 1, n[1] + (not ok)
+        x = swaps.reach(rows, key)
+        assert {(y.chain, y.gtin): (y.best and y.best.price_c, y.best and y.best["item"], y.n_all, y.n_ok) for y in x.collect()} == want
+        assert {(y.chain, y.reason): [y.n_pairs, y.n_unserved] for y in swaps.refusals(x).collect()} == audit
+        assert swaps.swap_pairs(rows, key, None).count() == sum(n for _, _, n, _ in want.values())
+    assert [(y.tier, y["item"]) for y in swaps.tiered(rows).filter("gtin = 1000").collect()] == [(1, 1008)]
+
+
 def test_index_tokens(spark):
     assert list(one(spark, search.index_tokens(F.col("t")), t="See v1.2 of Up-Date, ok.")) == ["see", "v1.2", "v1", "2", "of", "up-date", "up", "date", "ok"]
 
