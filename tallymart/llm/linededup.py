@@ -11,6 +11,9 @@ left. So a line is deleted if and only if it lies in ``window`` consecutive line
 lines don't count and stay. Documents of fewer lines lose none. Rows with equal doc_id and text count as one document
 and get the same result; null text stays null, empty text empty. Null ids come last.
 
+With ``passage``, runs of fewer lines than the window that together hold more words than that are deleted by the same rule:
+short lines still need a window, long ones don't. The query op1 has none, as its SQL; the pipeline's stage takes 50.
+
 No step needs the rows of one line or run together: first positions are minima, combined before the shuffle.
 """
 
@@ -19,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, table, word_count, written
 
-WINDOW = 3
+WINDOW, PASSAGE = 3, 50
 NO_INTS = "array<int>"
 
 
@@ -29,11 +32,12 @@ def line_array(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def filled(text: Column) -> Column:
-    """Positions (from 0) and hashes of the lines that aren't blank."""
+def filled(text: Column, counted: bool = False) -> Column:
+    """Positions (from 0) and hashes of the lines that aren't blank, and the number of their words where asked for."""
     lines = F.transform(line_array(text), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("s")))
     lines = F.filter(lines, lambda x: x["s"] != "")
-    return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("h"), F.xxhash64(F.lit(1), x["s"]).alias("g")))
+    more = lambda x: [word_count(x["s"]).cast("int").alias("n")] if counted else []
+    return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("h"), F.xxhash64(F.lit(1), x["s"]).alias("g"), *more(x)))
 
 
 def windows_of(n: Column, window: int) -> Column:
@@ -45,11 +49,23 @@ def chosen(hs: Column, start: Column, window: int) -> Column:
     return F.array_min(F.slice(hs, start + 1, window))
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def long_runs(window: int, passage: int) -> Column:
+    """Of rows with n, the words of each line: start and length of the runs of fewer than window lines with more than passage words."""
+    words = lambda i, k: sum((F.get("n", i + j) for j in range(1, k)), F.get("n", i))
+    at = lambda k: F.filter(windows_of(F.size("n"), k), lambda i: words(i, k) > passage)
+    one = lambda k: lambda i: F.named_struct(F.lit("start"), i, F.lit("k"), F.lit(k))
+    return F.concat(*[F.transform(at(k), one(k)) for k in range(1, window)])
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, passage: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, tkey, gone): positions of the lines to delete, for documents that have any."""
-    parts = let(filled(F.col("text")), lambda f: F.struct(f["line"].alias("line"), f["h"].alias("h"), f["g"].alias("g")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), parts.alias("f")).select("doc_id", "tkey", "f.line", "f.h", "f.g")
-    rows = written(rows.filter(F.size("h") >= window).dropDuplicates(["doc_id", "tkey"]))
+    parts = let(filled(F.col("text"), passage is not None), lambda f: F.struct(*[f[x].alias(x) for x in ("line", "h", "g", *(() if passage is None else "n"))]))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), parts.alias("f")).select("doc_id", "tkey", "f.*")
+    some = F.size("h") >= window
+    if passage is not None:
+        rows = rows.withColumn("long", long_runs(window, passage)).drop("n")
+        some = some | (F.size("long") > 0)
+    rows = written(rows.filter(some).dropDuplicates(["doc_id", "tkey"]))
     hs = F.col("h")
     starts = windows_of(F.size("h"), window)
 
@@ -62,13 +78,16 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     near = rows.join(hot, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")))
     at = F.filter(starts, lambda i: F.array_contains("marks", chosen(hs, i, window)))
-    one = lambda i: F.struct(
+    one = lambda i, k=window: F.struct(
         i.alias("start"),
-        F.xxhash64(F.slice("h", i + 1, window)).alias("k1"),
-        F.xxhash64(F.slice("g", i + 1, window)).alias("k2"),
-        F.slice("line", i + 1, window).alias("lines"),
+        F.xxhash64(F.slice("h", i + 1, k)).alias("k1"),
+        F.xxhash64(F.slice("g", i + 1, k)).alias("k2"),
+        F.slice("line", i + 1, k).alias("lines"),
     )
-    runs = near.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(F.transform(at, one)))
+    runs = near.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(F.transform(at, lambda i: one(i))))
+    if passage is not None:
+        each = F.transform("long", lambda r: one(r["start"], r["k"]))
+        runs = runs.unionByName(rows.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(each)))
     runs = written(runs)
     here = F.struct("no_id", "doc_id", "tkey", "start")
     first = runs.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -76,9 +95,9 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, passage: int | None = None) -> DataFrame:
     """docs with text less its repeated runs of lines; also _tm_lines and _tm_gone, the number of lines and of those deleted."""
-    gone = repeated_lines(docs.select("doc_id", "text"), window).withColumnsRenamed({"doc_id": "_tm_id", "tkey": "_tm_key", "gone": "_tm_at"})
+    gone = repeated_lines(docs.select("doc_id", "text"), window, passage).withColumnsRenamed({"doc_id": "_tm_id", "tkey": "_tm_key", "gone": "_tm_at"})
     lines = line_array(F.col("text"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_tm_at"))
     left = let(lines, lambda ls: F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n"))

@@ -41,6 +41,34 @@ def test_line_dedup(spark):
     assert got == brute_lines(rows)
 
 
+def brute_passages(rows, window=3, passage=50):
+    """brute_lines, and runs of fewer lines with over so many words."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        full, gone = [(i, s.strip(" ")) for i, s in enumerate(lines) if s.strip(" ")], set()
+        for at in range(len(full)):
+            for k in range(1, window + 1):
+                run = tuple(s for _, s in full[at : at + k])
+                if len(run) == k and (k == window or sum(len(s.split()) for s in run) > passage):
+                    if run in seen:
+                        gone.update(i for i, _ in full[at : at + k])
+                    seen.add(run)
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_long_passages_of_one_or_two_lines(spark):
+    rng = random.Random(4)
+    long = [" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (20, 26, 30, 31, 50, 51, 59, 137)]
+    rows = [(0, ""), (1, long[6]), (2, long[6]), (3, "a\n" + long[4]), (4, long[4]), (5, long[2] + "\n\n" + long[3]), (6, "b\n" + long[2] + "\n" + long[3] + "\nc"), (7, long[5] + "\n" + long[5])]
+    for i in range(10, 90):
+        rows.append((i, "\n".join(rng.choice(long) if rng.random() < 0.3 else f"line {rng.randrange(400)}" for _ in range(rng.randrange(1, 6)))))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, TEXTS).repartition(3), passage=50).collect()}
+    want = brute_passages(rows)
+    assert got == want and want[2] == "" and want[4] == long[4] and want[6] == "b\nc" and want != brute_lines(rows)
+
+
 def test_line_dedup_repeated_rows_and_empty(spark):
     text = "a\nb\nc\nd"
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "z\n" + text)], TEXTS)
