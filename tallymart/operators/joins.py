@@ -142,18 +142,25 @@ def j15_own_brand(spark, sf_dir):
 
 
 def block_pairs(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows(gtin, keys) -> a, b: each code of a block with the block's smallest code. These pairs stand for all pairs of the block:
-    their number is that of the rows, however large a block is."""
+    """rows(gtin, keys) -> a, b: each code of a block with the block's smallest code. These pairs stand for all pairs of the block
+    where nothing but the keys is asked of them: their number is that of the rows, however large a block is."""
     first = rows.groupBy(*keys).agg(F.min("gtin").alias("a"))
     return rows.join(first, list(keys)).filter("gtin <> a").select("a", F.col("gtin").alias("b"), *keys)
 
 
+def all_pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows(gtin, keys, ...) -> a, b, keys: all pairs of different codes of a block, the smaller code first; what else rows have comes
+    twice, as a_<name> and b_<name>. For verdicts that depend on the pair; a block of n codes has n * (n - 1) / 2."""
+    side = lambda end: rows.select(*keys, F.col("gtin").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in rows.columns if c not in ("gtin", *keys)])
+    return side("a").join(side("b"), list(keys)).filter("a < b")
+
+
 BLOCKS = "blocks AS (SELECT gtin, name, size, brand, min(gtin) OVER (PARTITION BY name, size) AS a, min(gtin) OVER (PARTITION BY name, size, brand) AS ab FROM products)"
 
 
 @query("j16_name_blocks", f"WITH {PRODUCTS}, {BLOCKS} SELECT a, gtin AS b, name, size FROM blocks WHERE gtin <> a")
 def j16_name_blocks(spark, sf_dir):
-    return block_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size")
+    return all_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size").select("a", "b", "name", "size")
 
 
 @query("j17_identity_blocks", f"WITH {PRODUCTS}, {BLOCKS} SELECT ab AS a, gtin AS b, name, size, brand FROM blocks WHERE gtin <> ab")
@@ -164,7 +171,7 @@ def j17_identity_blocks(spark, sf_dir):
 @query("j25_blocked_pairs", f"WITH {PRODUCTS}, {BLOCKS} SELECT a, gtin AS b, name, size FROM blocks WHERE gtin <> a AND (gtin - a) % 5 <> 0")
 def j25_blocked_pairs(spark, sf_dir):
     """Pairs but for those that someone declared different: an anti join with the list of these."""
-    pairs = block_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size")
+    pairs = all_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size").select("a", "b", "name", "size")
     declared = pairs.filter("(b - a) % 5 = 0").select("a", "b")
     return pairs.join(declared, ["a", "b"], "left_anti")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import OFFERS, PRICE_ROWS, PRODUCTS, STORES, offers, price_rows, products, stores, table
-from .joins import STOCKED, first_reason, stocked
+from .joins import STOCKED, all_pairs, first_reason, stocked
 
 
 def weighted_vote(votes: DataFrame, key: str, value: str, weight: Column) -> DataFrame:
@@ -227,13 +227,14 @@ def g04_band_margin(spark, sf_dir):
 SELECT a, gtin AS b, CASE WHEN brand = a_brand AND department = a_department THEN 'strong' WHEN brand = a_brand OR a // 1000 = gtin // 1000 THEN 'variant' ELSE 'weak' END AS tier FROM b WHERE gtin <> a""",
 )
 def g06_alias_candidates(spark, sf_dir):
-    """Codes of a block against its first code: alike in all, in brand or code prefix, or in name and size alone."""
-    p = products(spark, sf_dir).select("gtin", "name", "size", "brand", "department")
-    first = p.groupBy("name", "size").agg(F.min(F.struct(F.col("gtin").alias("a"), F.col("brand").alias("a_brand"), F.col("department").alias("a_department"))).alias("x")).select("name", "size", "x.*")
-    x = p.join(first, ["name", "size"]).filter("gtin <> a")
-    same_brand = F.col("brand") == F.col("a_brand")
-    tier = first_reason(("strong", same_brand & (F.col("department") == F.col("a_department"))), ("variant", same_brand | (F.expr("a div 1000 = gtin div 1000"))), otherwise="weak")
-    return x.select("a", F.col("gtin").alias("b"), tier.alias("tier"))
+    return alias_tiers(products(spark, sf_dir).select("gtin", "name", "size", "brand", "department"))
+
+
+def alias_tiers(p: DataFrame) -> DataFrame:
+    """All pairs of codes of a block: alike in all, in brand or code prefix, or in name and size alone."""
+    same_brand = F.col("a_brand") == F.col("b_brand")
+    tier = first_reason(("strong", same_brand & (F.col("a_department") == F.col("b_department"))), ("variant", same_brand | (F.expr("a div 1000 = b div 1000"))), otherwise="weak")
+    return all_pairs(p, "name", "size").select("a", "b", tier.alias("tier"))
 
 
 @query("g07_identity_keys", f"WITH {PRODUCTS} SELECT gtin, CASE WHEN gtin % 19 <> 0 AND size % 10 <> 0 THEN name || '|' || size || '|' || brand END AS key FROM products")
@@ -273,12 +274,11 @@ SELECT a, b, CASE WHEN aliased THEN 'already an alias' WHEN same AND two_brands
 def g13_decisions(spark, sf_dir):
     """Verdicts on pairs become aliases or non-aliases, unless a guard refuses: a code that is an alias already, or two brands."""
     p = products(spark, sf_dir).select("gtin", "name", "size", "brand")
-    first = p.groupBy("name", "size").agg(F.min(F.struct(F.col("gtin").alias("a"), F.col("brand").alias("a_brand"))).alias("x")).select("name", "size", "x.*")
-    verdicts = p.join(first, ["name", "size"]).filter("gtin <> a").withColumn("same", F.col("gtin") % 3 != 0)
-    known = p.filter("gtin % 40 = 1").select("gtin", F.lit(True).alias("aliased"))
-    x = verdicts.join(known, "gtin", "left")
-    outcome = first_reason(("already an alias", F.col("aliased")), ("two brands", F.col("same") & (F.col("brand") != F.col("a_brand"))), ("alias", F.col("same")), otherwise="not alias")
-    return x.select("a", F.col("gtin").alias("b"), outcome.alias("outcome"))
+    verdicts = all_pairs(p, "name", "size").withColumn("same", F.col("b") % 3 != 0)
+    known = p.filter("gtin % 40 = 1").select(F.col("gtin").alias("b"), F.lit(True).alias("aliased"))
+    x = verdicts.join(known, "b", "left")
+    outcome = first_reason(("already an alias", F.col("aliased")), ("two brands", F.col("same") & (F.col("a_brand") != F.col("b_brand"))), ("alias", F.col("same")), otherwise="not alias")
+    return x.select("a", "b", outcome.alias("outcome"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Hand-worked cases and brute force for joins, votes, names, substitutes and feeds."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,26 @@ def test_blocks_have_one_pair_a_row(spark):
     assert joins.block_pairs(rows.limit(0), "key").count() == 0
 
 
+def test_verdicts_are_on_all_pairs_of_a_block(spark):
+    """Codes 2 and 3 are of one brand, the block's first isn't; a pair declared different takes no other with it."""
+    rows = spark.createDataFrame([(1, "k", 5, "A", "D"), (2, "k", 5, "B", "D"), (3, "k", 5, "B", "D"), (6, "k", 5, "B", "E"), (7000, "k", 5, "C", "D"), (8, "k", 6, "B", "D")], "gtin long, name string, size int, brand string, department string")
+    got = {(x.a, x.b): x.tier for x in votes.alias_tiers(rows).collect()}
+    assert got == {(1, 2): "variant", (1, 3): "variant", (1, 6): "variant", (2, 3): "strong", (2, 6): "variant", (3, 6): "variant", **{(i, 7000): "weak" for i in (1, 2, 3, 6)}}
+    assert votes.alias_tiers(rows.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the driver's tables aren't here")
+def test_declared_pairs_take_no_others_with_them(spark):
+    sf = "/root/testdata/sf0.01"
+    blocks = {}
+    for x in spark.read.parquet(f"{sf}/part.parquet").collect():
+        blocks.setdefault((x.p_name, x.p_size), []).append(x.p_partkey)
+    pairs = {(a, b) for codes in blocks.values() for a in codes for b in codes if a < b}
+    assert {(x.a, x.b) for x in joins.j16_name_blocks(spark, sf).collect()} == pairs
+    assert {(x.a, x.b) for x in joins.j25_blocked_pairs(spark, sf).collect()} == {(a, b) for a, b in pairs if (b - a) % 5}
+    assert {(x.a, x.b) for x in votes.g13_decisions(spark, sf).collect()} == pairs
+
+
 @pytest.mark.parametrize(
     "price, promo, weighed, want",
     [(1000, 1000, False, "bundle"), (1000, 2500, False, "bundle"), (1000, 900, False, "unit"), (1000, 900, True, "kilo"), (1000, 1200, True, None), (1000, 0, False, None)],
