@@ -135,6 +135,8 @@ def meetings(rows: DataFrame, radius: int, dense: int) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """fps(fp), distinct -> (a, b): pairs within the radius whose components are those of all such pairs."""
+    if radius < 0 or radius % 4:
+        raise ValueError(f"radius {radius}: balls on halves and dense values are exact for multiples of four only")
     half = emit(fps, 32, radius // 4).repartition("key").sortWithinPartitions("key")
     found = written(meetings(half, radius, dense))
     crowd = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()

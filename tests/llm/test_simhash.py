@@ -57,6 +57,12 @@ def test_against_all_pairs(spark, dense):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("radius", [3, 5, 6])
+def test_radii_that_would_lose_pairs_are_refused(spark, radius):
+    with pytest.raises(ValueError, match="multiples of four"):
+        simhash.links(spark.createDataFrame([(0,), (7,)], "fp long"), radius)
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
