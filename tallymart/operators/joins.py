@@ -155,10 +155,11 @@ def all_pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return side("a").join(side("b"), list(keys)).filter("a < b")
 
 
-BLOCKS = "blocks AS (SELECT gtin, name, size, brand, min(gtin) OVER (PARTITION BY name, size) AS a, min(gtin) OVER (PARTITION BY name, size, brand) AS ab FROM products)"
+BLOCK_PAIRS = "SELECT a.gtin AS a, b.gtin AS b, name, size FROM products a JOIN products b USING (name, size) WHERE a.gtin < b.gtin"
+BLOCKS = "blocks AS (SELECT gtin, name, size, brand, min(gtin) OVER (PARTITION BY name, size, brand) AS ab FROM products)"
 
 
-@query("j16_name_blocks", f"WITH {PRODUCTS}, {BLOCKS} SELECT a, gtin AS b, name, size FROM blocks WHERE gtin <> a")
+@query("j16_name_blocks", f"WITH {PRODUCTS} {BLOCK_PAIRS}")
 def j16_name_blocks(spark, sf_dir):
     return all_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size").select("a", "b", "name", "size")
 
@@ -168,7 +169,7 @@ def j17_identity_blocks(spark, sf_dir):
     return block_pairs(products(spark, sf_dir).select("gtin", "name", "size", "brand"), "name", "size", "brand")
 
 
-@query("j25_blocked_pairs", f"WITH {PRODUCTS}, {BLOCKS} SELECT a, gtin AS b, name, size FROM blocks WHERE gtin <> a AND (gtin - a) % 5 <> 0")
+@query("j25_blocked_pairs", f"WITH {PRODUCTS} {BLOCK_PAIRS} AND (b.gtin - a.gtin) % 5 <> 0")
 def j25_blocked_pairs(spark, sf_dir):
     """Pairs but for those that someone declared different: an anti join with the list of these."""
     pairs = all_pairs(products(spark, sf_dir).select("gtin", "name", "size"), "name", "size").select("a", "b", "name", "size")

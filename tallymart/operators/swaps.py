@@ -9,8 +9,8 @@ from ..registry import query
 from ..sources.market import products
 from .joins import STOCKED, cheapest, first_reason, stocked
 
-SWAPS = f"""{STOCKED}, cand AS (SELECT *, row_number() OVER (PARTITION BY chain, concept ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock QUALIFY nth <= 5),
-famcand AS (SELECT *, row_number() OVER (PARTITION BY chain, family ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock QUALIFY nth <= 5),
+SWAPS = f"""{STOCKED}, cand AS (SELECT *, row_number() OVER (PARTITION BY chain, concept ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock),
+famcand AS (SELECT *, row_number() OVER (PARTITION BY chain, family ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock),
 pairs AS (SELECT w.chain, w.gtin, w.concept, w.price_c AS base_c, w.size AS base_size, w.department AS base_department, w.brand AS base_brand, c.gtin AS item, c.nth, c.size, c.department, c.brand, c.price_c
   FROM stocked w JOIN cand c ON c.chain = w.chain AND c.concept = w.concept WHERE NOT w.in_stock),
 judged AS (SELECT *, CASE WHEN department <> base_department THEN 'department' WHEN size * 4 < base_size * 3 OR size * 3 > base_size * 4 THEN 'size' WHEN price_c > 3 * base_c OR price_c * 3 < base_c THEN 'price' ELSE 'ok' END AS reason FROM pairs)"""

@@ -223,8 +223,8 @@ def g04_band_margin(spark, sf_dir):
 
 @query(
     "g06_alias_candidates",
-    f"""WITH {PRODUCTS}, b AS (SELECT *, first_value(gtin) OVER w AS a, first_value(brand) OVER w AS a_brand, first_value(department) OVER w AS a_department FROM products WINDOW w AS (PARTITION BY name, size ORDER BY gtin))
-SELECT a, gtin AS b, CASE WHEN brand = a_brand AND department = a_department THEN 'strong' WHEN brand = a_brand OR a // 1000 = gtin // 1000 THEN 'variant' ELSE 'weak' END AS tier FROM b WHERE gtin <> a""",
+    f"""WITH {PRODUCTS}, b AS (SELECT y.*, x.gtin AS a, x.brand AS a_brand, x.department AS a_department FROM products x JOIN products y ON x.name = y.name AND x.size = y.size AND x.gtin < y.gtin)
+SELECT a, gtin AS b, CASE WHEN brand = a_brand AND department = a_department THEN 'strong' WHEN brand = a_brand OR a // 1000 = gtin // 1000 THEN 'variant' ELSE 'weak' END AS tier FROM b""",
 )
 def g06_alias_candidates(spark, sf_dir):
     return alias_tiers(products(spark, sf_dir).select("gtin", "name", "size", "brand", "department"))
@@ -267,8 +267,8 @@ def g12_review_clusters(spark, sf_dir):
 
 @query(
     "g13_decisions",
-    f"""WITH {PRODUCTS}, b AS (SELECT *, first_value(gtin) OVER w AS a, first_value(brand) OVER w AS a_brand FROM products WINDOW w AS (PARTITION BY name, size ORDER BY gtin)),
-d AS (SELECT a, gtin AS b, gtin % 3 <> 0 AS same, brand <> a_brand AS two_brands, gtin % 40 = 1 AS aliased FROM b WHERE gtin <> a)
+    f"""WITH {PRODUCTS}, b AS (SELECT y.*, x.gtin AS a, x.brand AS a_brand FROM products x JOIN products y ON x.name = y.name AND x.size = y.size AND x.gtin < y.gtin),
+d AS (SELECT a, gtin AS b, gtin % 3 <> 0 AS same, brand <> a_brand AS two_brands, gtin % 40 = 1 AS aliased FROM b)
 SELECT a, b, CASE WHEN aliased THEN 'already an alias' WHEN same AND two_brands THEN 'two brands' WHEN same THEN 'alias' ELSE 'not alias' END AS outcome FROM d""",
 )
 def g13_decisions(spark, sf_dir):
