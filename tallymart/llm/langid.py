@@ -10,19 +10,21 @@ per document over the whole text, in numpy over Arrow batches. A profile has ``s
 to the workers is bounded by size x languages.
 
 Null and letterless texts are `und` with score 0; so is everything when no row is labelled. Ties go to the language
-first in order; equal rows get equal answers; an empty table gives an empty result.
+first in order; equal rows get equal answers; an empty table gives an empty result. Very long texts are counted in
+stretches of ``STRETCH`` characters that overlap, so that the arrays held are those of a stretch and of the distinct n-grams.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, table
 
 GRAMS = (1, 2, 3)
+STRETCH = 1 << 20
 BITS = 21  # a code point needs no more, so that three fit into 63 bits
 UND = "und"
 _letters: dict[str, np.ndarray] = {}
@@ -32,11 +34,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def folded(text: str | None) -> np.ndarray:
-    """Code points in lower case, each run of other signs than letters as one space, spaces at both ends."""
-    if not text:
-        return np.zeros(0, np.int64)
+def folded(text: str) -> np.ndarray:
+    """Code points in lower case, each run of other signs than letters as one space, a space at both ends; none without a letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not len(points):
+        return points
     top = int(points.max()) + 1
     known = _letters.get("is", np.zeros(0, bool))
     if len(known) < top:
@@ -48,22 +50,48 @@ def folded(text: str | None) -> np.ndarray:
     points = np.where(is_letter, points, 32)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    return np.concatenate(([32] if is_letter[0] else [], points[keep], [32] if is_letter[-1] else [])).astype(np.int64)
+    return np.concatenate(([32], points[keep], [32] if is_letter[-1] else [])).astype(np.int64)
+
+
+def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
+def stretches(text: str):
+    """The text in parts of STRETCH characters or a little more, none of which ends within a word."""
+    at = 0
+    while at < len(text):
+        end = at + STRETCH
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end] if at or end < len(text) else text
+        at = end
 
 
-def gram_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams; those of spaces alone don't count."""
-    codes = []
-    for n in GRAMS:
-        if len(points) < n:
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of a text, none if it has no letter; a space alone doesn't count."""
+    codes, counts, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
+    for part in stretches(text or ""):
+        points = folded(part)
+        if not len(points):
             continue
-        code = points[: len(points) - n + 1].copy()
-        for k in range(1, n):
-            code = (code << BITS) | points[k : len(points) - n + 1 + k]
-        codes.append(code[code != 32] if n == 1 else code)
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate(codes), return_counts=True)
+        found = [points[points != 32]]
+        for n in GRAMS[1:]:
+            code = points[: len(points) - n + 1]
+            for k in range(1, n):
+                code = (code << BITS) | points[k : len(points) - n + 1 + k]
+            found.append(code)
+        if last is not None:  # the n-gram over the border
+            found.append(np.array([(((last << BITS) | 32) << BITS) | points[1]], np.int64))
+        last = points[-2]
+        c, n = np.unique(np.concatenate(found), return_counts=True)
+        codes.append(c)
+        counts.append(n)
+        if len(codes) > 8:
+            codes, counts = ([x] for x in merged(codes, counts))
+    return (codes[-1], counts[-1]) if len(codes) <= 2 else merged(codes, counts)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -74,7 +102,8 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def learn(docs: DataFrame, per_language: int = 2000, size: int = 400) -> dict[str, np.ndarray]:
     """Profiles from docs(doc_id, text, lang) that aren't held out and have a label.
 
-    What comes back to the driver are n-gram counts of the sample, those of at least 3: bounded by the sample.
+    The sample is bounded: about ``per_language`` documents a language. What comes back to the driver are the first ``size`` n-grams
+    of each language, however rare they are.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -88,14 +117,14 @@ def learn(docs: DataFrame, per_language: int = 2000, size: int = 400) -> dict[st
     def count(frames):
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
-                parts = [gram_counts(folded(t)) for t in texts]
-                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([k for _, k in parts]), minlength=len(codes))
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": n.astype(np.int64)})
+                codes, n = merged(*zip(*map(gram_counts, texts)))
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
     counts = picked.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = counts.filter("n >= 3").toPandas()
-    return {lang: ranked(x.code.to_numpy(), x.n.to_numpy(), size) for lang, x in sorted(found.groupby("lang"))}
+    # Spark cuts each partition to its first ``size`` before the shuffle by language.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
+    found = counts.withColumn("place", place).filter(F.col("place") <= size).toPandas().sort_values("place")
+    return {lang: x.code.to_numpy(np.int64) for lang, x in sorted(found.groupby("lang"))}
 
 
 def out_of_place(own: np.ndarray, profiles: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -121,12 +150,12 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400) -
     def nearest(texts: pd.Series) -> pd.DataFrame:
         langs, scores = [], []
         for text in texts:
-            points = folded(text)
-            if not len(points) or not names:
+            own = ranked(*gram_counts(text), size)
+            if not len(own) or not names:
                 langs.append(UND)
                 scores.append(0.0)
                 continue
-            far = out_of_place(ranked(*gram_counts(points), size), packed, size)
+            far = out_of_place(own, packed, size)
             best = int(far.argmin())
             langs.append(names[best])
             scores.append(float(1 - far[best]))

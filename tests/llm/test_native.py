@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,6 +199,43 @@ def test_language_profiles(spark):
     assert {r["_tm_lang"].lang_pred for r in langid.predict(docs, langid.learn(docs.filter("lang IS NULL"))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """1- to 3-grams of a text by Counter: code, the most frequent first, of equal ones the smaller code."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    words = low.split(" ")
+    flat = " ".join(["", *[w for w in words if w], ""])
+    if not flat.strip():
+        return Counter()
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return Counter(code(flat[i : i + n]) for n in (1, 2, 3) for i in range(len(flat) - n + 1) if flat[i : i + n] != " ")
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Profiles and out-of-place distances counted plainly; one language has few and short texts."""
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    rng = random.Random(9)
+    bits = {"aa": "abcdeé", "bb": "cdefgß", "few": "xyz"}
+    rows = [(i, "".join(rng.choice(bits[g] + " .1") for _ in range(rng.randrange(0, 90))), g) for i in range(300) for g in [rng.choice(["aa", "bb"])]]
+    rows += [(400, "xy zz", "few"), (401, "x", "few"), (402, "zyx yx", None), (403, None, "aa"), (404, "?! 7", "bb"), (405, "İA ΑΣ ΣΑΣ.Σ", None), (402, "zyx yx", None)]
+    size = 30
+    counts = {}
+    for i, t, g in rows:
+        if g and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(g, Counter()).update(plain_grams(t))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    profiles = {g: {code: k for k, code in enumerate(top(c))} for g, c in counts.items()}
+    want = {}
+    for i, t, _ in rows:
+        own = top(plain_grams(t))
+        far = {g: sum(abs(p[c] - k) if c in p else size for k, c in enumerate(own)) / size / len(own) for g, p in profiles.items()} if own else {}
+        best = min(far, key=lambda g: (round(far[g], 9), g), default="und")
+        want[i] = best, round(1 - far[best], 9) if far else 0.0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.predict(docs, langid.learn(docs, size=size), size)
+    assert {r.doc_id: (r["_tm_lang"].lang_pred, round(r["_tm_lang"].score, 9)) for r in got.collect()} == want and got.count() == len(rows)
+    assert want[402][0] == "few"
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_near_vectors(spark, block):
     rng = np.random.default_rng(7)
