@@ -14,7 +14,8 @@ and get the same result; null text stays null, empty text empty. Null ids come l
 With ``passage``, runs of fewer lines than the window that together hold more words than that are deleted by the same rule:
 short lines still need a window, long ones don't. The query op1 has none, as its SQL; the pipeline's stage takes 50.
 
-No step needs the rows of one line or run together: first positions are minima, combined before the shuffle.
+No step needs the rows of one line or run together: first positions are minima, combined before the shuffle and written, so that
+the join that brings them back is one of two tables, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, passage: int | None =
     marks = rows.select("doc_id", "tkey", F.explode(F.array_distinct(F.transform(starts, lambda i: chosen(hs, i, window)))).alias("mark"))
     # A mark repeats if two documents have it, or one has it at two places.
     places = rows.select(F.explode("h").alias("mark"))
-    often = marks.select("mark").distinct().join(places.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1"), "mark").select("mark")
+    # Written, like first below: adaptive execution splits a hot key only where neither side of the join is an aggregate on it.
+    often = written(marks.select("mark").distinct().join(places.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1"), "mark").select("mark"))
     hot = marks.join(often, "mark").groupBy("doc_id", "tkey").agg(F.collect_set("mark").alias("marks"))
     hot = hot.withColumnsRenamed({"doc_id": "_id", "tkey": "_key"})
 
@@ -90,7 +92,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, passage: int | None =
         runs = runs.unionByName(rows.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(each)))
     runs = written(runs)
     here = F.struct("no_id", "doc_id", "tkey", "start")
-    first = runs.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(runs.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = runs.join(first, ["k1", "k2"]).filter(here != F.col("first"))
     return later.groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
