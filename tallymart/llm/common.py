@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Python workers get at most so many rows at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(parts, rows: int = 1000, size: int = 8 << 20):
+    """A task's Arrow batches (which Spark cuts at 64 MB) in slices of about so many rows and bytes; a longer row is one slice."""
+    for part in parts:
+        step = max(1, min(rows, part.num_rows * size // max(part.nbytes, 1)))
+        for at in range(0, part.num_rows, step):
+            yield part.slice(at, step)
 
 
 def let(value: Column, use) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import table
 
 GRAMS = (1, 2, 3)
 STRETCH = 1 << 20
@@ -106,7 +106,6 @@ def learn(docs: DataFrame, per_language: int = 2000, size: int = 400) -> dict[st
     of each language, however rare they are.
     """
     spark = docs.sparkSession
-    batches(spark)
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     share = rows.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(per_language) / F.col("count")).alias("share"))
     picked = (
@@ -139,7 +138,6 @@ def out_of_place(own: np.ndarray, profiles: list[tuple[np.ndarray, np.ndarray]],
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400) -> DataFrame:
     """docs(text, ...) -> also lang_pred, score (1 - the mean distance from the nearest profile)."""
-    batches(docs.sparkSession)
     names = sorted(profiles)
     packed = []
     for name in names:

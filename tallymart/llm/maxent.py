@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, table, written
+from .common import small, table, written
 
 FREQUENT, SINGLES, SHARED, FEATURES, STEP, BATCH, PIECE = 1 << 17, 48, 16, 1 << 14, 0.1, 8192, 1024
 END = b"\n"  # no token holds it
@@ -81,7 +81,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
             for at in range(0, len(h), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["h", "n"])
 
-        for part in parts:
+        for part in small(parts):
             for text in part.column(0):
                 held.update(tokens(text))
             if len(held) > KNOWN_WORDS:
@@ -221,7 +221,7 @@ def train(texts: DataFrame, model: Model) -> np.ndarray:
         squares = np.full(count, 1e-2 * classes, np.float32)
         seen = np.zeros(count, np.int64)
         read, buffer, room = Reader(model), np.empty((BATCH, classes), np.float32), np.empty((BATCH, classes), np.float32)
-        for part in parts:
+        for part in small(parts):
             code, _, f = read(part.column(0))
             kind = read.kind[code]
             for at in range(0, len(code), BATCH):
@@ -270,7 +270,6 @@ def most_frequent(counts: DataFrame, most: int):
 
 def fit(docs: DataFrame, frequent: int = FREQUENT, singles: int = SINGLES, shared: int = SHARED, features: int = FEATURES) -> tuple[Model, DataFrame]:
     """docs(doc_id, text) -> the model, and the counts (h, n) of all training tokens as a written table."""
-    batches(docs.sparkSession)
     texts = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("data"))
     counts = written(token_counts(texts))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -292,14 +291,13 @@ def fit(docs: DataFrame, frequent: int = FREQUENT, singles: int = SINGLES, share
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, base_score, score, perplexity."""
-    batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     floor = np.log10(model.total + model.vocabulary + 1.0)
 
     def run(parts):
         read, buffer = Reader(model), np.empty((BATCH, model.classes), np.float32)
         pair = pa.struct([("h", pa.int64()), ("n", pa.int32())])
-        for part in parts:
+        for part in small(parts):
             if not part.num_rows:
                 continue
             code, sizes, f = read(part.column(2))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, table, written
+from .common import components, small, table, written
 
 THRESHOLD, TABLES, HASHES, BLOCK, SIGMAS = 0.95, 40, 3, 1024, 6.0
 _turns: dict[tuple, np.ndarray] = {}
@@ -110,11 +110,10 @@ def classes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept."""
-    batches(embeddings.sparkSession)
     rows, classes = classes_of(embeddings)
 
     def emit(parts):
-        for part in parts:
+        for part in small(parts):
             cid = part.column(0).to_numpy()
             for at, matrix in by_length(part):
                 key = cells(unit(matrix), tables, hashes)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, table, written
+from .common import components, table, written
 
 WORDS, RADIUS, DENSE = 4, 4, 24
 CHUNK = 1 << 16
@@ -50,7 +50,6 @@ def fingerprint(text: bytes | None, n: int = WORDS) -> int:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp long."""
-    batches(docs.sparkSession)
 
     def run(parts):
         for part in parts:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, table, written
+from .common import small, table, written
 
 LEAST, GRAM, CROWD = 100, 32, 4096
 PIECE = 1 << 20
@@ -113,7 +113,7 @@ def anchored(docs: DataFrame, least: int, gram: int) -> DataFrame:
     q < 0: bytes p to -q go, as this batch has an earlier copy."""
 
     def run(parts):
-        for part in parts:
+        for part in small(parts, 2000):
             doc, t = part.column(0).to_numpy(), part.column(1).to_numpy()
             column = part.column(2)
             if not len(doc):
@@ -306,7 +306,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, data (the bytes left), n_bytes, n_removed, n_spans."""
-    batches(docs.sparkSession, 2000)
     rows = keyed(docs)
     gone = repeats(rows.select("doc", "t", "data"), least, gram, crowd)
     lists = gone.groupBy("doc", "t").agg(F.collect_list(F.struct("p", "q")).alias("gone")).withColumnsRenamed({"doc": "_doc", "t": "_t"})
