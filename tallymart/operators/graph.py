@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -15,8 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     themselves have no row.
 
     Alternates large-star and small-star steps: every step points a node's neighbours at its smallest neighbour. Each
-    is an aggregate with map-side combining and a join that adaptive execution can split, so a hub with a third of
-    all edges does not land in one task. Every round is written, and only the edge count and a checksum come back.
+    is an aggregate with map-side combining, written, and a join with what was written: adaptive execution splits a hot
+    key only where both sides of a join are plain shuffles, so a hub with a third of all edges does not land in one
+    task. Every round is written, and only the edge count and a checksum come back.
     """
     e = written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -25,12 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not was[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        pairs = star.join(star.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        star = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        first = written(star.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        new = written(pairs.select(F.inline(ends)).filter("u <> v").distinct())
-        forget(e)
+        new = written(star.join(first, "u").select(F.inline(ends)).filter("u <> v").distinct())
+        for done in (e, least, star, first):
+            forget(done)
         now, e = state(new), new
         if now == was:
             break
@@ -52,6 +54,7 @@ def g10_same_product_clusters(spark, sf_dir):
     neighbours in size order, which join up the same clusters as all pairs do."""
     sold = offers(spark, sf_dir).select("gtin").distinct()
     m = sold.join(products(spark, sf_dir).select("gtin", "name", "brand", "size"), "gtin")
-    near = m.alias("a").join(m.alias("b"), ["name", "brand"]).filter("a.gtin < b.gtin AND abs(a.size - b.size) <= 2")
-    parts = components(near.select(F.col("a.gtin").alias("a"), F.col("b.gtin").alias("b")))
+    after = Window.partitionBy("name", "brand").orderBy("size", "gtin")
+    near = m.withColumns({"b": F.lead("gtin").over(after), "step": F.lead("size").over(after) - F.col("size")}).filter("step <= 2")
+    parts = components(near.select(F.col("gtin").alias("a"), "b"))
     return m.join(parts, m["gtin"] == parts["node"], "left").select("gtin", F.coalesce("root", "gtin").alias("cluster"))

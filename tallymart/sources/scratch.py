@@ -11,9 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where the session names none (tests)."""
+    """A new path in the folder that spark.checkpoint.dir names. Where the session names none, a local master (tests) gets a
+    folder of its own; a cluster, whose machines would each write to their own disk, gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
     return f"{base.rstrip('/')}/tallymart-{uuid.uuid4().hex}"
 
