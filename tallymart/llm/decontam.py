@@ -1,14 +1,19 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-A window is 13 consecutive words of a benchmark item (a shorter item is one window). Of each 13 words, winnowing keeps
-the 5-word gram with the smallest hash. Both sides choose alike, so any shared window has a shared fingerprint at the
-same place in it: documents without one are clean for certain. The others are extended: the windows of 13 words around
-each shared fingerprint, both ways, are compared as text with the benchmark's. Only whole equal windows count as hits.
+A window is 13 consecutive words of a benchmark item (a shorter item is one window). Of each ``w`` consecutive 5-word grams of
+a document, winnowing keeps the smallest hash; w is so small that the shortest window of five words or more holds w grams, so
+that all windows share one pass. The smallest gram of a window's own grams is then surely among those kept wherever
+the window occurs: documents without such a mark are clean for certain. Windows of one to four words are a gram of their
+own. Neighbouring places with one smallest hash are a run (mark, first place, last place); of the runs whose mark the benchmark
+has, the windows around are compared as text, both ways, with the benchmark's. Only whole equal windows count as hits.
 
 Words are runs of letters, digits and signs beyond ASCII; A to Z are lower-cased. A row is known by its doc_id and a
 hash of its text, so that repeated ids do no harm: equal rows get equal results. Null and empty texts have no words;
-null and wordless items are no windows; empty tables give no hits. Items of equal text are compared once. A document
-has at most as many windows as words, and its windows are put together per document, not per window or item.
+null and wordless items are no windows; empty tables give no hits. Items of equal text are compared once, and so are
+equal windows of several items: a passage that thousands of items share is one row a place. A document
+has at most as many windows as words and lengths of windows, and they are put together per document, not per window or item.
+Tables of marks, hit documents and windows are written, so that Spark broadcasts them where they are small and splits hot keys
+where they aren't.
 """
 
 from __future__ import annotations
@@ -18,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import let, lower_ascii, table, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, before lower-casing or after
 SPAN, GRAM = 13, 5
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Splitting at the gaps takes a third of the time of matching the words."""
+    return F.coalesce(F.array_remove(F.split(lower_ascii(text), GAP), ""), F.array().cast("array<string>"))
 
 
 def text_key(text: Column) -> Column:
@@ -37,27 +42,37 @@ def gram_hashes(ws: Column, gram: int) -> Column:
     return F.when(F.size(ws) >= gram, F.transform(F.sequence(F.lit(0), F.size(ws) - gram), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(hashes: Column, window: int) -> Column:
-    """The smallest hash of each window of grams, without repeats. Fewer grams than a window give none."""
+def windows_least(hashes: Column, window: int) -> Column:
+    """The smallest hash of each window of grams. Fewer grams than a window give none."""
+    if window == 1:
+        return hashes
     n = F.size(hashes) - window + 1
     least = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(hashes, i, window)))
-    return F.array_distinct(F.when(n >= 1, least).otherwise(F.array().cast("array<bigint>")))
+    return F.when(n >= 1, least).otherwise(F.array().cast("array<bigint>"))
 
 
-def marks_of(ws: Column, gram: int, window: int) -> Column:
-    return let(let(ws, lambda w: gram_hashes(w, gram)), lambda h: fingerprints(h, window))
+def runs_of(least: Column) -> Column:
+    """(mark, lo, hi) of the runs of neighbouring places with one value."""
+    new = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+    one = lambda m, at: F.transform(at, lambda i, k: F.struct(F.get(m, i).alias("mark"), i.alias("lo"), (F.coalesce(F.get(at, k + 1), F.size(m)) - 1).alias("hi")))
+    runs = let(least, lambda m: let(new(m), lambda at: one(m, at)))
+    return F.when(F.size(least) >= 1, runs)
 
 
-def all_starts(ws: Column, length: int) -> Column:
-    n = F.size(ws) - length + 1
-    return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def doc_runs(ws: Column, lengths: list[int], gram: int = GRAM) -> Column:
+    """The runs that windows of these lengths need, with the gram of each: one array, from one pass over the words."""
+    none = F.array().cast("array<struct<mark:bigint,lo:int,hi:int>>")
 
+    def of_gram(g: int) -> Column:
+        window = min(n for n in lengths if min(n, gram) == g) - g + 1
+        runs = let(let(ws, lambda w: gram_hashes(w, g)), lambda h: let(windows_least(h, window), runs_of))
+        return F.transform(F.coalesce(runs, none), lambda r: F.struct(F.lit(g).alias("gram"), r["mark"].alias("mark"), r["lo"].alias("lo"), r["hi"].alias("hi")))
+
+    return F.concat(*[of_gram(g) for g in sorted({min(n, gram) for n in lengths})])
 
-def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
-    """items(item_id, text) -> distinct (span, n, texts): windows, their lengths, and which item texts hold each.
 
-    texts: numbers of the distinct item texts; item_texts() has the ids of each.
-    """
+def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
+    """items(item_id, text) -> distinct (item_text, n, span, skey): windows of each distinct item text, their lengths and names."""
     ws = items.select(words(F.col("text")).alias("ws")).filter(F.size("ws") > 0).distinct()
     n = F.least(F.size("ws"), F.lit(span))
     starts = F.sequence(F.lit(0), F.size("ws") - n)
@@ -66,7 +81,7 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
         n.alias("n"),
         F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(F.col("ws"), i + 1, n), " ")))).alias("span"),
     )
-    return one
+    return one.withColumn("skey", F.md5("span"))
 
 
 def item_texts(items: DataFrame) -> DataFrame:
@@ -75,48 +90,41 @@ def item_texts(items: DataFrame) -> DataFrame:
     return ws.select(F.sha2(F.array_join("ws", " "), 256).alias("item_text"), F.col("item_id").cast("string").alias("item_id"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tkey, start, n, item_text): each place where a window of the items occurs in a document.
-
-    docs(doc_id, text), items(item_id, text).
-    """
-    windows = written(item_windows(items, span))
-    lengths = [r.n for r in windows.filter(F.col("n") < span).select("n").distinct().collect()]  # below span: few numbers
-    window = span - gram + 1
+def overlaps(docs: DataFrame, windows: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(doc_id, tkey, start, n, skey): each place where a window (of item_windows) occurs in a document. docs(doc_id, text)."""
+    spans = written(windows.select("n", "span", "skey").distinct())
+    lengths = sorted(r.n for r in spans.select("n").distinct().collect())  # 13 numbers at most
     source = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
-
-    long_items = windows.filter(F.col("n") == span)
-    marks = written(
-        long_items.select(F.explode(marks_of(F.split("span", " "), gram, window)).alias("mark")).distinct()
-    )
-    seen = source.select("doc_id", "tkey", F.explode(marks_of(words(F.col("text")), gram, window)).alias("mark"))
-    hits = seen.join(marks, "mark").groupBy("doc_id", "tkey").agg(F.collect_set("mark").alias("marks"))
-    hits = hits.withColumnsRenamed({"doc_id": "_id", "tkey": "_key"})
-
-    # Extension: the starts of all windows around a shared fingerprint. The texts are read again, of the documents hit.
+    if not lengths:
+        return source.select("doc_id", "tkey", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("skey")).limit(0)
+    mark = F.lit(None).cast("long")
+    for g in range(gram, 0, -1):
+        mark = F.when(F.least("n", F.lit(gram)) == g, F.array_min(gram_hashes(F.split("span", " "), g))).otherwise(mark)
+    marks = written(spans.select(F.least("n", F.lit(gram)).alias("gram"), mark.alias("mark")).distinct())
+
+    # The outer forms: for the inner ones Spark adds a filter that computes the whole array once more. The joins drop the nulls.
+    seen = source.select("doc_id", "tkey", F.inline_outer(let(words(F.col("text")), lambda ws: doc_runs(ws, lengths, gram))))
+    hits = seen.join(marks, ["gram", "mark"]).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("gram", "lo", "hi")).alias("runs"))
+    hits = written(hits.withColumnsRenamed({"doc_id": "_id", "tkey": "_key"}))
+
+    # Extension: the starts of all windows around the runs. The texts are read again, of the documents hit.
     again = source.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")))
 
-    def around(ws: Column) -> Column:
-        starts = let(gram_hashes(ws, gram), lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains("marks", F.get(h, i))))
-        lo, hi = (lambda p: F.greatest(p - (window - 1), F.lit(0))), (lambda p: F.least(p, F.size(ws) - span))
-        starts = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(lo(p), hi(p)))))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice(ws, i + 1, span), " ").alias("span")))
+    def around(ws: Column, n: int) -> Column:
+        g = min(n, gram)
+        least = min(x for x in lengths if min(x, gram) == g)
+        mine = F.filter("runs", lambda r: r["gram"] == g)
+        starts = F.transform(mine, lambda r: let(F.struct(F.greatest(r["lo"] - (n - least), F.lit(0)).alias("a"), F.least(r["hi"], F.size(ws) - n).alias("b")), lambda e: F.when(e["a"] <= e["b"], F.sequence(e["a"], e["b"])).otherwise(F.array().cast("array<int>"))))
+        return F.transform(F.array_distinct(F.flatten(starts)), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(ws, i + 1, n), " ").alias("span")))
 
-    around = again.select("doc_id", "tkey", F.inline(let(words(F.col("text")), around)))
-    found = around.join(long_items.select("span", "item_text"), "span").select("doc_id", "tkey", "start", F.lit(span).alias("n"), "item_text")
-
-    for n in lengths:  # an item of n < span words is one window; every n words are looked up
-        short = windows.filter(F.col("n") == n).select("span", "item_text")
-        each = let(words(F.col("text")), lambda ws: F.transform(all_starts(ws, n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(ws, i + 1, n), " ").alias("words"))))
-        every = source.select("doc_id", "tkey", F.inline(each))
-        same = every.join(short, F.col("words") == F.col("span"))
-        found = found.unionByName(same.select("doc_id", "tkey", "start", F.lit(n).alias("n"), "item_text"))
-    return found
+    places = again.select("doc_id", "tkey", F.inline_outer(let(words(F.col("text")), lambda ws: F.concat(*[around(ws, n) for n in lengths]))))
+    return places.join(spans, ["n", "span"]).select("doc_id", "tkey", "start", "n", "skey")
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Per row of docs: doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = written(overlaps(docs, items, span, gram).distinct())
+    windows = written(item_windows(items, span))
+    found = written(overlaps(docs, windows, gram).distinct())
     pieces = found.select("doc_id", "tkey", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     covered = pieces.groupBy("doc_id", "tkey").agg(
         F.aggregate(  # the length of the union of a document's pieces
@@ -127,9 +135,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             ),
         )["n"].cast("long").alias("n_hit")
     )
-    texts = found.select("doc_id", "tkey", "item_text").distinct()
-    sets = texts.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("item_text")).alias("texts")).withColumn("set_key", F.sha2(F.array_join("texts", ","), 256))
-    each = sets.select("set_key", "texts").dropDuplicates(["set_key"]).select("set_key", F.explode("texts").alias("item_text"))
+    sets = found.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("skey")).alias("spans")).withColumn("set_key", F.sha2(F.array_join("spans", ","), 256))
+    sets = written(sets)
+    each = sets.select("set_key", "spans").dropDuplicates(["set_key"]).select("set_key", F.explode("spans").alias("skey"))
+    each = each.join(windows.select("skey", "item_text"), "skey").select("set_key", "item_text").distinct()
     listed = (
         each.join(item_texts(items), "item_text").groupBy("set_key")
         .agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
@@ -140,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("tkey")),
     ).select("_id", "_key", "n_hit", "n_items", "items_sha256")
     base = docs.select(
-        "doc_id", text_key(F.col("text")).alias("tkey"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words")
+        "doc_id", text_key(F.col("text")).alias("tkey"), F.coalesce(F.size(F.array_remove(F.split("text", GAP), "")), F.lit(0)).cast("long").alias("n_words")
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")), "left").select(
@@ -155,7 +164,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    bad = contamination(docs.select("doc_id", "text"), items).filter("contaminated").select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_key"))
+    """docs less the contaminated ones."""
+    bad = written(contamination(docs.select("doc_id", "text"), items).filter("contaminated").select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_key")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_tm_id")) & (text_key(docs["text"]) == F.col("_tm_key")), "left_anti")
 
 

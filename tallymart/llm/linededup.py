@@ -70,7 +70,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, passage: int | None =
     hs = F.col("h")
     starts = windows_of(F.size("h"), window)
 
-    marks = rows.select("doc_id", "tkey", F.explode(F.array_distinct(F.transform(starts, lambda i: chosen(hs, i, window)))).alias("mark"))
+    # The outer forms: for the inner ones Spark adds a filter that computes the whole array once more. The joins drop the nulls.
+    marks = rows.select("doc_id", "tkey", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: chosen(hs, i, window)))).alias("mark"))
     # A mark repeats if two documents have it, or one has it at two places.
     places = rows.select(F.explode("h").alias("mark"))
     # Written, like first below: adaptive execution splits a hot key only where neither side of the join is an aggregate on it.
@@ -86,11 +87,11 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, passage: int | None =
         F.xxhash64(F.slice("g", i + 1, k)).alias("k2"),
         F.slice("line", i + 1, k).alias("lines"),
     )
-    runs = near.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(F.transform(at, lambda i: one(i))))
+    runs = near.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline_outer(F.transform(at, lambda i: one(i))))
     if passage is not None:
         each = F.transform("long", lambda r: one(r["start"], r["k"]))
-        runs = runs.unionByName(rows.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline(each)))
-    runs = written(runs)
+        runs = runs.unionByName(rows.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", F.inline_outer(each)))
+    runs = written(runs.filter("k1 IS NOT NULL"))
     here = F.struct("no_id", "doc_id", "tkey", "start")
     first = written(runs.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = runs.join(first, ["k1", "k2"]).filter(here != F.col("first"))

@@ -106,7 +106,7 @@ def test_decontamination(spark):
     rng = random.Random(2)
     word = lambda: rng.choice(["Aa", "b1", "ÄÖ", "ccc", "d", "Été", "x9", "zz"]) + rng.choice("abcdefgh")
     items = [(i, " ".join(word() for _ in range(rng.randrange(13, 40)))) for i in range(12)]
-    items += [(20, items[0][1]), (21, items[1][1] + " tail"), (30, "Short item, three"), (31, "one"), (32, None), (33, "-- !"), (34, "aäb CdE")]
+    items += [(20, items[0][1]), (21, items[1][1] + " tail"), (30, "Short item, three"), (31, "one"), (32, None), (33, "-- !"), (34, "aäb CdE"), (35, " ".join(items[2][1].split()[2:9])), (36, " ".join(items[5][1].split()[:12])), (37, "d d d d d")]
     docs = [(0, None), (1, ""), (2, "..."), (3, "say ONE thing"), (4, "a short ITEM: three times short item three")]
     for i in range(10, 80):
         parts = [" ".join(word() for _ in range(rng.randrange(0, 60)))]
@@ -115,7 +115,7 @@ def test_decontamination(spark):
             at = rng.randrange(len(w))
             parts.append(", ".join(w[at : at + rng.randrange(8, 30)]).upper() if rng.random() < 0.3 else " ".join(w[at : at + rng.randrange(8, 30)]))
         docs.append((i, " ".join(parts)))
-    docs.append((90, " ".join(items[3][1] for _ in range(300))))
+    docs += [(90, " ".join(items[3][1] for _ in range(300))), (91, "D, d " * 40), (92, "x " + " ".join(items[2][1].split()[2:9]) + " y")]
     d, b = spark.createDataFrame(docs, TEXTS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
     for some in (items, items[:14]):
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(d, b.filter(F.col("item_id").isin([i for i, _ in some]))).collect()}
