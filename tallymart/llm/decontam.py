@@ -149,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("tkey")),
     ).select("_id", "_key", "n_hit", "n_items", "items_sha256")
     base = docs.select(
-        "doc_id", text_key(F.col("text")).alias("tkey"), F.coalesce(F.size(F.array_remove(F.split("text", GAP), "")), F.lit(0)).cast("long").alias("n_words")
+        "doc_id", text_key(F.col("text")).alias("tkey"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")).cast("long").alias("n_words")
     )
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")), "left").select(

@@ -25,6 +25,7 @@ from .common import table
 
 GRAMS = (1, 2, 3)
 STRETCH = 1 << 20
+MIN_SCORE = 0.2
 BITS = 21  # a code point needs no more, so that three fit into 63 bits
 UND = "und"
 _letters: dict[str, np.ndarray] = {}
@@ -162,9 +163,19 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400) -
     return docs.withColumn("_tm_lang", nearest("text"))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told: all but `und`."""
-    return predict(docs, learn(docs)).filter(F.col("_tm_lang.lang_pred") != UND).drop("_tm_lang")
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, langs: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents whose language is told: predicted with a score of min_score or more, and one of langs where given.
+
+    Texts without a letter go, and so do texts unlike all profiles. Texts of the driver's four languages score 0.39 or more even where
+    half of them is junk, so that clean ones stay. Where nothing is labelled no profile exists, and all texts with a letter stay.
+    """
+    profiles = learn(docs)
+    if not profiles:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    told = (F.col("_tm_lang.lang_pred") != UND) & (F.col("_tm_lang.score") >= min_score)
+    if langs is not None:
+        told = told & F.col("_tm_lang.lang_pred").isin(*langs)
+    return predict(docs, profiles).filter(told).drop("_tm_lang")
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in a shuffled order (by a hash of the id), served up to ``epochs`` times. A
-document's virtual finish time is its source's words up to and including it, divided by the source's target. Serving
-in order of finish time and stopping at the total budget gives every source its share, whatever its size.
-
-The order is never gathered: running sums are made of bucket sums (4,096 hash buckets of a source, finish times cut
-into 2,048 steps and those again) plus a running sum inside one bucket. So a source with a third of all rows is
-dealt over thousands of buckets, and one finish-time threshold is all that reaches the driver.
-
-Null text has size 0 and is never taken; a null source is a source of its own, ordered last; equal rows are taken
-alike as ties are broken by hash, id and size; an empty table gives an empty result.
+document's virtual finish time is its source's words up to and including it, divided by the source's target. All turns of
+all documents are put in one global order of finish time by a range sort, which is cut at the total budget: every
+source gets its share, whatever its size.
+
+No order is ever gathered in one task: running sums inside a source are made of sums of 4,096 hash buckets and a running
+sum inside one bucket, so that a source with a third of all rows is dealt over thousands of buckets; sources are ranked and
+filled up over ranges; of the sorted turns only the range in which the budget runs out is summed up row by row. The
+driver gets a sum for each range and the first turn that is over the budget.
+
+Null text has size 0 and is never taken; a null source is a source of its own, ordered last. Rows with equal doc_id and
+size in one source are ties: their running sums take in all of them, so that they get one finish time and the cut takes all of
+them or none. An empty table gives an empty result. Very long texts are counted whole. Columns with clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -17,41 +20,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import before, table, word_count, written
 
-STEPS = 2048
+RANGE_ROWS = 1 << 20
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), epochs: int = 3) -> DataFrame:
     """(source, source_size) -> also sid, target: the total shared by weight, none above epochs times its size.
 
     Filling up: with sources ordered by cap over weight, the level is that at the first source which stays under its
-    cap when all before it are full. One row a source: its windows hold as many rows as there are sources.
+    cap when all before it are full.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.select("source", "source_size", (F.row_number().over(order) - 1).alias("sid")).withColumns(
+    s = before(sizes.select("source", "source_size", F.lit(1).alias("one")), [F.col("source").asc_nulls_last()], sid="one").drop("one").withColumns(
         {
             "weight": F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")),
             "cap": F.col("source_size") * epochs,
         }
     )
-    by = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn(
-        "level",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double")
-        / F.sum("weight").over(after),
-    )
-    s = s.withColumn("level", F.first(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")), ignorenulls=True).over(whole))
-    return s.select("sid", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    full = F.col("cap") / F.col("weight")
+    s = written(before(s, [full, F.col("sid")], caps="cap", weights="weight"))
+    total = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    s = s.withColumn("level", (F.lit(total[0] or 0) - F.col("caps")).cast("double") / (F.lit(total[1] or 0) - F.col("weights")))
+    first = s.filter(F.col("level") <= full).agg(F.min(F.struct(full.alias("full"), "sid", "level"))["level"]).first()[0]
+    return s.select("sid", "source", "source_size", F.least(F.col("cap").cast("double"), F.lit(first).cast("double") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, salt: str = "mix", size: str | None = None) -> DataFrame:
-    """Per document doc_id, size, source, source_size, target, copies, taken. size: a column; else words of text."""
+def queued(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, salt: str = "mix", size: str | None = None) -> DataFrame:
+    """doc_id, tkey (a hash of the text), source, size, h, sid, source_size, target, upto: each document's place in its source's queue."""
     base = written(
         docs.select(
             "doc_id",
+            (F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")).alias("tkey"),
             "source",
             (word_count(F.col("text")) if size is None else F.col(size).cast("long")).alias("size"),
             F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("h"),
@@ -64,50 +63,65 @@ def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, salt: str = "mix",
         back(sums)
         .select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queue = written(
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return written(
         back(base)
         .withColumn("inside", F.sum("size").over(inside))
         .join(earlier, ["sid", "bucket"])
         .withColumn("upto", F.col("before") + F.col("inside"))
         .drop("before", "inside", "bucket")
     )
-    budget = sources.agg(F.sum("source_size")).first()[0] or 0
 
+
+ORDER = ["finish", "sid", "h", "doc_id", "turn", "size"]
+
+
+def in_order(queue: DataFrame, epochs: int = 3, budget: int | None = None) -> tuple[DataFrame, dict | None]:
+    """The turns of a queue (doc_id, tkey, size, sid, h, turn, finish, part) in global order of finish time, cut at the budget
+    (None: all words); and the first turn over the budget, None if there is none. Ties with that turn are cut too."""
+    facts = queue.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    budget = facts["size"] if budget is None else budget
     turns = queue.filter("size > 0").select(
-        "sid", "h", "doc_id", "size", F.explode(F.array(*[F.struct(F.lit(p).alias("turn"), finish(p).alias("finish")) for p in range(epochs)])).alias("t")
-    ).select("sid", "h", "doc_id", "size", "t.*").filter("finish <= 2")
-    spent, low, width = 0, 0.0, 2.0
-    for _ in range(2):  # narrows to one step in which the budget runs out, then to one step of that step
-        step = F.floor((F.col("finish") - low) / (width / STEPS))
-        per_step = turns.groupBy(step.alias("step")).agg(F.sum("size").alias("n"))
-        upto = per_step.withColumn("upto", F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
-        over = upto.filter(F.col("upto") + spent > budget).orderBy("step").select("step", F.col("upto") - F.col("n")).first()
-        if over is None:
+        "doc_id", "tkey", "size", "sid", "h", F.inline(F.array(*[F.struct(F.lit(p).alias("turn"), finish(p).alias("finish")) for p in range(epochs)]))
+    ).filter("finish <= 2")
+    n = max(int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] * epochs // RANGE_ROWS))
+    turns = written(turns.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()))
+    spent = 0
+    for part, words in sorted(turns.groupBy("part").agg(F.sum("size")).collect()):  # a row for each range
+        if spent + words > budget:
             break
-        spent, at = spent + over[1], over[0]
-        turns = turns.filter(step == at)
-        low, width = low + at * (width / STEPS), width / STEPS
-    last = None
-    if over is not None:
-        order = Window.orderBy("finish", "sid", "h", "doc_id", "turn", "size").rowsBetween(Window.unboundedPreceding, 0)
-        last = (
-            turns.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") + spent > budget)
-            .orderBy("upto").select("finish", "sid", "h", "turn").first()
-        )
-    taken = F.lit(0)
-    for p in range(epochs):
-        f = finish(p)
-        if last is None:
-            hit = f <= 2
-        else:
-            mark = F.struct(F.lit(last.finish).alias("f"), F.lit(last.sid).alias("s"), F.lit(last.h).alias("h"), F.lit(last.turn).alias("t"))
-            hit = F.struct(f.alias("f"), F.col("sid").alias("s"), F.col("h").alias("h"), F.lit(p).alias("t")) < mark
-        taken = taken + F.coalesce(hit, F.lit(False)).cast("int")
-    return queue.select(
-        "doc_id", "size", "source", "source_size", "target",
-        F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).alias("copies"),
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+        spent += words
+    else:
+        return turns, None
+    running = F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    last = turns.filter(F.col("part") == part).withColumn("spent", running).filter(F.col("spent") + spent > budget)
+    last = last.agg(F.min(F.struct("finish", "sid", "h", "turn")).alias("x")).first()["x"].asDict()
+    return turns.filter(earlier_than(last, F.col("finish"), F.col("turn"))), last
+
+
+def earlier_than(last: dict, finish_time, turn):
+    own = F.struct(finish_time.alias("f"), F.col("sid").alias("s"), F.col("h").alias("h"), turn.alias("t"))
+    return own < F.struct(F.lit(last["finish"]).alias("f"), F.lit(last["sid"]).alias("s"), F.lit(last["h"]).alias("h"), F.lit(last["turn"]).alias("t"))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3, salt: str = "mix", size: str | None = None) -> DataFrame:
+    """Per document doc_id, tkey, size, source, source_size, target, copies, taken. size: a column; else words of text."""
+    queue = queued(docs, weights, epochs, salt, size)
+    _, last = in_order(queue, epochs)
+    hit = lambda p: finish(p) <= 2 if last is None else (finish(p) <= 2) & earlier_than(last, finish(p), F.lit(p))
+    copies = sum((F.coalesce(hit(p), F.lit(False)).cast("int") for p in range(epochs)), F.lit(0))
+    out = queue.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)))
+    return out.select("doc_id", "tkey", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), epochs: int = 3) -> DataFrame:
+    """docs with size, source_size, target, copies and taken; columns of these names are replaced."""
+    facts = ["size", "source_size", "target", "copies", "taken"]
+    found = mix(docs, weights, epochs).dropDuplicates(["doc_id", "tkey", "source"]).select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_key"), F.col("source").alias("_tm_source"), *facts)
+    docs = docs.drop(*facts)
+    return docs.join(
+        found, docs["doc_id"].eqNullSafe(F.col("_tm_id")) & (F.xxhash64(docs["text"]) == F.col("_tm_key")) & docs["source"].eqNullSafe(F.col("_tm_source"))
+    ).drop("_tm_id", "_tm_key", "_tm_source")
 
 
 def finish(turn: int):

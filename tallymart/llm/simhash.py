@@ -49,15 +49,15 @@ def fingerprint(text: bytes | None, n: int = WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp long."""
+    """docs(doc_id, text) -> doc_id, tkey (a hash of the text), fp long."""
 
     def run(parts):
         for part in parts:
-            fp = [fingerprint(t.as_py()) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t.as_py()) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64())], ["doc_id", "tkey", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, tkey long, fp long")
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -147,20 +147,27 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp, component_id: the smallest doc_id reachable by links."""
+    """docs(doc_id, text) -> doc_id, tkey, fp, root (of the component), component_id: the smallest doc_id reachable by links."""
     fps = written(with_fingerprint(docs))
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = components(links(classes.select("fp"), radius, dense))
     grouped = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(grouped.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = written(grouped.join(ids, "root").select("fp", "root", "component_id"))  # so that a hot fingerprint's join is split
+    return fps.join(named, "fp").select("doc_id", "tkey", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; its equal rows stay with it."""
-    near = near_duplicates(docs.select("doc_id", "text"))
-    first = near.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_tm_id")), "left_semi")
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id, of equal ids that with the smallest hash of its text; null
+    ids come last. A document is its id and text: its equal rows stay with it, rows of the same id with another text don't.
+
+    Only what goes is joined with the texts, which aren't shuffled where that is little.
+    """
+    near = written(near_duplicates(docs.select("doc_id", "text"), radius).select("doc_id", "tkey", "root"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+    first = written(near.groupBy("root").agg(F.min(own).alias("first")))
+    gone = written(near.join(first, "root").filter(own != F.col("first")).select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_key")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tm_id")) & (F.xxhash64(docs["text"]) == F.col("_tm_key")), "left_anti")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_native import brute_lines, brute_windows
 from test_simhash import brute
 
 import corpus_pipeline
-from tallymart.llm import mixing
+from tallymart.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,6 +70,7 @@ def test_stages(stages):
     assert {r.doc_id: r.text for r in out[3][2]} == clean and len(clean) < len(firsts)
 
     mixed = {r.doc_id: r for r in out[4][2]}
+    assert {i: r.text for i, r in mixed.items()} == clean
     assert set(mixed) == set(clean) and all(mixed[i]["size"] == len(t.split()) for i, t in clean.items())
     total = sum(r["size"] for r in mixed.values())
     assert 0.8 * total <= sum(r.taken for r in mixed.values()) <= total and all(r.taken <= 3 * r["size"] for r in mixed.values())
@@ -85,6 +87,28 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_extra_columns_with_clashing_names(spark):
-    docs = spark.createDataFrame([(1, "a b", "x", "s", 3, 7, 8)], SCHEMA + ", taken long, size long")
-    assert [r.taken for r in mixing.mix(docs).collect()] == [2]
+def test_awkward_rows_through_all_stages(spark, tmp_path):
+    """Repeated rows, null ids, ids that repeat with other texts, and columns with the names that the operators use."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n))
+    rows = [(i, text(60), "xx", "s", 1) for i in range(20)]
+    rows += [rows[3], rows[3], (3, text(50), "xx", "s", 1), (None, text(40), "xx", None, 1), (None, text(45), None, None, 1), (None, rows[5][1], "xx", "s", 1), (None, None, None, None, None)]
+    names = ["size", "taken", "copies", "_part", "tkey", "h", "fp", "root", "gone", "marks", "runs", "n_words", "finish", "component_id", "score", "lang_pred"]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert name == "mix" or docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *names]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect())
+    want = sorted((-1 if r[0] is None else r[0], r[1]) for r in rows if r[1] and r != rows[-2])
+    assert got == want
+    assert len({(r.doc_id, r.text): r.copies for r in docs.collect()}) == len({(r.doc_id, r.text, r.copies) for r in docs.collect()})
+
+
+def test_unlabelled_and_strange_languages(spark):
+    docs = spark.createDataFrame([(i, "abc abd bca cab " * 9, "xx") for i in range(30)] + [(90, "ФЫВ ЯЧС", "xx"), (91, "12", "xx")], "doc_id long, text string, lang string")
+    kept = lambda d, **k: {r.doc_id for r in langid.keep_known(d, **k).collect()}
+    learned = docs.withColumn("lang", F.when(F.col("doc_id") < 90, F.col("lang")))
+    assert kept(learned, min_score=0.2) == set(range(30)) and kept(learned, langs=("yy",)) == set()
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == {*range(30), 90}
