@@ -2,21 +2,24 @@
 
 A line's quote level is its number of leading `>` (spaces between them don't count). The lines of level 0 are a
 message's own words, the others are quoted: level 1 from the message it answers, level 2 from what that one answered,
-and so on. Lines are normalised (lower case, runs of signs other than letters and digits as one space) and hashed; the
-quoted ones are joined to the own lines of earlier messages of the conversation, and those found nowhere in it to the
+and so on. A line is a passage: people quote parts of messages and answer in between. Lines are normalised (lower case, runs
+of signs other than letters and digits as one space) and hashed; quoted ones are linked to the own lines of equal hash and
+text in the latest earlier message of the conversation, and those found nowhere in it to the
 first message of any other conversation that has them.
 
 A message replies to the earlier message that most of its level-1 lines come from, the latest of equal ones; without
 such lines to the message before it; the first message to none. Reply order is by the turn of the message replied to,
-then by turn, so that each message follows the one it answers and replies to the same message stand together.
+then by turn, so that each message follows the one it answers and replies to the same message stand together. ``position``
+is a message's place in it, from 1.
 
 Null text has no lines and gives an empty text; lines without a letter or digit are never linked, but quoted ones are
-dropped. A message is known by conv_id and turn; repeated rows of one message are merged, their lines put together. A
+dropped. A message is known by conv_id and turn; equal rows of one message count once, the lines of others are put together. A
 null conv_id is a conversation of its own; messages with a null turn come first in theirs. An empty table gives no rows.
 
-A conversation of any length is dealt over buckets of 64 turns: the message before the first of a bucket comes from
-the last turns of the buckets. Hot lines meet per conversation, reduced to a turn each; the first place of a line over
-all conversations is a minimum, combined before the shuffle.
+A conversation of any length is dealt over buckets of 64 turns, for the message before as for the place in reply order.
+Quoted and own lines of a conversation meet in a running maximum by line, never as pairs; the first place of a line over
+all conversations is a minimum, combined before the shuffle and written, so that adaptive execution splits the
+join of a line that a third of all messages have.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ BUCKET = 64
 
 
 def parsed(text: Column) -> Column:
-    """(level, body, key) of each line; key is null for lines without letters or digits."""
+    """(level, body, plain) of each line; plain is null for lines without letters or digits."""
 
     def line(x):
         marks = F.regexp_extract(x, QUOTE, 1)
         plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(x, QUOTE, "")), r"[^\p{L}\p{N}]+", " "))
-        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), x.alias("body"), F.when(plain != "", F.xxhash64(plain)).alias("key"))
+        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), x.alias("body"), F.when(plain != "", plain).alias("plain"))
 
     return F.transform(F.split(text, "\n"), line)
 
@@ -56,29 +59,40 @@ def linked(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
     base = written(
         rows.groupBy("conv", "turn")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
         .select("conv", "turn", F.get("parts", F.lit(0))["role"].alias("role"), F.array_join(F.col("parts.text"), "\n").alias("text"))
         .withColumn("lines", parsed(F.col("text")))
     )
-    lines = base.select("conv", "turn", F.inline("lines")).filter("key IS NOT NULL")
-    quoted = lines.filter("level > 0").groupBy("conv", "turn", "level", "key").agg(F.count("*").alias("n"))
-    wanted = quoted.select("key").distinct()
-    own = lines.filter("level = 0").join(wanted, "key", "left_semi").select("conv", "turn", "key").distinct()
-    o = own.select(F.col("conv").alias("from_conv"), F.col("turn").alias("from_turn"), F.col("key").alias("from_key"))
-    inside = (
-        quoted.join(o, F.col("conv").eqNullSafe(F.col("from_conv")) & (F.col("key") == F.col("from_key")) & (F.col("from_turn") < F.col("turn")), "left")
-        .groupBy("conv", "turn", "level", "key", "n").agg(F.max("from_turn").alias("from_turn"))
-    )
-    anywhere = o.groupBy("from_key").agg(F.min(F.struct("from_conv", "from_turn")).alias("first"))
-    other = inside.filter("from_turn IS NULL").join(anywhere, F.col("key") == F.col("from_key")).filter(~F.col("first.from_conv").eqNullSafe(F.col("conv")))
+    lines = base.select("conv", "turn", F.inline("lines")).filter("plain IS NOT NULL").withColumn("key", F.xxhash64("plain"))
+    same = ["key", "plain"]
+    quoted = written(lines.filter("level > 0").groupBy("conv", "turn", "level", *same).agg(F.count("*").alias("n")))
+    own = lines.filter("level = 0").join(written(quoted.select(*same).distinct()), same, "left_semi").select("conv", "turn", *same).distinct()
+    own = written(own)
+    both = quoted.unionByName(own, allowMissingColumns=True)
+    latest = Window.partitionBy("conv", *same).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("from_turn", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(latest)).filter("level IS NOT NULL")
+    inside = written(inside.withColumn("from_turn", F.when(F.col("turn").isNotNull(), F.col("from_turn"))))
+    anywhere = written(own.groupBy(*same).agg(F.min(F.struct(F.col("conv").alias("from_conv"), F.col("turn").alias("from_turn"))).alias("first")))
+    other = inside.filter("from_turn IS NULL").drop("from_turn").join(anywhere, same).filter(~F.col("first.from_conv").eqNullSafe(F.col("conv")))
     links = inside.filter("from_turn IS NOT NULL").select("conv", "turn", "level", F.col("conv").alias("from_conv"), "from_turn", "n").unionByName(
         other.select("conv", "turn", "level", "first.from_conv", "first.from_turn", "n")
     )
     return base, links.groupBy("conv", "turn", "level", "from_conv", "from_turn").agg(F.sum("n").alias("n_lines"))
 
 
+def placed(messages: DataFrame) -> DataFrame:
+    """messages(conv_id, turn, order_key) -> also position: the place in the conversation by order_key, from 1."""
+    m = messages.withColumn("_b", F.floor(F.col("order_key.reply_to") / BUCKET))
+    sizes = m.groupBy("conv_id", "_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("conv_id").alias("_conv"), F.col("_b").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    m = m.withColumn("_in", F.row_number().over(Window.partitionBy("conv_id", "_b").orderBy("order_key")))
+    m = m.join(written(sizes), F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_b").eqNullSafe(F.col("_of")))
+    return m.withColumn("position", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_conv", "_of", "_before")
+
+
 def reply_ordered(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to (turn), reply_conv, n_quoted, n_linked, text without quotes, order_key (reply_to, turn)."""
+    """conv_id, turn, role, reply_to (turn), reply_conv, n_quoted, n_linked, text without quotes, order_key (reply_to, turn), position."""
     base, links = linked(conversations)
     links = written(links)
     best = (
@@ -93,7 +107,7 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     inside = F.col("best.inside")
     reply = F.when(F.col("best").isNull(), F.col("before")).otherwise(F.col("best.from_turn"))
     own = let(F.col("lines"), lambda ls: F.transform(F.filter(ls, lambda x: x["level"] == 0), lambda x: x["body"]))
-    return out.select(
+    out = out.select(
         F.col("conv").alias("conv_id"), "turn", "role",
         reply.alias("reply_to"),
         F.when(F.col("best").isNull(), F.when(F.col("before").isNotNull(), F.col("conv"))).otherwise(F.col("best.from_conv")).alias("reply_conv"),
@@ -103,17 +117,18 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
         F.trim(F.array_join(own, "\n")).alias("text"),
         F.struct(F.when(F.col("best").isNull() | inside, reply).alias("reply_to"), "turn").alias("order_key"),
     )
+    return placed(written(out))
 
 
 def op2_quotes(spark, sf_dir: str) -> DataFrame:
     out = reply_ordered(table(spark, sf_dir, "conversations"))
     more = {"n_chars": F.length("text").cast("long"), "text_sha256": F.sha2("text", 256)}
-    return out.withColumns(more).drop("order_key", "text")
+    return out.withColumns(more).drop("order_key")
 
 
 ORACLE = r"""
-WITH m AS (SELECT conv_id, turn, coalesce((list_sort(list((coalesce(role, ''), coalesce(text, '')))))[1][1], '') AS role,
-                  array_to_string(list_transform(list_sort(list((coalesce(role, ''), coalesce(text, '')))), lambda x: x[2]), chr(10)) AS text
+WITH m AS (SELECT conv_id, turn, coalesce((list_sort(list(DISTINCT (coalesce(role, ''), coalesce(text, '')))))[1][1], '') AS role,
+                  array_to_string(list_transform(list_sort(list(DISTINCT (coalesce(role, ''), coalesce(text, '')))), lambda x: x[2]), chr(10)) AS text
            FROM conversations GROUP BY conv_id, turn),
 l AS (SELECT conv_id, turn, line, pos, len(regexp_replace(regexp_extract(line, '^[ \t]*((>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level,
              trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((>[ \t]*)*)', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
@@ -132,6 +147,7 @@ p AS (SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY
 SELECT p.conv_id, p.turn, role, CASE WHEN best IS NULL THEN before ELSE best[3] END AS reply_to,
        CASE WHEN best IS NOT NULL THEN best[4] WHEN before IS NOT NULL THEN p.conv_id END AS reply_conv,
        CASE WHEN best IS NOT NULL THEN CASE WHEN best[1] THEN 'quoted' ELSE 'quoted elsewhere' END WHEN before IS NULL THEN 'first' ELSE 'previous' END AS reply_kind,
-       coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, len(own)::BIGINT AS n_chars, sha256(own) AS text_sha256
+       coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, len(own)::BIGINT AS n_chars, sha256(own) AS text_sha256, own AS text,
+       row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN best IS NULL THEN before WHEN best[1] THEN best[3] END NULLS FIRST, turn NULLS FIRST) AS position
 FROM p LEFT JOIN b USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
 """

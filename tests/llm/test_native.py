@@ -153,6 +153,57 @@ def test_quotes(spark):
     assert all(out[k].reply_to is None or order.index((1, out[k].reply_to)) < order.index(k) for k in order)
 
 
+def brute_quotes(rows):
+    """Links, replies and reply order message by message."""
+    marks = lambda x: re.match(r"[ \t]*((>[ \t]*)*)", x).group(0)
+    plain = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x[len(marks(x)) :].lower()).split())
+    texts = {}
+    for c, t, r, x in set(rows):
+        texts.setdefault((c, t), []).append((r or "", x or ""))
+    said, out = {}, {}
+    for m, parts in texts.items():
+        for line in "\n".join(x for _, x in sorted(parts)).split("\n"):
+            if ">" not in marks(line) and plain(line):
+                said.setdefault(plain(line), set()).add(m)
+    for (c, t), parts in texts.items():
+        lines = "\n".join(x for _, x in sorted(parts)).split("\n")
+        found, n_quoted, n_linked = Counter(), 0, 0
+        for line in lines:
+            level = marks(line).count(">")
+            n_quoted += level > 0
+            if level and plain(line):
+                here = [m for m in said.get(plain(line), ()) if m[0] == c and m[1] < t]
+                source = max(here) if here else min(said.get(plain(line), ()), default=None)
+                if source and (here or source[0] != c):
+                    n_linked += 1
+                    if level == 1:
+                        found[source[0] == c, source] += 1
+        before = max(((c2, t2) for c2, t2 in texts if c2 == c and t2 < t), default=(None, None))
+        best = max(((k[0], n, k[1][1], k[1][0]) for k, n in found.items()), default=None)
+        reply, conv = (best[2], best[3]) if best else (before[1], before[0])
+        own = "\n".join(x for x in lines if ">" not in marks(x)).strip(" ")
+        out[c, t] = [reply, conv, n_quoted, n_linked, own, (reply if reply is not None and (not best or best[0]) else -1, t)]
+    return {(c, t): (*x[:5], 1 + sum(y[5] < x[5] for (c2, _), y in out.items() if c2 == c)) for (c, t), x in out.items()}
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(21)
+    phrases = [f"{a} {b}!" for a in ("Yes", "no", "Maybe ü", "see 1") for b in ("there", "so", "it is", "OK?")] + ["", "--", "Hot line."]
+    rows = []
+    for c in range(25):
+        for t in sorted(rng.sample(range(200 if c == 3 else 12), 60 if c == 3 else rng.randrange(1, 9))):
+            lines = []
+            for _ in range(rng.randrange(0, 6)):
+                deep = rng.choice([0, 0, 1, 1, 2, 3])
+                lines.append(rng.choice(["> ", ">"]) * deep + (rng.choice(phrases).upper() if rng.random() < 0.3 else rng.choice(phrases)))
+            rows.append((c, t, rng.choice(["user", "assistant"]), "\n".join(lines) if rng.random() < 0.95 else None))
+    rows += rows[5:9]  # repeated rows
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).withColumns({"key": F.lit(1), "conv": F.lit(2), "position": F.lit(3), "level": F.lit("x")})
+    got = {(r.conv_id, r.turn): (r.reply_to, r.reply_conv, r.n_quoted, r.n_linked, r.text, r.position) for r in quotes.reply_ordered(docs).collect()}
+    assert got == brute_quotes(rows) and sum(x[3] for x in got.values()) > 100
+    assert quotes.reply_ordered(docs.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 80)), rng.choice(["a", "b", "b", "b", "b", "b", None, "tiny"] if i % 50 else ["tiny"])) for i in range(3000)]
