@@ -13,11 +13,15 @@ from ..sources.market import OFFERS, PRODUCTS, STORES, offers, products, stores,
 def rule_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """names(name), patterns(concept, kind all/any/none, literal, pattern) -> (name, concept) that the concept's patterns take.
 
-    All of `all`, one of `any` where there are such, none of `none`. Each pattern names a word that its matches hold, so
-    names meet patterns by an equi join on words, and the expressions run on what is left. Names are taken distinct.
+    All of `all`, one of `any` where there are such, none of `none`. Each pattern names a literal that its matches hold, anywhere
+    in a name and inside words too, so distinct names meet patterns by an equi join on the literal's first three characters
+    (shorter literals: on all of them), and the expressions run on what is left.
     """
-    words = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("literal"))
-    hit = words.join(patterns, "literal").filter(F.expr("name rlike pattern")).groupBy("name", "concept").agg(
+    lengths = [r[0] for r in patterns.select(F.least(F.length("literal"), F.lit(3))).distinct().collect()]  # three numbers at most
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - n + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+    keyed = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.concat(*map(pieces, lengths or [1])))).alias("key"))
+    found = keyed.join(patterns.withColumn("key", F.substring("literal", 1, 3)), "key").filter(F.contains("name", "literal"))
+    hit = found.filter(F.expr("name rlike pattern")).groupBy("name", "concept").agg(
         F.count_if(F.col("kind") == "all").alias("n_all"), F.count_if(F.col("kind") == "any").alias("n_any"), F.count_if(F.col("kind") == "none").alias("n_none")
     )
     need = patterns.groupBy("concept").agg(F.count_if(F.col("kind") == "all").alias("want_all"), F.count_if(F.col("kind") == "any").alias("want_any"))
