@@ -1,9 +1,7 @@
 """Removing repeated text by longest previous factors over suffix order.
 
 A byte goes if it lies in ``least`` bytes that also start earlier, that is, if the longest previous factor at one of the
-``least`` places up to it is that long. Only such factors count, so suffixes are compared by their first ``least``
-bytes. In suffix order, with equal ones in order of position, the previous smaller position of a suffix that occurred
-before is the suffix just before it, and the next smaller position is never equal.
+``least`` places up to it is that long. Suffixes are compared by their first ``least`` bytes.
 
 Sorting the suffixes at every byte would shuffle the corpus a hundred times over. So first, suffixes that can't repeat
 are ruled out, exactly:
@@ -14,7 +12,8 @@ are ruled out, exactly:
 2. A context equal to an earlier one goes entirely; of equal contexts only the first is looked at further. A context
    whose anchor occurs in no other context holds no window that occurs elsewhere: nothing of it goes.
 3. The windows of the other contexts (about one in twenty) are the suffixes left. They are put in suffix order with
-   those of the same anchor, and each with a previous factor of full length goes.
+   those of the same anchor; the longest previous factor of each follows from the suffixes at the previous and the next
+   smaller position in that order, and each with one of full length goes.
 
 Earlier means a smaller doc_id, or an earlier place in the same document; null ids come last. Strings are judged on the
 input. Rows with equal doc_id and text count as one document and get equal results; rows with equal ids but other texts
@@ -35,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import small, table, written
+from .common import before, small, table, written
 
 LEAST, GRAM, CROWD = 100, 32, 4096
 PIECE = 1 << 20
@@ -224,6 +224,36 @@ def with_bytes(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, crowded boolean, doc long, t int, p long, data binary")
 
 
+def smaller_before(positions: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller position, -1 without one: pointers jump until none is left to."""
+    to = np.arange(-1, len(positions) - 1)
+    open_ = np.arange(len(positions))
+    while len(open_):
+        open_ = open_[to[open_] >= 0]
+        open_ = open_[positions[to[open_]] > positions[open_]]
+        to[open_] = to[to[open_]]
+    return to
+
+
+def longest_previous(suffixes: np.ndarray, positions: np.ndarray, stretch: int = 1 << 16) -> np.ndarray:
+    """Of suffixes in order (rows of bytes, cut at a length) with their positions: the longest previous factor of each, cut likewise.
+
+    It is the longer of the prefixes shared with the suffixes at the previous and the next smaller position in suffix order.
+    """
+    n, width = suffixes.shape
+    before = smaller_before(positions)
+    after = n - 1 - smaller_before(positions[::-1])[::-1]
+    out = np.zeros(n, np.int64)
+    for to, some in ((before, before >= 0), (after, after < n)):
+        at = np.flatnonzero(some)
+        for lo in range(0, len(at), stretch):
+            mine = at[lo : lo + stretch]
+            differ = suffixes[mine] != suffixes[to[mine]]
+            shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            out[mine] = np.maximum(out[mine], shared)
+    return out
+
+
 def previous_factors(rows: DataFrame, least: int) -> DataFrame:
     """rows of with_bytes -> doc, t, p, q: the stretches with a previous factor of full length, q negative as in ANCHORS."""
 
@@ -242,13 +272,9 @@ def previous_factors(rows: DataFrame, least: int) -> DataFrame:
         sort_key[:, 4 : 4 + least] = np.lib.stride_tricks.sliding_window_view(buffer, least)[offsets[row] + inside]
         sort_key[:, 4 + least :] = np.arange(len(row)).astype(">u4").view(np.uint8).reshape(-1, 4)  # rows are in order of position
         order = np.argsort(sort_key.view(f"S{sort_key.shape[1]}").ravel(), kind="stable")
-        suffix = sort_key[order, : 4 + least]
-        same = np.concatenate(([False], (suffix[1:] == suffix[:-1]).all(axis=1)))  # the row before is the previous smaller position
-        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        place = p[row] + inside
-        other = (doc[row[order]] != doc[row[first]]) | (t[row[order]] != t[row[first]]) | (place[order] != place[first])
         gone = np.zeros(len(row), bool)
-        gone[order] = same & other
+        gone[order] = longest_previous(sort_key[order, : 4 + least], order) >= 4 + least
+        place = p[row] + inside
         at = np.flatnonzero(gone)
         lo, hi, own = joined(place[at], place[at] + least, row[at])
         return pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(t[own].astype(np.int32)), pa.array(lo), pa.array(-hi)], ["doc", "t", "p", "q"])
@@ -290,16 +316,22 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int =
     # Written, so that Spark knows how few these are and need not shuffle the contexts by anchor to mark them.
     crowded = written(left.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("anchor").alias("_anchor")))
     left = left.join(crowded, F.col("anchor") == F.col("_anchor"), "left").withColumn("crowded", F.col("_anchor").isNotNull())
-    lists = left.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "crowded", "p", "q")).alias("found"))
+    lists = left.groupBy("doc", "t").agg(F.collect_set(F.struct("anchor", "crowded", "p", "q")).alias("found"))
     near = docs.join(lists, ["doc", "t"]).dropDuplicates(["doc", "t"]).select("doc", "t", "data", "found")
     rest = written(previous_factors(with_bytes(near, least), least))
     return found.filter("q < 0").select("doc", "t", "p", "q").unionByName(rest)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, doc, t, data."""
-    return docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(F.coalesce("text", F.lit(""))).alias("t"),
+    """docs(doc_id, text) -> doc_id, doc, t, data. Ids that aren't whole numbers are ranked, over ranges of them."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        ids = before(docs.select("doc_id").distinct().filter("doc_id IS NOT NULL").withColumn("one", F.lit(1)), [F.col("doc_id")], doc="one")
+        ids = ids.select(F.col("doc_id").alias("_id"), F.col("doc").cast("long").alias("doc"))
+        place = docs.select("doc_id", "text").join(written(ids), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    else:
+        place = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("doc"))
+    return place.select(
+        "doc_id", F.coalesce(F.col("doc"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(F.coalesce("text", F.lit(""))).alias("t"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"),
     )
 

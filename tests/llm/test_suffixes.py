@@ -64,3 +64,24 @@ def test_contexts_that_differ_in_any_byte_differ():
         for lo in before.keys() & after.keys():
             if lo <= at < lo + before[lo][1] + 99 and before[lo][1] == after[lo][1]:
                 assert before[lo][0] != after[lo][0]
+
+
+def test_longest_previous_factors():
+    """Against all earlier positions, over all suffixes of texts with few letters."""
+    rng = random.Random(3)
+    for width in (3, 8):
+        text = [rng.randrange(1, 4) for _ in range(300)] + [1] * 40 + [0] * width
+        suffixes_ = np.array([text[i : i + width] for i in range(len(text) - width)], np.uint8)
+        order = np.lexsort((np.arange(len(suffixes_)), *suffixes_.T[::-1]))
+        got = np.empty(len(order), np.int64)
+        got[order] = suffixes.longest_previous(suffixes_[order], order, stretch=50)
+        shared = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+        assert got.tolist() == [max((shared(suffixes_[i], suffixes_[j]) for j in range(i)), default=0) for i in range(len(suffixes_))]
+
+
+def test_text_ids_and_clashing_columns(spark):
+    texts = {"b": "x" * 30 + "abcdefghij" * 20, "a": "abcdefghij" * 15, "c": None}
+    docs = spark.createDataFrame([(i, t, 1, 2, "q") for i, t in texts.items()], "doc_id string, text string, doc int, t int, data string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.without_repeats(docs).collect()}
+    want = suffixes.brute_force({k: (v or "").encode() for k, v in texts.items()})
+    assert got == {k: v[:3] for k, v in want.items()}
