@@ -3,18 +3,22 @@
 Each unit vector is turned by a random rotation R; its code is the signs of the turned components, and beside it stands
 the correction factor f = <s / sqrt(d), R v>, s being the signs as +1 and -1. For another vector q,
 <s / sqrt(d), R q> / f estimates <v, q> without bias, with a deviation of at most
-sqrt(1 - f^2) / f / sqrt(d - 1) for random rotations. A pair whose estimate plus ``sigmas`` deviations is below the
-threshold is dropped; all others, and only those, are computed again from the vectors in double precision. Of the two
-estimates of a pair (either side as the code) both must leave it open.
+sqrt(1 - f^2) / f / sqrt(d - 1) for random rotations. Codes and factors are stored once a vector, and with them R v in a
+byte a component, whose rounding widens the bound. Only these travel to where pairs are estimated. A pair whose
+estimate plus ``sigmas`` deviations is below the threshold is dropped; all others, and only those, are computed again in double
+precision, for which the vectors that have such pairs are fetched. Of the two estimates of a pair (either side as the code) both
+must leave it open.
 
 Pairs to estimate are those that share a cell of one of ``tables`` random partitions: a cell is the place and sign of
 the largest component after a rotation, for ``hashes`` rotations together. At a cosine of 0.95 in 64 dimensions two
 vectors share a given cell of three with probability 0.21, so that 40 tables miss one such pair in 14,000, and nearer
-pairs less often. The rotations are drawn from fixed seeds: reruns agree.
+pairs less often; longer vectors share cells less often and get more tables (tables_for). The rotations are drawn from
+fixed seeds: reruns agree.
 
 Vectors that are equal component by component are one class before this. Cells of one vector are dropped before any
 vector is shuffled. A cell of more than ``block`` vectors is cut into blocks, and each pair of blocks is a group of its
-own, so that no task holds more than two blocks. Pairs aren't written: a group gives each of its vectors the number of
+own, so that no task holds more than two blocks. Pairs aren't written: open ones are a bit each in a row of their first vector,
+and a group gives each of its vectors the number of
 links found and the first vector of its part; a pair that shares cells in several tables counts in the first only.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, a component of
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, small, table, written
 
-THRESHOLD, TABLES, HASHES, BLOCK, SIGMAS = 0.95, 40, 3, 1024, 6.0
+THRESHOLD, HASHES, BLOCK, SIGMAS = 0.95, 3, 1024, 6.0
 _turns: dict[tuple, np.ndarray] = {}
 
 
@@ -73,15 +77,26 @@ def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(signs > 0, axis=1), (signs * turned).sum(axis=1) / np.sqrt(d)
 
 
-def open_pairs(vectors: np.ndarray, bits: np.ndarray, factor: np.ndarray, rows: slice, cols: slice, threshold: float, sigmas: float):
-    """Places (i, j), i of rows and j of cols, that the codes can't rule out."""
-    d = vectors.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float64) * 2 - 1
-    turned = vectors @ rotation(d, 0)
-    slack = sigmas * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(d - 1, 1)) + 1e-9
-    one = (signs[rows] @ turned[cols].T) / np.sqrt(d) / factor[rows, None] + slack[rows, None]
-    two = (turned[rows] @ signs[cols].T) / np.sqrt(d) / factor[None, cols] + slack[None, cols]
-    return np.nonzero((one >= threshold) & (two >= threshold))
+def rounded(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turned vectors in a byte a component, and the step of each."""
+    step = np.abs(turned).max(axis=1) / 127
+    return np.rint(turned / step[:, None]).astype(np.int8), step
+
+
+def open_pairs(bits, factor, small_turned, step, rows: slice, cols: slice, threshold: float, sigmas: float) -> np.ndarray:
+    """Whether the codes leave the pair (i, j) open, i of rows and j of cols."""
+    d = small_turned.shape[1]
+    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
+    turned = small_turned.astype(np.float32) * step[:, None].astype(np.float32)
+    slack = sigmas * np.sqrt(np.maximum(1 - factor**2, 0)) / np.sqrt(max(d - 1, 1)) + step.max() / 2 * np.sqrt(d) + 1e-5
+    one = (signs[rows] @ turned[cols].T) / np.sqrt(d) + slack[rows, None] >= threshold * factor[rows, None]
+    two = (turned[rows] @ signs[cols].T) / np.sqrt(d) + slack[None, cols] >= threshold * factor[None, cols]
+    return one & two
+
+
+def tables_for(dims: int) -> int:
+    """So many tables that one pair in 10,000 at a cosine of 0.95 shares no cell of three rotations: 40 up to 64 dimensions, 60 at 384, 74 at 1,536."""
+    return 40 + int(np.ceil(7.5 * max(0.0, np.log2(dims / 64))))
 
 
 def arrays(column) -> np.ndarray:
@@ -108,46 +123,101 @@ def classes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("v"), written(same.withColumn("cid", F.monotonically_increasing_id()))
 
 
-def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
-    """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept."""
+def by_group(parts, solve):
+    """Of batches sorted by key, i and j: solve(table) of each complete group, where it gives a batch."""
+    wait = None
+    for part in parts:
+        now = pa.Table.from_batches([part])
+        wait = now if wait is None else pa.concat_tables([wait, now])
+        k, i, j = (wait.column(c).to_numpy() for c in ("key", "i", "j"))
+        new = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        edges = np.concatenate(([0], new))
+        for s, e in zip(edges[:-1], edges[1:]):
+            if (out := solve(wait.slice(s, e - s))) is not None:
+                yield out
+        wait = wait.slice(edges[-1])
+    if wait is not None and len(wait) and (out := solve(wait)) is not None:
+        yield out
+
+
+def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, hashes: int = HASHES, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+    """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept. tables None: by length."""
     rows, classes = classes_of(embeddings)
 
     def emit(parts):
         for part in small(parts):
             cid = part.column(0).to_numpy()
             for at, matrix in by_length(part):
-                key = cells(unit(matrix), tables, hashes)
-                for t in range(0, tables, 8):
+                n = tables or tables_for(matrix.shape[1])
+                key = cells(unit(matrix), n, hashes)
+                for t in range(0, n, 8):
                     few = key[t : t + 8]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(few.ravel()), pa.array(np.tile(cid[at], len(few))), pa.array(np.repeat(np.arange(t, t + len(few), dtype=np.int32), len(at)))],
                         ["key", "cid", "tab"],
                     )
 
+    def encode(parts):
+        for part in small(parts):
+            cid = part.column(0).to_numpy()
+            for at, matrix in by_length(part):
+                v = unit(matrix)
+                bits, factor = codes(v)
+                turned, step = rounded(v @ rotation(v.shape[1], 0))
+                columns = [pa.array(cid[at]), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(factor), pa.array([x.tobytes() for x in turned], pa.binary()), pa.array(step)]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "bits", "factor", "turned", "step"])
+
+    coded = written(classes.select("cid", "v").mapInArrow(encode, "cid long, bits binary, factor double, turned binary, step double"))
     placed = classes.select("cid", "v").mapInArrow(emit, "key long, cid long, tab int")
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     members = placed.join(shared, "key").withColumn("blocks", blocks).withColumn("own", own)
     members = members.select("key", "cid", "tab", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    full = members.join(classes.select("cid", F.col("n").alias("weight"), "v"), "cid").select("key", "i", "j", "cid", "tab", "own", "weight", "v")
-    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
+    dealt = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "cid")
+    opened = "key long, i int, j int, own int, cid long, tab int, place int, cut int, open binary"
+
+    def estimate(group):
+        """One cell, or one pair of its blocks: its vectors that have open pairs; the first ones' rows have a bit for each second one."""
+        binary = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t).reshape(len(group), -1)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own = group.column("own").to_numpy()
+        cut = int((own == i).sum())
+        left, right = (slice(0, len(own)),) * 2 if i == j else (slice(0, cut), slice(cut, len(own)))
+        ok = open_pairs(binary("bits", np.uint8), group.column("factor").to_numpy(), binary("turned", np.int8), group.column("step").to_numpy(), left, right, threshold, sigmas)
+        if i == j:
+            ok = np.triu(ok, 1)
+        first, second = ok.any(axis=1), ok.any(axis=0)
+        has = np.zeros(len(own), bool)
+        has[left] |= first
+        has[right] |= second
+        if not has.any():
+            return None
+        at = np.flatnonzero(has)
+        packed = np.packbits(ok, axis=1)
+        bits = [packed[p].tobytes() if p < len(packed) and first[p] else None for p in at]
+        some = group.select(["key", "i", "j", "own", "cid", "tab"]).take(pa.array(at)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in some.columns), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), 0 if i == j else cut, np.int32)), pa.array(bits, pa.binary())], [*some.column_names, "place", "cut", "open"])
+
+    estimated = written(dealt(members.join(coded, "cid")).mapInArrow(lambda parts: by_group(parts, estimate), opened))
+    full = dealt(estimated.join(classes.select("cid", F.col("n").alias("weight"), "v"), "cid"))
 
     def solve(group):
-        """One cell, or one pair of its blocks."""
-        cid, tab, own, weight = (group.column(c).to_numpy() for c in ("cid", "tab", "own", "weight"))
+        """The open pairs of a cell or of a pair of its blocks, computed again."""
+        cid, tab, own, weight, place = (group.column(c).to_numpy() for c in ("cid", "tab", "own", "weight", "place"))
         i, j, tab = group.column("i")[0].as_py(), group.column("j")[0].as_py(), int(tab[0])
         vectors = unit(arrays(group.column("v").combine_chunks()))
-        bits, factor = codes(vectors)
-        order = np.argsort(own, kind="stable")
-        cid, weight, vectors, bits, factor = cid[order], weight[order], vectors[order], bits[order], factor[order]
-        cut = int((own == i).sum())
-        left, right = (slice(0, len(cid)),) * 2 if i == j else (slice(0, cut), slice(cut, len(cid)))
-        a, b = open_pairs(vectors, bits, factor, left, right, threshold, sigmas)
-        b = b + right.start
-        if i == j:
-            a, b = a[a < b], b[a < b]
+        where = np.full(int(place.max()) + 1, -1)
+        where[place] = np.arange(len(cid))
+        a, b = [], []
+        for n, bits in enumerate(group.column("open").to_pylist()):
+            if bits is not None:
+                to = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+                a.append(np.full(len(to), n))
+                b.append(to)
+        a, b = np.concatenate(a), np.concatenate(b)
+        b = where[b + group.column("cut")[0].as_py()]
         cos = np.einsum("ij,ij->i", vectors[a], vectors[b])
         a, b = a[cos >= threshold], b[cos >= threshold]
         if len(a) and tab:
@@ -174,22 +244,7 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int = TABL
         has = add > 0
         return pa.RecordBatch.from_arrays([pa.array(cid[has]), pa.array(add[has].astype(np.int64)), pa.array(cid[root[has]])], ["cid", "add", "root"])
 
-    def groups(parts):
-        wait = None
-        for part in parts:
-            now = pa.Table.from_batches([part])
-            wait = now if wait is None else pa.concat_tables([wait, now])
-            k, i, j = (wait.column(c).to_numpy() for c in ("key", "i", "j"))
-            new = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = np.concatenate(([0], new))
-            for s, e in zip(edges[:-1], edges[1:]):
-                if (out := solve(wait.slice(s, e - s))) is not None:
-                    yield out
-            wait = wait.slice(edges[-1])
-        if wait is not None and len(wait) and (out := solve(wait)) is not None:
-            yield out
-
-    found = written(full.mapInArrow(groups, "cid long, add long, root long"))
+    found = written(full.mapInArrow(lambda parts: by_group(parts, solve), "cid long, add long, root long"))
     links = found.groupBy("cid").agg(F.sum("add").alias("linked"))
     parts = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "k1", "k2", "least", "n").join(parts, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")

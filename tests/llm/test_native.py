@@ -332,3 +332,36 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert abs((estimate - true).mean()) < 0.01
     slack = 6 * np.sqrt(1 - factor[:400] ** 2) / factor[:400] / np.sqrt(63)
     assert (np.abs(estimate - true) <= slack).all()
+
+
+def test_codes_rule_out_most_pairs_and_no_link():
+    """The rounded codes leave every link open and drop nearly all other pairs."""
+    rng = np.random.default_rng(9)
+    for d in (64, 384):
+        base = rng.normal(size=(150, d))
+        v = neardup.unit(np.concatenate((base, base + rng.normal(size=base.shape) * 0.3)))
+        bits, factor = neardup.codes(v)
+        turned, step = neardup.rounded(v @ neardup.rotation(d, 0))
+        ok = neardup.open_pairs(bits, factor, turned, step, slice(0, 300), slice(0, 300), 0.95, 6.0)
+        cos = v @ v.T
+        assert ok[cos >= 0.95].all() and ok[cos < 0.3].mean() < 0.05
+
+
+def test_cells_miss_few_pairs_at_any_length():
+    """Recall of the cells at a cosine of exactly 0.95: the chance to share no cell, from the share of single cells that are shared."""
+    rng = np.random.default_rng(10)
+    for d in (16, 64, 384, 768):
+        a = neardup.unit(rng.normal(size=(400, d)))
+        b = rng.normal(size=a.shape)
+        b = neardup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        n = neardup.tables_for(d)
+        same = neardup.cells(a, n, 3) == neardup.cells(0.95 * a + np.sqrt(1 - 0.95**2) * b, n, 3)
+        assert (1 - same.mean()) ** n < 4e-4 and same.any(axis=0).mean() > 0.99
+
+
+def test_near_vectors_awkward_rows(spark):
+    """Repeated and null ids, columns with the names used inside."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (2, [0.0, 1.0]), (None, None)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("key", "cid", "n", "v", "root", "node")})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in neardup.near(docs).collect())
+    assert got == [(0, 0, 0, True), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
