@@ -123,21 +123,52 @@ def classes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("v"), written(same.withColumn("cid", F.monotonically_increasing_id()))
 
 
-def by_group(parts, solve):
-    """Of batches sorted by key, i and j: solve(table) of each complete group, where it gives a batch."""
+class Columns:
+    """A table's columns as numpy arrays; lists and binaries as matrices of the rows asked for, which are of one length."""
+
+    def __init__(self, table: pa.Table):
+        self.plain, self.long = {}, {}
+        for name, column in zip(table.column_names, table.columns):
+            column = column.combine_chunks()
+            if pa.types.is_list(column.type) or pa.types.is_binary(column.type):
+                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                data = column.values.to_numpy(zero_copy_only=False) if pa.types.is_list(column.type) else np.frombuffer(column.buffers()[2] or b"", np.uint8)
+                self.long[name] = offsets, data
+            else:
+                self.plain[name] = column.to_numpy()
+
+    def __getitem__(self, name):
+        return self.plain[name]
+
+    def matrix(self, name: str, rows: slice) -> np.ndarray:
+        offsets, data = self.long[name]
+        return data[offsets[rows.start] : offsets[rows.stop]].reshape(rows.stop - rows.start, -1)
+
+    def one(self, name: str, row: int) -> np.ndarray:
+        offsets, data = self.long[name]
+        return data[offsets[row] : offsets[row + 1]]
+
+
+def by_group(parts, solve, schema: pa.Schema):
+    """Of batches sorted by key, i and j: solve(columns, rows) of each complete group gives columns or None; one batch out for one in."""
     wait = None
+
+    def solved(table, edges):
+        columns = Columns(table)
+        found = [x for s, e in zip(edges[:-1], edges[1:]) if (x := solve(columns, slice(int(s), int(e)))) is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(sum(x, []) if isinstance(x[0], list) else np.concatenate(x), f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+
     for part in parts:
         now = pa.Table.from_batches([part])
         wait = now if wait is None else pa.concat_tables([wait, now])
         k, i, j = (wait.column(c).to_numpy() for c in ("key", "i", "j"))
         new = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        edges = np.concatenate(([0], new))
-        for s, e in zip(edges[:-1], edges[1:]):
-            if (out := solve(wait.slice(s, e - s))) is not None:
-                yield out
-        wait = wait.slice(edges[-1])
-    if wait is not None and len(wait) and (out := solve(wait)) is not None:
-        yield out
+        if len(new):
+            yield from solved(wait.slice(0, new[-1]), np.concatenate(([0], new)))
+            wait = wait.slice(new[-1])
+    if wait is not None and len(wait):
+        yield from solved(wait, np.array([0, len(wait)]))
 
 
 def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, hashes: int = HASHES, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
@@ -176,16 +207,15 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None
     members = members.select("key", "cid", "tab", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     dealt = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "cid")
+    types = {"key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "own": pa.int32(), "cid": pa.int64(), "tab": pa.int32(), "place": pa.int32(), "cut": pa.int32(), "open": pa.binary()}
     opened = "key long, i int, j int, own int, cid long, tab int, place int, cut int, open binary"
 
-    def estimate(group):
+    def estimate(c, rows):
         """One cell, or one pair of its blocks: its vectors that have open pairs; the first ones' rows have a bit for each second one."""
-        binary = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t).reshape(len(group), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        own = group.column("own").to_numpy()
+        i, j, own = c["i"][rows.start], c["j"][rows.start], c["own"][rows]
         cut = int((own == i).sum())
         left, right = (slice(0, len(own)),) * 2 if i == j else (slice(0, cut), slice(cut, len(own)))
-        ok = open_pairs(binary("bits", np.uint8), group.column("factor").to_numpy(), binary("turned", np.int8), group.column("step").to_numpy(), left, right, threshold, sigmas)
+        ok = open_pairs(c.matrix("bits", rows), c["factor"][rows], c.matrix("turned", rows).view(np.int8), c["step"][rows], left, right, threshold, sigmas)
         if i == j:
             ok = np.triu(ok, 1)
         first, second = ok.any(axis=1), ok.any(axis=0)
@@ -197,27 +227,25 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None
         at = np.flatnonzero(has)
         packed = np.packbits(ok, axis=1)
         bits = [packed[p].tobytes() if p < len(packed) and first[p] else None for p in at]
-        some = group.select(["key", "i", "j", "own", "cid", "tab"]).take(pa.array(at)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in some.columns), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), 0 if i == j else cut, np.int32)), pa.array(bits, pa.binary())], [*some.column_names, "place", "cut", "open"])
+        return *(c[x][rows][at] for x in ("key", "i", "j", "own", "cid", "tab")), at, np.full(len(at), 0 if i == j else cut), bits
 
-    estimated = written(dealt(members.join(coded, "cid")).mapInArrow(lambda parts: by_group(parts, estimate), opened))
+    estimated = written(dealt(members.join(coded, "cid")).mapInArrow(lambda parts: by_group(parts, estimate, pa.schema(types)), opened))
     full = dealt(estimated.join(classes.select("cid", F.col("n").alias("weight"), "v"), "cid"))
 
-    def solve(group):
+    def solve(c, rows):
         """The open pairs of a cell or of a pair of its blocks, computed again."""
-        cid, tab, own, weight, place = (group.column(c).to_numpy() for c in ("cid", "tab", "own", "weight", "place"))
-        i, j, tab = group.column("i")[0].as_py(), group.column("j")[0].as_py(), int(tab[0])
-        vectors = unit(arrays(group.column("v").combine_chunks()))
+        cid, weight, place, tab = c["cid"][rows], c["weight"][rows], c["place"][rows], int(c["tab"][rows.start])
+        vectors = unit(c.matrix("v", rows).astype(np.float64))
         where = np.full(int(place.max()) + 1, -1)
         where[place] = np.arange(len(cid))
         a, b = [], []
-        for n, bits in enumerate(group.column("open").to_pylist()):
-            if bits is not None:
-                to = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+        for n in range(len(cid)):
+            bits = c.one("open", rows.start + n)
+            if len(bits):
+                to = np.flatnonzero(np.unpackbits(bits))
                 a.append(np.full(len(to), n))
                 b.append(to)
-        a, b = np.concatenate(a), np.concatenate(b)
-        b = where[b + group.column("cut")[0].as_py()]
+        a, b = np.concatenate(a), where[np.concatenate(b) + c["cut"][rows.start]]
         cos = np.einsum("ij,ij->i", vectors[a], vectors[b])
         a, b = a[cos >= threshold], b[cos >= threshold]
         if len(a) and tab:
@@ -242,9 +270,9 @@ def near(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None
                 break
             root = new
         has = add > 0
-        return pa.RecordBatch.from_arrays([pa.array(cid[has]), pa.array(add[has].astype(np.int64)), pa.array(cid[root[has]])], ["cid", "add", "root"])
+        return cid[has], add[has].astype(np.int64), cid[root[has]]
 
-    found = written(full.mapInArrow(lambda parts: by_group(parts, solve), "cid long, add long, root long"))
+    found = written(full.mapInArrow(lambda parts: by_group(parts, solve, pa.schema({x: pa.int64() for x in ("cid", "add", "root")})), "cid long, add long, root long"))
     links = found.groupBy("cid").agg(F.sum("add").alias("linked"))
     parts = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "k1", "k2", "least", "n").join(parts, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
