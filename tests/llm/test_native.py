@@ -253,7 +253,8 @@ def test_language_profiles(spark):
     got = {r.doc_id: r["_tm_lang"] for r in langid.predict(docs, model).collect()}
     assert all(got[i].lang_pred == lang for i, t, lang in rows if lang and i < 1000) and all(0 <= x.score <= 1 for x in got.values())
     assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"] and got[1004].lang_pred != "und"
-    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {i for i, _, _ in rows} - {1000, 1001, 1002}
+    assert {r.doc_id for r in langid.keep_known(docs, min_score=0.0).collect()} == {i for i, _, _ in rows} - {1000, 1001, 1002}
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {i for i, _, _ in rows} - {1000, 1001, 1002, 1004}  # 1004 is like no profile
     assert langid.predict(docs.limit(0), model).count() == 0
     assert {r["_tm_lang"].lang_pred for r in langid.predict(docs, langid.learn(docs.filter("lang IS NULL"))).collect()} == {"und"}
 
