@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from test_native import brute_lines, brute_windows
-from test_simhash import brute
+from test_simhash import brute_similar
 
 import corpus_pipeline
 from tallymart.llm import langid
@@ -61,8 +61,8 @@ def test_stages(stages):
     assert {r.doc_id: r.text for r in out[1][2]} == lines
     assert all(r.n_chars == len(r.text) for r in out[1][2] if r.text != kept[r.doc_id][1])
 
-    near = brute(sorted(lines.items()))
-    firsts = {i: t for i, t in lines.items() if near[i][1] == i}
+    near = brute_similar(sorted(lines.items()))
+    firsts = {i: t for i, t in lines.items() if near[i] == i}
     assert {r.doc_id: r.text for r in out[2][2]} == firsts and len(firsts) < len(lines)
 
     hits = brute_windows(list(firsts.items()), items)

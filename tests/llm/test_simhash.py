@@ -75,3 +75,72 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 100 for i in range(101, 161)} | {i: 1 for i in range(2, 50)} | {60: 59}
     assert got == want
+
+
+def brute_similar(texts, least=(4, 5), n=5):
+    """texts: (id, text) -> {id: smallest id joined by links of five-word shingle sets at the similarity}."""
+    sets = []
+    for _, text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set())
+    root = {doc: doc for doc, _ in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (a, _) in enumerate(texts):
+        for j in range(i):
+            b, both = texts[j][0], len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * least[1] >= least[0] * (len(sets[i]) + len(sets[j]) - both) > 0:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {doc: find(doc) for doc, _ in texts}
+
+
+def copies(share, count, rng, size=200):
+    """count pairs of texts whose shingle sets have about the similarity."""
+    out = []
+    for i in range(count):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        copy, lost = list(base), int((size - 4) * (1 - share) / (1 + share))
+        copy[:lost] = [f"v{rng.randrange(10**6)}" for _ in range(lost)]
+        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    return out
+
+
+def groups(spark, rows, **k):
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **k).collect()
+    least = {}
+    for r in got:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    return {r.doc_id: least[r.root] for r in got}
+
+
+def test_similar_against_all_pairs(spark):
+    """Many fingerprints, so that no pair at 0.8 is missed; a group around one text, chains, short, equal and wordless texts."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one two"), (4, "ONE  two"), (5, "one two three"), (6, "a b c d e"), (7, "a b c d e f")]
+    for i in range(10, 70):
+        copy = list(base)
+        for _ in range(rng.randrange(7)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(copy)))
+    for i in range(70, 80):  # each a little farther along
+        at = 6 * (i - 70)
+        rows.append((i, " ".join(f"y{j}" for j in range(at, at + 100))))
+    rows += [(80 + i, " ".join(f"z{rng.randrange(50)}" for _ in range(rng.randrange(1, 40)))) for i in range(40)]
+    assert groups(spark, rows, longs=40) == brute_similar(rows)
+
+
+@pytest.mark.parametrize("share, least, most", [(0.8, 0.6, 1), (0.85, 0.8, 1), (0.9, 0.94, 1), (0.95, 1, 1), (0.77, 0, 0), (0.5, 0, 0)])
+def test_recall_by_similarity(spark, share, least, most):
+    rows = copies(share, 200, random.Random(9))
+    found = sum(got != doc for doc, got in groups(spark, rows).items()) / 200
+    assert least <= found <= most, found
+
+
+def test_similar_of_nothing(spark):
+    assert groups(spark, []) == {}
