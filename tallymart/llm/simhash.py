@@ -34,10 +34,13 @@ from .common import components, table, written
 
 WORDS, RADIUS, DENSE = 4, 4, 24
 CHUNK = 1 << 16
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Of ``similar``: words a shingle, least Jaccard similarity as a fraction's parts, longs of fingerprint bits, share of bits that may differ.
 SHINGLE, SHARE, LONGS, FAR = 5, (4, 5), 5, 0.25
 #: Nodes of a value's largest root that the others are compared with before all pairs are.
 REPS = 4
+#: Longs of a sketch of a shingle set, and how many standard deviations sketches may be farther apart than those of sets at the share.
+SKETCH, SIGMAS = 32, 5
 
 
 def fingerprint(text: bytes | None, n: int = WORDS) -> int:
@@ -172,7 +175,7 @@ def signature(text: bytes | None, longs: int, n: int = SHINGLE) -> tuple[int, li
     for k in range(longs):
         total = np.zeros(64, np.int64)
         for at in range(0, len(h), CHUNK):
-            x = h[at : at + CHUNK] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            x = h[at : at + CHUNK] + np.uint64(k) * MIX
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
             total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -189,6 +192,16 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + n]), 42) for i in range(max(len(words) - n + 1, 1))), np.uint64))
 
 
+def sketch(h: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Of distinct hashes, one bit of the least under each of 64 * longs orders: two sets of similarity s differ in (1 - s) / 2 of them."""
+    rng = np.random.default_rng(11)
+    mix, odd = (rng.integers(0, 1 << 63, 64 * longs, np.uint64)[:, None] for _ in range(2))
+    least = np.full(64 * longs, ~np.uint64(0))
+    for at in range(0, len(h), 256):  # a part of a very long text at a time
+        np.minimum(least, ((h[None, at : at + 256] ^ mix) * (odd << np.uint64(1) | np.uint64(1))).min(axis=1), out=least)
+    return np.packbits((least * MIX >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def with_signature(docs: DataFrame, longs: int, n: int) -> DataFrame:
     """docs(doc_id, text) -> doc_id, tkey (a hash of the text), node (a hash of its words), w0, w1 and so on."""
     names = [f"w{k}" for k in range(longs)]
@@ -248,10 +261,28 @@ def gathered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long, hub long")
 
 
-def close(ws: list[str], a: str, b: str) -> Column:
-    """Whether the fingerprints in the columns ws, with a and b before their names, differ in no more than FAR of their bits."""
+def close(ws: list[str], a: str, b: str, most: int) -> Column:
+    """Whether the bits in the columns ws, with a and b before their names, differ in at most so many places."""
     differ = [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in ws]
-    return sum(differ[1:], differ[0]) <= int(FAR * 64 * len(ws))
+    return sum(differ[1:], differ[0]) <= most
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, make, kind: str) -> DataFrame:
+    """keys(tkey), distinct -> tkey, h: what make gives for the text with that hash, read once."""
+
+    def run(parts):
+        for part in parts:
+            made = [make(t.as_py().lower().split()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["tkey", "h"])
+
+    texts = docs.select(F.xxhash64("text").alias("tkey"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(keys, "tkey", "left_semi")
+    return written(texts.groupBy("tkey").agg(F.min("text").alias("text")).mapInArrow(run, f"tkey long, h {kind}"))
+
+
+def sketch_limit(share: tuple[int, int], longs: int = SKETCH) -> int:
+    """In how many bits the sketches of sets at the share differ at most, but for SIGMAS standard deviations (five: 3 in 10 million)."""
+    far, bits = (1 - share[0] / share[1]) / 2, 64 * longs
+    return int(bits * far + SIGMAS * (bits * far * (1 - far)) ** 0.5)
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, longs: int, n: int, share: tuple[int, int]) -> DataFrame:
@@ -263,16 +294,9 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, longs: in
     """
     ws = [f"w{k}" for k in range(longs)]
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("tkey").alias(f"t{x}"), *[F.col(w).alias(f"{x}{w}") for w in ws])
-    near = written(pairs.join(one("a"), "a").join(one("b"), "b").filter(close(ws, "a", "b")).select("a", "b", "ta", "tb"))
+    near = written(pairs.join(one("a"), "a").join(one("b"), "b").filter(close(ws, "a", "b", int(FAR * 64 * longs))).select("a", "b", "ta", "tb"))
     keys = written(near.select(F.col("ta").alias("tkey")).unionByName(near.select(F.col("tb").alias("tkey"))).distinct())
-
-    def run(parts):
-        for part in parts:
-            sets = [shingles(t.as_py().lower().split(), n).view(np.int64) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tkey", "h"])
-
-    texts = docs.select(F.xxhash64("text").alias("tkey"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(keys, "tkey", "left_semi")
-    sets = written(texts.groupBy("tkey").agg(F.min("text").alias("text")).mapInArrow(run, "tkey long, h array<long>"))
+    sets = texts_of(docs, keys, lambda words: shingles(words, n).view(np.int64), "array<long>")
     left = near.join(sets.select(F.col("tkey").alias("ta"), F.col("h").alias("ha")), "ta")
     both = left.join(sets.select(F.col("tkey").alias("tb"), F.col("h").alias("hb")), "tb")
     up, down = share
@@ -297,8 +321,9 @@ def similar(docs: DataFrame, longs: int = LONGS, n: int = SHINGLE, share: tuple[
     Texts with the same words (by a 64-bit hash) are one node. Each of the 2 * longs fingerprints of 32 bits emits its ball of
     radius 1; nodes with a value in common are compared. First, each value's smallest node with its other nodes, then those that
     are not of the value's largest root with a few of it, others in each value: large groups come together by that. Last, in
-    values whose nodes are still of several roots, all pairs across roots whose fingerprints are close: no pair that meets and
-    could join two roots goes unlooked at, and none inside a root is.
+    values whose nodes are still of several roots, the nodes across roots are joined where sketches of their shingle sets (2,048
+    bits, made for these nodes only) are close: no pair that meets and could join two roots goes unlooked at, none inside a root
+    is, and of a large group of texts that are less alike no rows come out but those near the share.
 
     Of pairs at exactly 0.8 ten fingerprints find 0.71, at 0.85 0.89, at 0.9 0.98 (``longs`` raises that: 330 rows a text at 5).
     Null, empty and wordless texts are one node; texts of fewer than n words link to those of the same words only.
@@ -317,9 +342,13 @@ def similar(docs: DataFrame, longs: int = LONGS, n: int = SHINGLE, share: tuple[
     stars = written(stars.unionByName(verify(tried.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())))
 
     rows = across(met, written(components(stars)))
-    rows = written(rows.join(nodes.drop("tkey"), "node"))
-    odd = rows.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(w).alias(f"x{w}") for w in ws])
-    cross = odd.join(rows, "key").filter("root <> rx AND (root = main OR x < node) AND least(x, node) <> hub").filter(close(ws, "x", ""))
+    keys = written(rows.select("node").distinct().join(nodes.select("node", "tkey"), "node"))
+    bits = texts_of(docs, keys.select("tkey").distinct(), lambda words: sketch(shingles(words, n)), "array<long>")
+    ss = [f"s{k}" for k in range(SKETCH)]
+    wide = written(keys.join(bits, "tkey").select("node", *[F.col("h")[k].alias(w) for k, w in enumerate(ss)]))
+    rows = written(rows.join(wide, "node"))
+    odd = rows.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(w).alias(f"x{w}") for w in ss])
+    cross = odd.join(rows, "key").filter("root <> rx AND (root = main OR x < node) AND least(x, node) <> hub").filter(close(ss, "x", "", sketch_limit(share)))
     more = verify(cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
     roots = written(components(stars.unionByName(more)))
     named = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
