@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_key, tokens
+from ..functions.text import similarity, text_key, tokens
 from ..registry import query
 from ..sources.market import CART_LINES, OFFERS, PRICE_ROWS, PRODUCTS, cart_lines, offers, price_rows, products, table
 from .history import DAYS, daily_prices
 from .quality import IDENTITY, identity_members
 
+# Hebrew letters that a word is written with or without.
+SILENT = "יו"
+
 
 @query(
     "p02_dropped_rows",
@@ -251,32 +254,89 @@ def g14_label_merge(spark, sf_dir):
     return old.unionByName(new).groupBy("doc_id").agg(F.max_by("quality", "batch").cast("int").alias("quality"), F.count("*").alias("n_batches"), (F.count_distinct("quality") > 1).alias("conflict"))
 
 
-def search(items: DataFrame, questions: DataFrame, most: int = 10) -> DataFrame:
-    """items(gtin, name), questions(q, asked) -> q, gtin, score: 1 for a name that holds the question, 0.8 for all words, as words or their beginnings.
+def heads(words: Column) -> Column:
+    """The first three letters of each word; words of one letter count only where there are no others."""
+    longer = F.filter(words, lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.transform(F.when(F.size(longer) > 0, longer).otherwise(words), lambda w: F.substring(w, 1, 3)))
+
+
+def holders(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """keys(key, form), asked(want, form) -> want, key: keys that hold the question's rarest word head, anywhere.
 
-    Candidates come from an equi join on the first three letters of words, so that no question meets every item.
+    A key that holds the question, or a word beginning with each of its words, holds all its heads, so that none is missed.
     """
-    i = items.select("gtin", text_key(F.col("name")).alias("key"))
-    q = questions.select("q", text_key(F.col("asked")).alias("want"))
-    begins = lambda c: F.array_distinct(F.transform(tokens(c), lambda w: F.substring(w, 1, 3)))
-    pairs = i.select("gtin", "key", F.explode(begins(F.col("key"))).alias("b")).join(q.select("q", "want", F.explode(begins(F.col("want"))).alias("b")), "b").drop("b").distinct()
-    every = F.forall(tokens(F.col("want")), lambda w: F.exists(tokens(F.col("key")), lambda k: k.startswith(w)))
-    scored = pairs.withColumn("score", F.when(F.contains("key", "want"), 1.0).when(every, 0.8)).filter("score IS NOT NULL")
+    ranks = F.expr("flatten(transform(sequence(1, length(form)), i -> array(substr(form, i, 1), substr(form, i, 2), substr(form, i, 3))))")
+    grams = keys.filter("form <> ''").select("key", F.explode(F.array_distinct(ranks)).alias("gram"))
+    wanted = asked.select("want", F.explode(heads(tokens(F.col("form")))).alias("gram"))
+    often = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "gram").groupBy("want").agg(F.min_by("gram", "n").alias("gram"))
+    return grams.join(rarest, "gram").select("want", "key")
+
+
+def every_word(want: Column, key: Column) -> Column:
+    """Each word of two letters or more begins a word of the key; shorter ones are words of it."""
+    return F.forall(want, lambda w: F.exists(key, lambda k: (k == w) | ((F.length(w) >= 2) & k.startswith(w))))
+
+
+def search(items: DataFrame, questions: DataFrame, most: int = 10, few: int = 10, silent: str = SILENT, floor: float = 0.4) -> DataFrame:
+    """items(gtin, name), questions(q, asked) -> q, gtin, score, place: the best hits of each question, at most ``most``.
+
+    1 for a name that holds the question, 0.8 for one with all its words or words that they begin. Other names: where a question
+    has under ``few`` such hits, 0.9 and 0.75 by the same rules with ``silent`` letters left out; else 0.7 times the similarity,
+    which counts from ``floor`` on. Questions without a letter or digit have no hits. Names with equal keys are judged once.
+    A similarity that reaches the floor needs a common word if the floor is over 0.35 (without one it is half at most).
+    """
+    if floor <= 0.35:
+        raise ValueError(f"floor {floor}: names without a word in common could reach it")
+    i = items.select("gtin", text_key(F.col("name")).alias("key")).filter("key <> ''")
+    q = questions.select("q", text_key(F.col("asked")).alias("want")).filter("want <> ''")
+    keys, wants = i.groupBy("key").agg(F.count("*").alias("n")), q.select("want").distinct()
+    want, key, fold = F.col("want"), F.col("key"), lambda c: F.translate(c, silent, "")
+    plain = holders(keys.select("key", key.alias("form")), wants.select("want", want.alias("form")))
+    exact = plain.withColumn("score", F.when(F.contains(key, want), 1.0).when(every_word(tokens(want), tokens(key)), 0.8)).filter("score IS NOT NULL")
+    scarce = wants.join(exact.join(keys, "key").groupBy("want").agg(F.sum("n").alias("hits")), "want", "left").select("want", (F.coalesce("hits", F.lit(0)) < few).alias("scarce"))
+
+    folded = holders(keys.select("key", fold(key).alias("form")), scarce.filter("scarce").select("want", fold(want).alias("form")))
+    word = lambda t, c: t.select(c, F.explode(tokens(F.col(c))).alias("word"))
+    alike = word(wants, "want").join(word(keys, "key"), "word").select("want", "key")
+    rest = folded.unionByName(alike).distinct().join(exact, ["want", "key"], "left_anti").join(scarce, "want")
+    words = F.filter(tokens(fold(want)), lambda w: F.length(w) >= 2)
+    held = F.col("scarce") & (F.length(fold(want)) >= 2) & F.contains(fold(key), fold(want))
+    begun = F.col("scarce") & (F.size(words) > 0) & every_word(words, tokens(fold(key)))
+    near = F.floor(0.7 * similarity(want, key) * 1000 + 1e-6) / 1000
+    rescued = rest.withColumn("score", F.when(held, 0.9).when(begun, 0.75).otherwise(near)).filter(F.col("score") >= floor)
+
+    first = i.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("gtin"))).filter(F.col("nth") <= most)
+    hits = exact.unionByName(rescued.select("want", "key", "score")).join(first, "key").join(q, "want")
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "key", "gtin")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("q", "gtin", "score", "place")
+    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("q", "gtin", "score", "place")
+
+
+def sql_words(want: str, key: str) -> str:
+    """SQL of every_word over two lists."""
+    return f"len(list_filter({want}, lambda w: len(list_filter({key}, lambda k: k = w OR (len(w) >= 2 AND starts_with(k, w)))) = 0)) = 0"
 
 
 @query(
     "r01_product_search",
-    f"""WITH {PRODUCTS}, q AS (SELECT DISTINCT family || ' ' || substring(head, 1, 3) AS want FROM products WHERE size % 2 = 1 UNION SELECT DISTINCT name FROM products WHERE size % 10 = 3),
-s AS (SELECT want AS q, gtin, name, CASE WHEN contains(name, want) THEN 1.0 WHEN len(list_filter(string_split(want, ' '), lambda w: len(list_filter(string_split(name, ' '), lambda k: starts_with(k, w))) = 0)) = 0 THEN 0.8 END AS score FROM products, q)
-SELECT q, gtin, score::DOUBLE AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, name, gtin) AS place FROM s WHERE score IS NOT NULL QUALIFY place <= 10""",
+    f"""WITH {PRODUCTS}, a AS (SELECT DISTINCT name, head, family FROM products WHERE gtin % 20 = 0),
+q AS (SELECT name AS want FROM a UNION SELECT substring(head, 1, 2) || ' ' || family FROM a UNION SELECT trim(substring(name, 2, 3)) FROM a UNION SELECT substring(name, 1, 1) FROM a UNION SELECT translate(name, 'ei', '') FROM a UNION SELECT name || ' extra' FROM a),
+n AS (SELECT name AS key, count(*) AS n FROM products GROUP BY ALL),
+x AS (SELECT *, string_split(want, ' ') AS ws, string_split(key, ' ') AS ks, translate(want, 'ei', '') AS fw, translate(key, 'ei', '') AS fk FROM q, n),
+e AS (SELECT *, CASE WHEN contains(key, want) THEN 1.0::DOUBLE WHEN {sql_words('ws', 'ks')} THEN 0.8::DOUBLE END AS s, list_filter(string_split(fw, ' '), lambda w: len(w) >= 2) AS fs, string_split(fk, ' ') AS gs,
+  len(list_intersect(ws, ks)) AS shared, len(list_distinct(ws)) AS nw, len(list_distinct(ks)) AS nk, 1 - levenshtein(want, key) / greatest(len(want), len(key)) AS ch FROM x),
+g AS (SELECT *, coalesce(sum(n) FILTER (s IS NOT NULL) OVER (PARTITION BY want), 0) < 10 AS few FROM e),
+r AS (SELECT want, key, coalesce(s, CASE WHEN few AND len(fw) >= 2 AND contains(fk, fw) THEN 0.9::DOUBLE WHEN few AND len(fs) > 0 AND {sql_words('fs', 'gs')} THEN 0.75::DOUBLE
+  ELSE floor(0.7 * (0.5 * shared / (nw + nk - shared) + 0.25 * shared / least(nw, nk) + 0.25 * ch) * 1000 + 1e-6) / 1000 END) AS score FROM g)
+SELECT want AS q, gtin, score, row_number() OVER (PARTITION BY want ORDER BY score DESC, name, gtin) AS place FROM r JOIN products ON name = key WHERE score >= 0.4 QUALIFY place <= 10""",
 )
 def r01_product_search(spark, sf_dir):
+    """Names of products with codes divisible by 20 asked whole, abbreviated, from inside a word, by a letter, misspelt and with a word too many."""
     p = products(spark, sf_dir)
-    a = p.filter("size % 2 = 1").select(F.concat_ws(" ", "family", F.substring("head", 1, 3)).alias("asked"))
-    asked = a.unionByName(p.filter("size % 10 = 3").select(F.col("name").alias("asked"))).distinct()
-    return search(p, asked.select(F.col("asked").alias("q"), "asked"))
+    a = p.filter("gtin % 20 = 0")
+    forms = ["name", "concat(substring(head, 1, 2), ' ', family)", "trim(substring(name, 2, 3))", "substring(name, 1, 1)", "translate(name, 'ei', '')", "concat(name, ' extra')"]
+    asked = a.select(F.explode(F.array(*[F.expr(f) for f in forms])).alias("asked")).distinct()
+    return search(p, asked.select(F.col("asked").alias("q"), "asked"), silent="ei")
 
 
 def size_of(name: Column) -> Column:
