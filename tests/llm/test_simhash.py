@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -144,3 +145,17 @@ def test_recall_by_similarity(spark, share, least, most):
 
 def test_similar_of_nothing(spark):
     assert groups(spark, []) == {}
+
+
+@pytest.mark.parametrize("size", [5, 60, 700])
+def test_sketches_differ_by_similarity(size):
+    rng = np.random.default_rng(size)
+    for shared in (size, size * 8 // 9, size // 2):
+        h = rng.integers(0, 1 << 63, 2 * size, np.uint64)
+        a, b = h[:size], np.concatenate((h[:shared], h[size : 2 * size - shared]))
+        alike = shared / (2 * size - shared)
+        differ = int(np.bitwise_count((simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)).sum())
+        assert abs(differ / 2048 - (1 - alike) / 2) < 0.06, (shared, differ)
+        if alike >= 0.8:
+            assert differ <= simhash.sketch_limit((4, 5))
+    assert simhash.sketch(np.zeros(0, np.uint64)).shape == (simhash.SKETCH,)
