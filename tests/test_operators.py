@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallymart.operators import joins, names, search, swaps, votes
+from tallymart.operators import audits, joins, names, search, swaps, votes
 from tallymart.sources import feeds, files
 
 
@@ -200,3 +200,20 @@ def test_changed_files_come_again(spark):
     found = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "file string, digest int")
     known = spark.createDataFrame([("a", 1), ("b", 9)], "file string, digest int")
     assert sorted(x.file for x in feeds.new_files(found, known).collect()) == ["b", "c"]
+
+
+def test_product_search_and_its_rescue(spark):
+    items = spark.createDataFrame([(1, "Red Milk"), (2, "redder milks"), (3, "rid milk 3%"), (4, "bread"), (5, None), (6, ""), (7, "red milk")], "gtin long, name string")
+    asked = spark.createDataFrame([("a", "red milk"), ("b", "il"), ("c", "rd mlk"), ("d", "red milk now"), ("e", " ?"), ("f", None), ("g", "r")], "q string, asked string")
+    run = lambda **k: {(r.q, r.gtin): r.score for r in audits.search(items, asked, silent="ei", **k).collect()}
+    got = run()
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {1: 1.0, 7: 1.0, 2: 0.8, 3: 0.9}  # folded, "rid milk" holds "rd mlk" too
+    assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {1: 1.0, 2: 1.0, 3: 1.0, 7: 1.0}
+    assert {k[1]: v for k, v in got.items() if k[0] == "c"} == {1: 0.9, 7: 0.9, 3: 0.9, 2: 0.75}
+    assert got["d", 1] == pytest.approx(0.525)  # 0.7 * (1/3 + 1/4 + 1/6)
+    assert {k[1] for k in got if k[0] == "g"} == {1, 2, 3, 4, 7}
+    assert not {k[0] for k in got} & {"e", "f"}
+    assert ("a", 3) not in run(few=3)  # three hits: nothing to rescue
+    with pytest.raises(ValueError, match="in common"):
+        run(floor=0.3)
+    assert audits.search(items.limit(0), asked).count() == 0
