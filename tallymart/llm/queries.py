@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, maxent, mixing, neardup, quotes, simhash, suffixes, warc
+from . import cleaning, decontam, langid, linededup, maxent, mixing, neardup, quotes, simhash, suffixes, tries, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_lm_score": maxent.op9_lm_score,
     "op10_warc": warc.op10_warc,
+    "op11_quality_rules": cleaning.op11_quality_rules,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": tries.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_quality_rules": cleaning.ORACLE,
+    "op13_prefix_trie": tries.ORACLE,
 }
