@@ -38,29 +38,27 @@ NODE = (
 )
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) -> conv, pos (from 1), tid (the turn's number in the dictionary), len (bytes of text); written."""
+def turns_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conversations(conv_id, turn, role, text) -> (conv, pos (from 1), tid (the turn's number in the dictionary), len (bytes of text)), and (conv, size)."""
     rows = conversations.filter("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     key = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
-    # Turns with equal role and text can be ordered either way: their numbers are the same. The hash orders as well as the text does only
-    # where turns are equal otherwise, so role and text themselves are the order.
     order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     ranked = before(rows.select("conv", "turn", "role", "text", F.lit(1).alias("one")), order, rank="one")
     ranked = written(ranked.select("conv", "rank", key.alias("key"), F.octet_length("text").cast("long").alias("len")))
-    words = written(written(ranked.select("key").distinct()).withColumn("tid", F.monotonically_increasing_id()))
-    first = written(ranked.groupBy("conv").agg(F.min("rank").alias("first")))
-    return written(ranked.join(first, "conv").join(words, "key").select("conv", (F.col("rank") - F.col("first") + 1).alias("pos"), "tid", "len"))
+    words = written(ranked.select("key").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    sizes = written(ranked.groupBy("conv").agg(F.min("rank").alias("first"), F.count("*").alias("size")))
+    turns = ranked.join(sizes, "conv").join(words, "key").select("conv", (F.col("rank") - F.col("first") + 1).alias("pos"), "tid", "len")
+    return written(turns), sizes.select("conv", "size")
 
 
 def shared_turns(conv: Column) -> Column:
     return F.crc32(conv.cast("string").cast("binary")) % SHARED
 
 
-def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rebuilt(turns: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns after each conversation has taken the first turns of its family's first one: (conv, d, tid, len), and (conv, length)."""
-    sizes = written(turns.groupBy("conv").agg(F.count("*").alias("size")))
     family = F.col("conv") - F.col("conv") % FAMILY
     own = sizes.select("conv", "size", family.alias("of"), shared_turns(F.col("conv")).alias("h"))
     whose = sizes.select(F.col("conv").alias("of"), F.col("size").alias("there"))
@@ -114,12 +112,13 @@ def segments(turns: DataFrame, lengths: DataFrame, size: int) -> tuple[DataFrame
         rows = rows.withColumns({"p1": F.lit(0).cast("long"), "p2": F.lit(0).cast("long"), "q1": F.col("m1"), "q2": F.col("m2")})
     else:
         path = Window.partitionBy("conv").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-        half = F.lit(1 << 63).cast("decimal(38,0)")
-        wrap = lambda x: (F.pmod(x + half, F.lit(1 << 64).cast("decimal(38,0)")) - half).cast("long")
+        half = F.lit(str(1 << 63)).cast("decimal(38,0)")
+        wrap = lambda x: (F.pmod(x + half, F.lit(str(1 << 64)).cast("decimal(38,0)")) - half).cast("long")
         total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).over(path)
         rows = rows.withColumns({"t1": total("m1"), "t2": total("m2")})
         rows = rows.withColumns({"q1": wrap(F.col("t1")), "q2": wrap(F.col("t2")), "p1": wrap(F.col("t1") - F.col("m1")), "p2": wrap(F.col("t2") - F.col("m2"))})
-    return rows.select("conv", "s", "seq", "p1", "p2", "q1", "q2", (F.col("s") == F.col("last")).alias("ended")), levels
+    rows = rows.select("conv", "s", "seq", "p1", "p2", "q1", "q2", (F.col("s") == F.col("last")).alias("ended"))
+    return (written(rows) if levels > 1 else rows), levels
 
 
 class Trie:
@@ -289,8 +288,7 @@ def digests(ends: DataFrame) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256: a row a node."""
-    rows, levels = segments(*rebuilt(turns_of(conversations)), segment)
-    rows = written(rows)
+    rows, levels = segments(*rebuilt(*turns_of(conversations)), segment)
     zero = {c: F.lit(0).cast("long") for c in ("children", "leaves", "saved")}
     found, roots = [], None
     for s in reversed(range(levels)):
@@ -314,7 +312,7 @@ def prefix_trie(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     known = nodes.filter("up_least IS NOT NULL OR depth = 0")
     asked = nodes.filter("up_least IS NULL AND depth > 0").join(joints, ["up1", "up2"]).withColumn("up_least", F.col("joint")).drop("joint")
     ends = digests(rows.filter("ended"))
-    out = written(known.unionByName(asked)).join(ends, ["p1", "p2"], "left")
+    out = known.unionByName(asked).join(ends, ["p1", "p2"], "left")
     return out.select(
         F.col("least").alias("conv_id"), "depth", F.col("up_least").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"),
         F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NONE)).alias("ends_sha256"),
