@@ -5,7 +5,7 @@ Every line with a word is judged by three groups of rules, the first that it fai
 - ``navigation``: two words or more that are separators (``|``, bullets, arrows), at least one in five; or at most six
   words, no closing mark at the end and a word of a menu (``home``, ``login``, ``next`` ...);
 - ``boilerplate``: at most 40 words with a phrase of licences, notices or page furniture (``all rights reserved`` ...);
-- ``punctuation``: symbols (``#*$%&|<>``) at least three and one for five words; two words or more, one in five, that end in ``!!`` or ``??``;
+- ``punctuation``: symbols (``#*$%&|<>``) at least three and one for three words; two words or more, one in five, that end in ``!!`` or ``??``;
   no letter or digit at all; five words or more in capitals only; or three words or more, under 20, without a closing mark at
   the end.
 
@@ -57,7 +57,7 @@ def judged(line: Column) -> Column:
         F.when(words == 0, None)
         .when(let(alone, lambda n: (n >= 2) & (5 * n >= words)) | (words <= 6) & ~closed & menu, "navigation")
         .when((words <= 40) & notice, "boilerplate")
-        .when((line["signs"] >= 3) & (5 * line["signs"] >= words) | let(doubled, lambda n: (n >= 2) & (5 * n >= words)), "punctuation")
+        .when((line["signs"] >= 3) & (3 * line["signs"] >= words) | let(doubled, lambda n: (n >= 2) & (5 * n >= words)), "punctuation")
         .when(~body.rlike(r"[\p{L}\p{N}]") | (words >= 5) & body.rlike(r"\p{Lu}") & ~body.rlike(r"\p{Ll}"), "punctuation")
         .when((words >= 3) & (words < 20) & ~closed, "punctuation")
     )
@@ -104,7 +104,10 @@ def measured(docs: DataFrame, keep_lines: bool = False) -> DataFrame:
         **{f"n_{why}": failing(why) for why in REASONS},
     })
     rows = rows.drop("text") if keep_lines else rows.drop("text", "_tm_lines")
-    return repeated_words(rows, "_tm_words")
+    rows = repeated_words(rows, "_tm_words")
+    # A generator, through which Spark moves no filter: moved down, one on a measure would hold all the steps above in one expression,
+    # each array made again for each of its elements.
+    return rows.select(F.inline_outer(F.array(F.struct(*rows.columns))))
 
 
 def verdicts(rows: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
@@ -151,7 +154,7 @@ m AS (SELECT r, body, len(ws) AS words, len(body) - len(regexp_replace(body, '[#
 v AS (SELECT r, body, words, CASE WHEN words = 0 THEN NULL
                WHEN alone >= 2 AND 5 * alone >= words OR words <= 6 AND NOT closed AND menu THEN 'navigation'
                WHEN words <= 40 AND len(list_filter([{sql_list(NOTICE)}], lambda p: contains(lower(body), p))) > 0 THEN 'boilerplate'
-               WHEN signs >= 3 AND 5 * signs >= words OR doubled >= 2 AND 5 * doubled >= words OR NOT regexp_matches(body, '[\p{{L}}\p{{N}}]')
+               WHEN signs >= 3 AND 3 * signs >= words OR doubled >= 2 AND 5 * doubled >= words OR NOT regexp_matches(body, '[\p{{L}}\p{{N}}]')
                  OR words >= 5 AND regexp_matches(body, '\p{{Lu}}') AND NOT regexp_matches(body, '\p{{Ll}}') OR words BETWEEN 3 AND 19 AND NOT closed THEN 'punctuation' END AS reason FROM m),
 s AS (SELECT r, count(*) FILTER (words > 0) - count(DISTINCT body) FILTER (words > 0) AS n_dup_lines, coalesce(sum(words) FILTER (reason IS NOT NULL), 0)::BIGINT AS n_lost_words,
              count(*) FILTER (reason = 'navigation') AS n_navigation, count(*) FILTER (reason = 'boilerplate') AS n_boilerplate, count(*) FILTER (reason = 'punctuation') AS n_punctuation
