@@ -7,7 +7,7 @@ from collections import Counter
 from tallymart.llm import cleaning
 
 TEXTS = "doc_id long, text string"
-PROSE = " ".join(f"Sentence {i} has some words of its own here." for i in range(20))
+PROSE = " ".join(f"Sentence {i} has words{i} of its{i} own{i} here." for i in range(20))
 
 
 def brute(text):

@@ -1,6 +1,7 @@
 """Line dedup, decontamination, quotations, mixing, language ID and vectors against brute force, with awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -154,38 +155,73 @@ def test_quotes(spark):
 
 
 def brute_quotes(rows):
-    """Links, replies and reply order message by message."""
+    """Links, replies and reply order message by message, as the docstring has them: a passage, else its lines; the latest earlier
+    message of the conversation, else the first message of all other conversations."""
     marks = lambda x: re.match(r"[ \t]*((>[ \t]*)*)", x).group(0)
     plain = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x[len(marks(x)) :].lower()).split())
     texts = {}
     for c, t, r, x in set(rows):
         texts.setdefault((c, t), []).append((r or "", x or ""))
-    said, out = {}, {}
-    for m, parts in texts.items():
-        for line in "\n".join(x for _, x in sorted(parts)).split("\n"):
-            if ">" not in marks(line) and plain(line):
-                said.setdefault(plain(line), set()).add(m)
-    for (c, t), parts in texts.items():
-        lines = "\n".join(x for _, x in sorted(parts)).split("\n")
-        found, n_quoted, n_linked = Counter(), 0, 0
-        for line in lines:
-            level = marks(line).count(">")
-            n_quoted += level > 0
-            if level and plain(line):
-                here = [m for m in said.get(plain(line), ()) if m[0] == c and m[1] < t]
-                source = max(here) if here else min(said.get(plain(line), ()), default=None)
-                if source and (here or source[0] != c):
+    lines_of = {m: "\n".join(x for _, x in sorted(parts)).split("\n") for m, parts in texts.items()}
+
+    def runs(m):
+        found = [(k, [plain(x) for x in g]) for k, g in itertools.groupby(lines_of[m], lambda x: (marks(x).count(">"), plain(x) == ""))]
+        return [(level, tuple(ps)) for (level, blank), ps in found if not blank]
+
+    said = {}
+    for m in lines_of:
+        for level, ps in runs(m):
+            for unit in {ps, *((p,) for p in ps)} if level == 0 else ():
+                said.setdefault(unit, set()).add(m)
+
+    def source(unit, c, t):
+        here = [m for m in said.get(unit, ()) if m[0] == c and m[1] < t]
+        return max(here) if here else min((m for m in said.get(unit, ()) if m[0] != c), default=None)
+
+    out = {}
+    for (c, t), lines in lines_of.items():
+        found, n_linked = Counter(), 0
+        for level, ps in runs((c, t)):
+            if level:
+                whole = source(ps, c, t)
+                for m in [whole] * len(ps) if whole else filter(None, (source((p,), c, t) for p in ps)):
                     n_linked += 1
                     if level == 1:
-                        found[source[0] == c, source] += 1
+                        found[m[0] == c, m] += 1
         before = max(((c2, t2) for c2, t2 in texts if c2 == c and t2 < t), default=(None, None))
         best = max(((k[0], n, k[1][1], k[1][0]) for k, n in found.items()), default=None)
         reply, conv = (best[2], best[3]) if best else (before[1], before[0])
         own = "\n".join(x for x in lines if ">" not in marks(x)).strip(" ")
+        n_quoted = sum(">" in marks(x) for x in lines)
         out[c, t] = [reply, conv, n_quoted, n_linked, own, (reply if reply is not None and (not best or best[0]) else -1, t)]
     return {(c, t): (*x[:5], 1 + sum(y[5] < x[5] for (c2, _), y in out.items() if c2 == c)) for (c, t), x in out.items()}
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("a, b", [(1, 2), (2, 1)])
+def test_quotes_of_later_words_are_linked_elsewhere(spark, a, b):
+    """A quotes a line that A says only later and B says too: the link goes to B, whichever has the smaller id."""
+    rows = [(a, 0, "user", "> the hot line"), (a, 1, "user", "The hot line."), (b, 5, "user", "the HOT line"), (b, 6, "user", "nothing")]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_to, r.reply_kind) for r in quotes.reply_ordered(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got[a, 0] == (1, b, 5, "quoted elsewhere")
+
+
+def test_passages_go_before_lines(spark):
+    rows = [
+        (1, 0, "user", "yes\nI like it"), (1, 1, "user", "yes"), (1, 2, "user", "> yes\n> I like it\nThanks"), (1, 3, "user", "> yes\n> but why\n>> yes\n>> I like it"),
+    ]
+    got = {r.turn: (r.reply_to, r.n_linked) for r in quotes.reply_ordered(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got == {0: (None, 0), 1: (0, 0), 2: (0, 2), 3: (1, 3)}
+
+
+def test_rows_without_ids_stay_apart(spark):
+    rows = [(None, None, "user", "one"), (None, None, "user", "two"), (None, None, "user", "two"), (7, None, "user", "> x"), (7, None, None, None), (7, 3, "user", "> three"), (None, 3, "user", "three")]
+    got = sorted((r.conv_id or 0, r.turn or 0, r.text, r.n_linked) for r in quotes.reply_ordered(spark.createDataFrame(rows, TURNS)).collect())
+    assert got == [(0, 0, "one", 0), (0, 0, "two", 0), (0, 3, "three", 0), (7, 0, "", 0), (7, 0, "", 0), (7, 3, "", 1)]
+
+
 def test_quotes_against_brute_force(spark):
     rng = random.Random(21)
     phrases = [f"{a} {b}!" for a in ("Yes", "no", "Maybe ü", "see 1") for b in ("there", "so", "it is", "OK?")] + ["", "--", "Hot line."]
@@ -193,7 +229,7 @@ def test_quotes_against_brute_force(spark):
     for c in range(25):
         for t in sorted(rng.sample(range(200 if c == 3 else 12), 60 if c == 3 else rng.randrange(1, 9))):
             lines = []
-            for _ in range(rng.randrange(0, 6)):
+            for _ in range(rng.randrange(0, 7)):
                 deep = rng.choice([0, 0, 1, 1, 2, 3])
                 lines.append(rng.choice(["> ", ">"]) * deep + (rng.choice(phrases).upper() if rng.random() < 0.3 else rng.choice(phrases)))
             rows.append((c, t, rng.choice(["user", "assistant"]), "\n".join(lines) if rng.random() < 0.95 else None))
