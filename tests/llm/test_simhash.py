@@ -136,7 +136,7 @@ def test_similar_against_all_pairs(spark):
     assert groups(spark, rows, longs=40) == brute_similar(rows)
 
 
-@pytest.mark.parametrize("share, least, most", [(0.8, 0.6, 1), (0.85, 0.8, 1), (0.9, 0.94, 1), (0.95, 1, 1), (0.77, 0, 0), (0.5, 0, 0)])
+@pytest.mark.parametrize("share, least, most", [(0.8, 0.95, 1), (0.85, 0.98, 1), (0.9, 1, 1), (0.95, 1, 1), (0.77, 0, 0), (0.5, 0, 0)])
 def test_recall_by_similarity(spark, share, least, most):
     rows = copies(share, 200, random.Random(9))
     found = sum(got != doc for doc, got in groups(spark, rows).items()) / 200
