@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import products
-from .joins import STOCKED, cheapest, first_reason, stocked
+from .joins import STOCKED, first_reason, stocked
 
 SWAPS = f"""{STOCKED}, cand AS (SELECT *, row_number() OVER (PARTITION BY chain, concept ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock),
 famcand AS (SELECT *, row_number() OVER (PARTITION BY chain, family ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock),
@@ -16,14 +16,14 @@ pairs AS (SELECT w.chain, w.gtin, w.concept, w.price_c AS base_c, w.size AS base
 judged AS (SELECT *, CASE WHEN department <> base_department THEN 'department' WHEN size * 4 < base_size * 3 OR size * 3 > base_size * 4 THEN 'size' WHEN price_c > 3 * base_c OR price_c * 3 < base_c THEN 'price' ELSE 'ok' END AS reason FROM pairs)"""
 
 
-def swap_pairs(rows: DataFrame, key: str, n: int | None = 5) -> DataFrame:
-    """rows as stocked() -> each offer out of stock with the n cheapest of its ``key`` (class or family) that its chain has in stock.
+def swap_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """rows as stocked() -> each offer out of stock with all of its ``key`` (class or family) that its chain has in stock, judged or not.
 
-    With n None each offer meets all of its key, judged or not: only for queries whose result is these pairs. Where a result is the
-    best or the number of admissible pairs, reach() has it without making them.
+    Only for queries whose result is these pairs. Where a result is the best or the number of admissible pairs, reach() has it
+    without making them.
     """
     here = Window.partitionBy("chain", key).orderBy("price_c", "gtin")
-    c = rows.filter("in_stock").withColumn("nth", F.row_number().over(here)) if n is None else cheapest(rows.filter("in_stock"), "chain", key, n=n)
+    c = rows.filter("in_stock").withColumn("nth", F.row_number().over(here))
     c = c.select("chain", key, "nth", F.col("gtin").alias("item"), F.col("concept").alias("item_concept"), "size", "department", "brand", "price_c")
     wanted = rows.filter(~F.col("in_stock")).select(
         "chain", "gtin", *({key, "concept"}), F.col("price_c").alias("base_c"), F.col("size").alias("base_size"), F.col("department").alias("base_department"), F.col("brand").alias("base_brand")
@@ -31,15 +31,17 @@ def swap_pairs(rows: DataFrame, key: str, n: int | None = 5) -> DataFrame:
     return wanted.join(c, ["chain", key])
 
 
-def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3) -> DataFrame:
-    """rows as stocked() -> chain, gtin, department of each offer out of stock, with the cheapest of all offers of its ``key`` that verdict()
-    lets in as ``best`` (price_c, item; null without), and its candidates: n_all of the key, n_same of the department too, n_sized
-    of them of a size that passes, n_ok that pass in all.
+def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3, rank: Column | None = None) -> DataFrame:
+    """rows as stocked() -> chain, gtin, department of each offer out of stock, with the least by ``rank`` (a struct of an offer's columns;
+    price_c and item unless given) of all offers of its ``key`` that verdict() lets in as ``best`` (null without), and its candidates:
+    n_all of the key, n_same of the department too, n_sized of them of a size that passes, n_ok that pass in all.
 
     No pair is made. Offers in stock are summed up by department, size and blocks of prices (price >> level, for each level), and a
-    range of prices is what its lower end's blocks hold less what those of the first price above it hold. So an offer emits a row
-    for each bit of its price, and a wanted one such a row for each size that passes, however large the class is.
+    range of prices is a few whole blocks: the right neighbours of its lower end's blocks and the left ones of its upper end's. So
+    an offer emits a row for each bit of its price, and a wanted one two such rows at most for each size that passes, however
+    large the class is.
     """
+    rank = F.struct("price_c", F.col("gtin").alias("item")) if rank is None else rank
     group = ["chain", key, "department"]
     keep = 100 - size_pct
     shift = lambda x, i: F.call_function("shiftright", x, i)
@@ -48,7 +50,7 @@ def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3) -
     price = F.col("price_c").cast("long")
     stock = rows.filter("in_stock")
     tree = stock.select(*group, "size", "price_c", "gtin", F.inline(F.transform(F.sequence(F.lit(0), bits(price) - 1), lambda i: at(i, shift(price, i)))))
-    tree = tree.groupBy(*group, "size", "level", "block").agg(F.min(F.struct("price_c", F.col("gtin").alias("item"))).alias("x"), F.count("*").alias("n"))
+    tree = tree.groupBy(*group, "size", "level", "block").agg(F.min(rank).alias("x"), F.count("*").alias("n"))
 
     wanted = rows.filter(~F.col("in_stock")).select("chain", "gtin", key, "department", F.col("size").alias("base_size"), F.col("price_c").cast("long").alias("base_c"))
     like = [*group, "base_size", "base_c"]
@@ -59,15 +61,16 @@ def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3) -
     total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     facts = asked.select(*like, total(F.col("sizes")).alias("n_same"), total(F.col("fits")).alias("n_sized"))
 
-    # From x up: x itself, and at each level whose bit x lacks the block beside x's. Levels above the ends' first difference cancel out.
-    levels = F.sequence(F.lit(0), bits(F.col("low").bitwiseXOR(F.col("past"))) - 1)
-    lacks = lambda x: F.filter(levels, lambda i: shift(x, i) % 2 == 0)
-    upward = lambda x: F.concat(F.array(at(F.lit(0), x)), F.transform(lacks(x), lambda i: at(i, shift(x, i) + 1)))
-    signed = lambda end, sign: F.transform(upward(F.col(end)), lambda b: F.named_struct(F.lit("level"), b["level"], F.lit("block"), b["block"], F.lit("sign"), F.lit(sign)))
-    probes = asked.select(*like, "past", F.explode(F.transform("fits", lambda s: s["size"])).alias("size"), F.concat(signed("low", 1), signed("past", -1)).alias("blocks"))
-    probes = probes.select(*like, "past", "size", F.inline("blocks"))
-    found = probes.join(tree, [*group, "size", "level", "block"]).groupBy(*like, "past").agg(F.min(F.when(F.col("sign") > 0, F.col("x"))).alias("x"), F.sum(F.col("sign") * F.col("n")).alias("n_ok"))
-    found = found.select(*like, F.when(F.col("x.price_c") < F.col("past"), F.col("x")).alias("best"), "n_ok")
+    # Below the level at which the ends' blocks are brothers: right of the lower end's where it is a left child, left of the upper end's where it is a right one.
+    low, past = F.col("low"), F.col("past")
+    top = bits(low.bitwiseXOR(past)) - 1
+    levels = F.when(top > 0, F.sequence(F.lit(0), top - 1)).otherwise(F.array().cast("array<int>"))
+    right = F.transform(F.filter(levels, lambda i: shift(low, i) % 2 == 0), lambda i: at(i, shift(low, i) + 1))
+    left = F.transform(F.filter(levels, lambda i: shift(past, i) % 2 == 1), lambda i: at(i, shift(past, i) - 1))
+    blocks = F.concat(F.array(at(F.lit(0), low)), right, left)
+    probes = asked.select(*like, F.explode(F.transform("fits", lambda s: s["size"])).alias("size"), blocks.alias("blocks"))
+    probes = probes.select(*like, "size", F.inline("blocks"))
+    found = probes.join(tree, [*group, "size", "level", "block"]).groupBy(*like).agg(F.min("x").alias("best"), F.sum("n").alias("n_ok"))
 
     everyone = stock.groupBy("chain", key).agg(F.count("*").alias("n_all"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -87,7 +90,7 @@ def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
 
 @query("c01_verdicts", f"WITH {SWAPS} SELECT chain, gtin, item, reason FROM judged")
 def c01_verdicts(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", verdict().alias("reason"))
+    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", verdict().alias("reason"))
 
 
 @query(
@@ -97,7 +100,7 @@ def c01_verdicts(spark, sf_dir):
 )
 def c02_caveats(spark, sf_dir):
     """For lines that would stay empty, refused offers are let in with one caveat, never two."""
-    x = swap_pairs(stocked(spark, sf_dir), "concept", None).withColumn("reason", verdict())
+    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("reason", verdict())
     near = (F.col("size") <= 3 * F.col("base_size")) & (F.col("base_size") <= 3 * F.col("size"))
     caveat = F.when((F.col("reason") == "size") & near, "other size").when((F.col("reason") == "department") & (F.col("brand") == F.col("base_brand")), "other department")
     return x.select("chain", "gtin", "item", caveat.alias("caveat")).filter("caveat IS NOT NULL")
@@ -105,15 +108,13 @@ def c02_caveats(spark, sf_dir):
 
 @query(
     "c04_by_pack_price",
-    f"""WITH {SWAPS} SELECT chain, gtin, item, price_c * 1000 // size AS per_unit FROM pairs QUALIFY row_number() OVER (PARTITION BY chain, gtin ORDER BY size % 9 = 0, price_c * 1000 // size, item) = 1""",
+    f"""WITH {SWAPS} SELECT chain, gtin, item, price_c * 1000 // size AS per_unit FROM judged WHERE reason = 'ok' QUALIFY row_number() OVER (PARTITION BY chain, gtin ORDER BY size % 9 = 0, price_c * 1000 // size, item) = 1""",
 )
 def c04_by_pack_price(spark, sf_dir):
-    """The offer that costs least for what the wanted pack holds; offers without a measure (here: sizes by nine) come last."""
-    rows = stocked(spark, sf_dir)
-    x = rows.filter("in_stock").withColumn("per_unit", F.expr("price_c * 1000 div size"))
-    # Of a class in a chain one offer is best whoever asks, since those who ask aren't in stock.
-    best = x.groupBy("chain", "concept").agg(F.min(F.struct((F.col("size") % 9 == 0).alias("unmeasured"), "per_unit", F.col("gtin").alias("item"))).alias("x"))
-    return rows.filter(~F.col("in_stock")).join(best, ["chain", "concept"]).select("chain", "gtin", "x.item", "x.per_unit")
+    """Of the offers that verdict() lets in, the one that costs least for what the pack holds; those without a measure (here: sizes by
+    nine) come last. An offer out of stock without an admissible one has no row."""
+    rank = F.struct((F.col("size") % 9 == 0).alias("unmeasured"), F.expr("price_c * 1000 div size").alias("per_unit"), F.col("gtin").alias("item"))
+    return reach(stocked(spark, sf_dir), "concept", rank=rank).filter("best IS NOT NULL").select("chain", "gtin", "best.item", "best.per_unit")
 
 
 def tiered(rows: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def j19_family_fallback(spark, sf_dir):
 
 @query("j18_class_candidates", f"WITH {SWAPS} SELECT chain, gtin, item, nth AS place FROM pairs")
 def j18_class_candidates(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", F.col("nth").alias("place"))
+    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", F.col("nth").alias("place"))
 
 
 @query(
