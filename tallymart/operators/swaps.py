@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,46 +33,64 @@ def swap_pairs(rows: DataFrame, key: str) -> DataFrame:
     return wanted.join(c, ["chain", key])
 
 
-def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3, rank: Column | None = None) -> DataFrame:
+_shift = lambda x, i: F.call_function("shiftright", x, i)
+_bits = lambda x: F.length(F.bin(x))
+_at = lambda level, block: F.named_struct(F.lit("level"), level.cast("int"), F.lit("block"), block.cast("long"))
+
+
+def _nodes(stock: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each offer, once for each block of prices (price >> level, for each level) that holds it."""
+    price = F.col("price_c").cast("long")
+    return stock.select(*columns, "size", "price_c", "gtin", F.inline(F.transform(F.sequence(F.lit(0), _bits(price) - 1), lambda i: _at(i, _shift(price, i)))))
+
+
+def _asked(wanted: DataFrame, stock: DataFrame, group: list[str], like: list[str], fits: Callable[[Column], Column], price_times: int) -> DataFrame:
+    """Distinct wishes with the ``sizes`` in stock of their group, those that fit, and the prices ``low`` to ``past`` (left out) that are let in."""
+    sizes = stock.groupBy(*group, "size").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list(F.struct("size", "n")).alias("sizes"))
+    asked = wanted.select(*like).distinct().join(sizes, group).withColumn("fits", F.filter("sizes", lambda s: fits(s["size"])))
+    return asked.withColumns({"low": F.ceil(F.col("base_c") / F.lit(price_times).cast("decimal(9,0)")).cast("long"), "past": F.col("base_c") * price_times + 1})
+
+
+def _probes(asked: DataFrame, like: list[str]) -> DataFrame:
+    """For each wish and size that fits the whole blocks that make up its range of prices, each price once."""
+    # Below the level at which the ends' blocks are brothers: right of the lower end's where it is a left child, left of the upper end's where it is a right one.
+    low, past = F.col("low"), F.col("past")
+    top = _bits(low.bitwiseXOR(past)) - 1
+    levels = F.when(top > 0, F.sequence(F.lit(0), top - 1)).otherwise(F.array().cast("array<int>"))
+    right = F.transform(F.filter(levels, lambda i: _shift(low, i) % 2 == 0), lambda i: _at(i, _shift(low, i) + 1))
+    left = F.transform(F.filter(levels, lambda i: _shift(past, i) % 2 == 1), lambda i: _at(i, _shift(past, i) - 1))
+    blocks = F.concat(F.array(_at(F.lit(0), low)), right, left)
+    out = asked.select(*like, F.explode(F.transform("fits", lambda s: s["size"])).alias("size"), blocks.alias("blocks"))
+    return out.select(*like, "size", F.inline("blocks"))
+
+
+def _wishes(rows: DataFrame, key: str, wanted: DataFrame | None) -> DataFrame:
+    wanted = rows.filter(~F.col("in_stock")) if wanted is None else wanted
+    return wanted.select("chain", "gtin", key, "department", F.col("size").alias("base_size"), F.col("price_c").cast("long").alias("base_c"))
+
+
+def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3, rank: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """rows as stocked() -> chain, gtin, department of each offer out of stock, with the least by ``rank`` (a struct of an offer's columns;
     price_c and item unless given) of all offers of its ``key`` that verdict() lets in as ``best`` (null without), and its candidates:
     n_all of the key, n_same of the department too, n_sized of them of a size that passes, n_ok that pass in all.
 
-    No pair is made. Offers in stock are summed up by department, size and blocks of prices (price >> level, for each level), and a
-    range of prices is a few whole blocks: the right neighbours of its lower end's blocks and the left ones of its upper end's. So
-    an offer emits a row for each bit of its price, and a wanted one two such rows at most for each size that passes, however
-    large the class is.
+    ``wanted`` (chain, gtin, key, department, size, price_c) asks for other products than those out of stock, at the prices given; one
+    that is in stock is among its own candidates. No pair is made. Offers in stock are summed up by department, size and blocks of
+    prices (price >> level, for each level), and a range of prices is a few whole blocks: the right neighbours of its lower end's
+    blocks and the left ones of its upper end's. So an offer emits a row for each bit of its price, and a wanted one two such rows
+    at most for each size that passes, however large the class is.
     """
     rank = F.struct("price_c", F.col("gtin").alias("item")) if rank is None else rank
     group = ["chain", key, "department"]
+    like = [*group, "base_size", "base_c"]
     keep = 100 - size_pct
-    shift = lambda x, i: F.call_function("shiftright", x, i)
-    bits = lambda x: F.length(F.bin(x))
-    at = lambda level, block: F.named_struct(F.lit("level"), level.cast("int"), F.lit("block"), block.cast("long"))
-    price = F.col("price_c").cast("long")
     stock = rows.filter("in_stock")
-    tree = stock.select(*group, "size", "price_c", "gtin", F.inline(F.transform(F.sequence(F.lit(0), bits(price) - 1), lambda i: at(i, shift(price, i)))))
-    tree = tree.groupBy(*group, "size", "level", "block").agg(F.min(rank).alias("x"), F.count("*").alias("n"))
-
-    wanted = rows.filter(~F.col("in_stock")).select("chain", "gtin", key, "department", F.col("size").alias("base_size"), F.col("price_c").cast("long").alias("base_c"))
-    like = [*group, "base_size", "base_c"]
-    sizes = stock.groupBy(*group, "size").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list(F.struct("size", "n")).alias("sizes"))
-    asked = wanted.select(*like).distinct().join(sizes, group)
-    fits = F.filter("sizes", lambda s: ~((s["size"] * 100 < F.col("base_size") * keep) | (F.col("base_size") * 100 < s["size"] * keep)))
-    asked = asked.withColumn("fits", fits).withColumns({"low": F.ceil(F.col("base_c") / F.lit(price_times).cast("decimal(9,0)")).cast("long"), "past": F.col("base_c") * price_times + 1})
+    wanted = _wishes(rows, key, wanted)
+    tree = _nodes(stock, *group).groupBy(*group, "size", "level", "block").agg(F.min(rank).alias("x"), F.count("*").alias("n"))
+    asked = _asked(wanted, stock, group, like, lambda size: ~((size * 100 < F.col("base_size") * keep) | (F.col("base_size") * 100 < size * keep)), price_times)
     total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     facts = asked.select(*like, total(F.col("sizes")).alias("n_same"), total(F.col("fits")).alias("n_sized"))
-
-    # Below the level at which the ends' blocks are brothers: right of the lower end's where it is a left child, left of the upper end's where it is a right one.
-    low, past = F.col("low"), F.col("past")
-    top = bits(low.bitwiseXOR(past)) - 1
-    levels = F.when(top > 0, F.sequence(F.lit(0), top - 1)).otherwise(F.array().cast("array<int>"))
-    right = F.transform(F.filter(levels, lambda i: shift(low, i) % 2 == 0), lambda i: at(i, shift(low, i) + 1))
-    left = F.transform(F.filter(levels, lambda i: shift(past, i) % 2 == 1), lambda i: at(i, shift(past, i) - 1))
-    blocks = F.concat(F.array(at(F.lit(0), low)), right, left)
-    probes = asked.select(*like, F.explode(F.transform("fits", lambda s: s["size"])).alias("size"), blocks.alias("blocks"))
-    probes = probes.select(*like, "size", F.inline("blocks"))
-    found = probes.join(tree, [*group, "size", "level", "block"]).groupBy(*like).agg(F.min("x").alias("best"), F.sum("n").alias("n_ok"))
+    found = _probes(asked, like).join(tree, [*group, "size", "level", "block"]).groupBy(*like).agg(F.min("x").alias("best"), F.sum("n").alias("n_ok"))
 
     everyone = stock.groupBy("chain", key).agg(F.count("*").alias("n_all"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -78,6 +98,36 @@ def reach(rows: DataFrame, key: str, size_pct: int = 25, price_times: int = 3, r
     return out.select("chain", "gtin", "department", "best", *map(count, ("n_all", "n_same", "n_sized", "n_ok")))
 
 
+def shortlist(
+    rows: DataFrame, key: str, most: int = 5, size_pct: int = 25, size_times: int = 3, price_times: int = 3, unmeasured: Column | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
+    """rows as stocked() -> chain, gtin, place (from 1), item, price_c, per_unit (thousandths), caveat: of each offer out of stock (or each of
+    ``wanted``, see reach()) the ``most`` offers of its ``key`` that cost least for what the pack holds.
+
+    Let in are those of its department at a third to three times its price (``price_times``), of sizes up to ``size_times`` as large or
+    small; sizes that differ by over ``size_pct`` of the larger carry the caveat ``other size``, others none. Offers without a measure
+    (``unmeasured``, an expression over theirs) come last, then the smaller code of equal ones. Without any, no row.
+
+    The blocks of prices of reach() hold their ``most`` least instead of one: ranks up to a limit, which Spark applies before the
+    shuffle too, so that a block is that many rows at most, in and out, however large the class is.
+    """
+    group = ["chain", key, "department"]
+    like = [*group, "base_size", "base_c"]
+    rank = ["unmeasured", "per_unit", "gtin"]
+    first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*rank))).filter(F.col("place") <= most)
+    stock = rows.filter("in_stock")
+    wanted = _wishes(rows, key, wanted)
+    measured = stock.withColumns({"unmeasured": F.lit(False) if unmeasured is None else unmeasured, "per_unit": F.expr("price_c * 1000 div nullif(size, 0)")})
+    node = [*group, "size", "level", "block"]
+    tree = first(_nodes(measured, *group, "unmeasured", "per_unit"), node).drop("place")
+    base = F.col("base_size")
+    asked = _asked(wanted, stock, group, like, lambda size: (size <= base * size_times) & (base <= size * size_times), price_times)
+    found = first(_probes(asked, like).join(tree, node), like).withColumnRenamed("gtin", "item")
+    keep = 100 - size_pct
+    other = (F.col("size") * 100 < base * keep) | (base * 100 < F.col("size") * keep)
+    return wanted.join(found, like).select("chain", "gtin", "place", "item", "price_c", "per_unit", F.when(other, "other size").alias("caveat"))
+
+
 def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
     """The first rule that refuses a pair, else ``ok``. A size may differ by size_pct of the larger, a price by price_times either way."""
     size, base, price, base_c = F.col("size"), F.col("base_size"), F.col("price_c"), F.col("base_c")

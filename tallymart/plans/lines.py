@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import STOCKED, first_reason, stocked
 from ..operators.pricing import COMPARED, PRICED, comparison, line_prices, priced_lines, rules_from_percent
+from ..operators.swaps import reach, shortlist
 from ..registry import query
 from ..sources.market import CART_LINES, OFFERS, PRODUCTS, cart_lines, offers, products, table
 from .baskets import INDEX, basket_cells, basket_index
 
-CELLS = f"""{STOCKED}, {CART_LINES}, alt AS (SELECT chain, concept, min(price_c) AS alt_c FROM stocked WHERE in_stock GROUP BY ALL), fam AS (SELECT chain, family, min(price_c) AS fam_c FROM stocked WHERE in_stock GROUP BY ALL),
-cells AS (SELECT l.cart, l.line, l.gtin, l.qty, f.chain, o.price_c, o.in_stock, o.pct, a.alt_c, f.fam_c FROM cart_lines l JOIN products p USING (gtin) JOIN fam f ON f.family = p.family LEFT JOIN alt a ON a.chain = f.chain AND a.concept = p.name
-  LEFT JOIN offers o ON o.chain = f.chain AND o.gtin = l.gtin)"""
+LETS_IN = "s.in_stock AND s.department = g.department AND NOT (s.size * 4 < g.size * 3 OR s.size * 3 > g.size * 4) AND s.price_c <= 3 * g.base_c AND s.price_c * 3 >= g.base_c"
+SHELF = f"""{STOCKED}, shelf AS (SELECT p.gtin, p.name AS concept, p.family, p.department, p.size, f.chain, o.price_c, o.in_stock, o.pct, CASE WHEN o.in_stock THEN o.price_c ELSE p.base_c END AS base_c
+  FROM products p JOIN (SELECT DISTINCT chain, family FROM stocked WHERE in_stock) f USING (family) LEFT JOIN offers o ON o.chain = f.chain AND o.gtin = p.gtin)"""
+CELLS = f"""{SHELF}, {CART_LINES}, alt AS (SELECT g.chain, g.gtin, min(s.price_c) AS alt_c FROM shelf g JOIN stocked s ON s.chain = g.chain AND s.concept = g.concept AND {LETS_IN} GROUP BY ALL),
+fam AS (SELECT g.chain, g.gtin, min(s.price_c) AS fam_c FROM shelf g JOIN stocked s ON s.chain = g.chain AND s.family = g.family AND {LETS_IN} GROUP BY ALL),
+cells AS (SELECT l.cart, l.line, l.gtin, l.qty, g.chain, g.price_c, g.in_stock, g.pct, a.alt_c, f.fam_c FROM cart_lines l JOIN shelf g ON g.gtin = l.gtin LEFT JOIN alt a ON a.chain = g.chain AND a.gtin = g.gtin LEFT JOIN fam f ON f.chain = g.chain AND f.gtin = g.gtin)"""
+
+
+def shelf(spark, sf_dir: str) -> DataFrame:
+    """chain, gtin, concept, family, department, size, price_c, in_stock, pct, base_c: each product at each chain that has its family in stock,
+    and the price that stand-ins are judged by: the chain's own where it is in stock, else the catalogue's."""
+    rows, items = stocked(spark, sf_dir), products(spark, sf_dir).select("gtin", F.col("name").alias("concept"), "family", "department", "size", F.col("base_c").alias("listed_c"))
+    out = items.join(rows.filter("in_stock").select("chain", "family").distinct(), "family").join(rows.select("chain", "gtin", "price_c", "in_stock", "pct"), ["chain", "gtin"], "left")
+    return out.withColumn("base_c", F.when(F.col("in_stock"), F.col("price_c")).otherwise(F.col("listed_c"))).drop("listed_c")
 
 
 def line_cells(spark, sf_dir: str) -> DataFrame:
-    """cart, line, gtin, qty, chain, price_c, in_stock, alt_c (cheapest of the class), fam_c (of the family): one row per line and chain.
+    """cart, line, gtin, qty, chain, price_c, in_stock, pct, alt_c (the cheapest of the class that verdict() lets in, itself included), fam_c (of the
+    family): one row per line and chain; null where none is let in.
 
-    What a chain has for a product is worked out per product, then met by the lines: the lines are shuffled once.
+    What a chain has for a product is worked out per product, by reach() without pairs, then met by the lines: the lines are shuffled once.
     """
-    rows, items = stocked(spark, sf_dir), products(spark, sf_dir).select("gtin", F.col("name").alias("concept"), "family")
-    least = lambda key, name: rows.filter("in_stock").groupBy("chain", key).agg(F.min("price_c").alias(name))
-    classes = items.select("concept", "family").distinct()
-    per_class = classes.join(least("family", "fam_c"), "family").join(least("concept", "alt_c"), ["chain", "concept"], "left").drop("family")
-    per_item = items.drop("family").join(per_class, "concept").join(rows.select("chain", "gtin", "price_c", "in_stock", "pct"), ["chain", "gtin"], "left").drop("concept")
-    return cart_lines(spark, sf_dir).join(per_item, "gtin")
+    rows, per_item = stocked(spark, sf_dir), shelf(spark, sf_dir)
+    wanted = per_item.drop("price_c").withColumnRenamed("base_c", "price_c")
+    best = lambda key, name: reach(rows, key, wanted=wanted).select("chain", "gtin", F.col("best.price_c").alias(name))
+    found = per_item.select("chain", "gtin", "price_c", "in_stock", "pct").join(best("concept", "alt_c"), ["chain", "gtin"]).join(best("family", "fam_c"), ["chain", "gtin"])
+    return cart_lines(spark, sf_dir).join(found, "gtin")
 
 
 @query(
@@ -79,15 +91,35 @@ def b08_cheaper_offer(spark, sf_dir):
 
 @query(
     "b09_missing_alternatives",
-    f"WITH {CELLS} SELECT chain, CASE WHEN alt_c IS NOT NULL THEN 'class' ELSE 'family' END AS tier, count(*) AS n, sum(qty * coalesce(alt_c, fam_c))::BIGINT AS cost_c FROM cells WHERE in_stock IS NOT TRUE GROUP BY ALL",
+    f"WITH {CELLS} SELECT chain, CASE WHEN alt_c IS NOT NULL THEN 'class' WHEN fam_c IS NOT NULL THEN 'family' ELSE 'none' END AS tier, count(*) AS n, sum(qty * coalesce(alt_c, fam_c))::BIGINT AS cost_c FROM cells WHERE in_stock IS NOT TRUE GROUP BY ALL",
 )
 def b09_missing_alternatives(spark, sf_dir):
-    """The single fallback of lines not sold: the cheapest of the class, else of the family."""
+    """The single fallback of lines not sold: the cheapest of the class that is let in, else of the family, else none (no cost)."""
     x = line_cells(spark, sf_dir).filter("in_stock IS NOT TRUE")
-    tier = F.when(F.col("alt_c").isNotNull(), "class").otherwise("family")
+    tier = F.when(F.col("alt_c").isNotNull(), "class").when(F.col("fam_c").isNotNull(), "family").otherwise("none")
     return x.groupBy("chain", tier.alias("tier")).agg(F.count("*").alias("n"), F.sum(F.col("qty") * F.coalesce("alt_c", "fam_c")).alias("cost_c"))
 
 
+@query(
+    "b09_replacements",
+    f"""WITH {SHELF}, gone AS (SELECT * FROM shelf WHERE in_stock IS NOT TRUE),
+near AS (SELECT g.chain, g.gtin, s.gtin AS item, s.price_c, s.price_c * 1000 // s.size AS per_unit, CASE WHEN s.size * 4 < g.size * 3 OR s.size * 3 > g.size * 4 THEN 'other size' END AS caveat,
+  row_number() OVER (PARTITION BY g.chain, g.gtin ORDER BY s.size % 9 = 0, s.price_c * 1000 // s.size, s.gtin) AS place
+  FROM gone g JOIN stocked s ON s.chain = g.chain AND s.concept = g.concept AND s.in_stock AND s.department = g.department AND s.size <= 3 * g.size AND g.size <= 3 * s.size AND s.price_c <= 3 * g.base_c AND s.price_c * 3 >= g.base_c),
+far AS (SELECT g.chain, g.gtin, min((s.price_c, s.gtin)) AS x FROM gone g JOIN stocked s ON s.chain = g.chain AND s.family = g.family AND {LETS_IN} GROUP BY ALL)
+SELECT chain, gtin, place::INT AS place, item, price_c, caveat FROM near WHERE place <= 5
+UNION ALL SELECT chain, gtin, 0, x[2], x[1], 'other family' FROM far f WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.chain = f.chain AND n.gtin = f.gtin)""",
+)
+def b09_replacements(spark, sf_dir):
+    """What a chain offers for each product that it doesn't have: five of the class at most, cheapest for what the pack holds first, each
+    with one caveat or none; where the class has none, one of the family (place 0), told as such. Products without either have no row."""
+    rows = stocked(spark, sf_dir)
+    gone = shelf(spark, sf_dir).filter("in_stock IS NOT TRUE").drop("price_c").withColumnRenamed("base_c", "price_c")
+    near = shortlist(rows, "concept", unmeasured=F.col("size") % 9 == 0, wanted=gone).select("chain", "gtin", "place", "item", "price_c", "caveat")
+    far = reach(rows, "family", wanted=gone).filter("best IS NOT NULL").join(near.select("chain", "gtin").distinct(), ["chain", "gtin"], "left_anti")
+    return near.unionByName(far.select("chain", "gtin", F.lit(0).alias("place"), "best.item", "best.price_c", F.lit("other family").alias("caveat")))
+
+
 @query(
     "b12_with_alternatives",
     f"""WITH {CELLS} SELECT chain, sum(CASE WHEN in_stock THEN qty * price_c END)::BIGINT AS subtotal_c, sum(qty * CASE WHEN in_stock THEN price_c ELSE coalesce(alt_c, fam_c) END)::BIGINT AS full_c,
