@@ -203,6 +203,39 @@ def h07_fingerprint(spark, sf_dir):
     return offers(spark, sf_dir).groupBy("chain").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["s"]), ",")).alias("print"))
 
 
+def multiset_print(rows: DataFrame, *keys: str, content: Column) -> DataFrame:
+    """rows -> keys, n, s1, s2: the number of rows and the sums of two 48-bit pieces of their contents' digests.
+
+    The same for any order of rows and any cut into tasks; sums of two tables add up, so that a change costs the rows changed (see
+    after_change()). Equal contents count as often as they occur, null ones as the empty text. Sums are exact (DECIMAL(38)).
+    """
+    digest = F.md5(F.coalesce(content.cast("string"), F.lit("")))
+    piece = lambda start: F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(28,0)"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), piece(1).alias("s1"), piece(13).alias("s2"))
+
+
+def after_change(old: DataFrame, added: DataFrame, removed: DataFrame, *keys: str) -> DataFrame:
+    """Prints of the tables after a change, from those before it and those of the rows added and removed; a key without rows goes."""
+    less = removed.select(*keys, *[(-F.col(c)).alias(c) for c in ("n", "s1", "s2")])
+    out = old.unionByName(added).unionByName(less).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    return out.filter("n <> 0")
+
+
+@query(
+    "h07_mergeable_print",
+    f"""WITH {OFFERS}, d AS (SELECT chain, md5(gtin || ':' || CASE WHEN gtin % 7 = 0 THEN price_c + 1 ELSE price_c END) AS h FROM offers WHERE gtin % 11 <> 0)
+SELECT chain, count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR AS s1, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR AS s2 FROM d GROUP BY chain""",
+)
+def h07_mergeable_print(spark, sf_dir):
+    """Prints of the chains' catalogues after a batch of changes (other prices of codes by seven, codes by eleven gone), from the prints before and the changes alone."""
+    rows = offers(spark, sf_dir).select("chain", "gtin", "price_c")
+    says = F.concat_ws(":", "gtin", "price_c")
+    gone, dearer = F.col("gtin") % 11 == 0, (F.col("gtin") % 7 == 0) & (F.col("gtin") % 11 != 0)
+    added = multiset_print(rows.filter(dearer).withColumn("price_c", F.col("price_c") + 1), "chain", content=says)
+    out = after_change(multiset_print(rows, "chain", content=says), added, multiset_print(rows.filter(gone | dearer), "chain", content=says), "chain")
+    return out.select("chain", "n", F.col("s1").cast("string").alias("s1"), F.col("s2").cast("string").alias("s2"))
+
+
 @query(
     "h03_content_dedupe",
     """WITH t AS (SELECT doc_id, md5(text) AS print, len(text) AS n_chars FROM documents), g AS (SELECT print, min(doc_id) AS first, count(*) AS n FROM t GROUP BY print)

@@ -52,7 +52,13 @@ def cluster_vote(votes: Column, tolerance: int = 5, near_tie: int = 15) -> Colum
     return F.aggregate(sorted_, empty, step, decide)
 
 
-@query("a10_cluster_vote")
+@query(
+    "a10_cluster_vote",
+    f"""WITH RECURSIVE {OFFERS}, v AS (SELECT gtin, price_c AS value, n AS weight, row_number() OVER (PARTITION BY gtin ORDER BY price_c, n) AS i FROM offers),
+walk AS (SELECT gtin, i, value AS first, weight FROM v WHERE i = 1 UNION ALL SELECT v.gtin, v.i, CASE WHEN v.value * 100 <= w.first * 105 THEN w.first ELSE v.value END, v.weight FROM walk w JOIN v ON v.gtin = w.gtin AND v.i = w.i + 1),
+c AS (SELECT gtin, first, sum(weight) AS weight, count(*) AS n FROM walk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY gtin ORDER BY weight DESC, first) AS place FROM c)
+SELECT gtin, sum(n)::INT AS n_votes, CASE WHEN 100 * (max(weight) FILTER (place = 1) - coalesce(max(weight) FILTER (place = 2), 0)) > 15 * sum(weight) THEN max(first) FILTER (place = 1) END AS price_c FROM r GROUP BY gtin""",
+)
 def a10_cluster_vote(spark, sf_dir):
     """The price that most chains (weighed by their rows) agree on within 5 percent; a product has one vote a chain, 14 at most."""
     votes = offers(spark, sf_dir).groupBy("gtin").agg(F.collect_list(F.struct(F.col("price_c").alias("value"), F.col("n").alias("weight"))).alias("votes"))

@@ -68,6 +68,47 @@ def t04_failure_rate(spark, sf_dir):
     return run(out)
 
 
+def last_ten_in_order(key, parts, state: GroupState):
+    """As last_ten(), but in order of event time: reports wait in the state until the watermark has passed them, so that late ones still
+    take their place; those that come after the watermark are dropped by Spark. A chain's state is the reports of the watermark's delay and ten outcomes."""
+    (chain,) = key
+    held, waiting = ([list(x) for x in state.get] if state.exists else [[], []])
+    waiting = [tuple(x) for x in waiting]
+    for rows in parts:
+        waiting.extend(zip(rows["micros"].tolist(), rows["event_id"].tolist(), (~rows["ok"].astype(bool)).astype(int).tolist()))
+    closed = state.getCurrentWatermarkMs()
+    waiting.sort()
+    due = [w for w in waiting if w[0] < closed * 1000]
+    waiting = waiting[len(due) :]
+    out = []
+    for _, event_id, failed in due:
+        held = [*held, failed][-10:]
+        if len(held) >= 3 and 2 * sum(held) >= len(held):
+            out.append((event_id, chain, sum(held), len(held)))
+    state.update((held, waiting))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, closed + 1))
+    yield pd.DataFrame(out, columns=["event_id", "chain", "failed", "n"])
+
+
+def failure_rates(reports: DataFrame, late: str = LATE) -> DataFrame:
+    """A stream of event_id, chain, ts, ok -> event_id, chain, failed, n: the reports at which half of a chain's last ten by event time,
+    three at least, had failed. A report counts once the watermark (``late`` behind the newest) has passed it, however the reports
+    were cut into batches."""
+    s = reports.select("event_id", "chain", "ts", "ok", F.unix_micros("ts").alias("micros")).withWatermark("ts", late)
+    kept = "held array<long>, waiting array<struct<micros:long,event_id:long,failed:long>>"
+    return s.groupBy("chain").applyInPandasWithState(last_ten_in_order, "event_id long, chain int, failed long, n long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+@query(
+    "t04_rate_by_event_time",
+    f"""WITH {REPORTS}, w AS (SELECT *, count(*) FILTER (NOT ok) OVER r AS failed, count(*) OVER r AS n FROM reports WINDOW r AS (PARTITION BY chain ORDER BY ts, event_id ROWS 9 PRECEDING))
+SELECT event_id, chain, failed, n FROM w WHERE n >= 3 AND failed * 2 >= n AND ts < (SELECT date_trunc('milliseconds', closed) FROM mark)""",
+)
+def t04_rate_by_event_time(spark, sf_dir):
+    return run(failure_rates(report_stream(spark, sf_dir)))
+
+
 @query(
     "t05_cool_down",
     f"""WITH {REPORTS}, f AS (SELECT chain, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 15 MINUTE, true)::INT AS new FROM reports WHERE NOT ok WINDOW w AS (PARTITION BY chain ORDER BY ts)),
