@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import table
+from ..sources.scratch import written
 
 TERM = r"[\p{L}\p{N}]+"
 
@@ -81,38 +82,108 @@ def r06_rank_fusion(spark, sf_dir):
     return a.unionByName(b).groupBy("q", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("place"))), 9).alias("score"))
 
 
-def neighbours(vectors: DataFrame, asked: DataFrame, k: int, chunk: int = 2048) -> DataFrame:
-    """vectors(vec_id, embedding, label), asked likewise: the k nearest others of each asked vector by cosine, in double.
+#: Vectors that pivots are taken from, and so the most cells; they and a row of facts a cell pass through the driver.
+PIVOTS = 64
 
-    Both sides are dealt into chunks of about so many vectors; each pair of chunks is one matrix product in a task, of
-    which the best k of each question go on. So a task holds two chunks, and k rows a question and chunk are shuffled.
-    """
 
-    def chunked(rows: DataFrame, name: str) -> DataFrame:
-        parts = max(1, -(-rows.count() // chunk))
-        cell = F.struct("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-        return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("_c")).agg(F.collect_list(cell).alias(name)).drop("_c")
+def neighbours(vectors: DataFrame, asked: DataFrame, k: int, chunk: int = 2048, pivots: int = PIVOTS) -> DataFrame:
+    """vectors(vec_id, embedding, label), asked likewise, all of one length: the k nearest others of each asked vector by cosine, in double,
+    rounded to nine places, the smaller id of equal ones; q, vec_id, label, sim, place.
+
+    Vectors that are null or hold null or non-finite components are neither asked nor found; zero ones have a cosine of 0 with all.
+    The ``pivots`` vectors with the least hashes of their ids are pivots (a bounded sample). Each vector goes to the cell of its nearest pivot, zero ones
+    to one of their own; a cell knows its least and greatest angle. The angle to a cell's members is at least that to its pivot less
+    the greatest, and at least the least less that to its pivot. In the first round a question reads the cells that can be nearest until
+    they hold over k vectors, in the second all others that can hold one as near as its k-th then; so the result is that of all pairs.
+    Cells are rows of ``chunk`` vectors at most, whatever their size: a task holds two chunks, and no vector is shuffled twice.
+    """
+    sound = lambda df: df.filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))").select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v")
+    )
+    vectors, asked = sound(vectors), sound(asked)
 
-    def unit(cells):
-        v = np.stack([c["v"] for c in cells])
+    def unit(column):
+        v = np.stack(column.to_numpy())
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return np.array([c["vec_id"] for c in cells]), np.array([c["label"] for c in cells]), v / np.where(norm == 0, 1, norm)
+        return v / np.where(norm == 0, 1, norm), norm[:, 0] == 0
+
+    some = vectors.filter("exists(v, x -> x <> 0)").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").toPandas()  # so many rows at most
+    centre = unit(some["v"])[0] if len(some) else None
+    zeros = len(some)  # the cell of zero vectors
+
+    def angles(u):
+        return np.arccos(np.clip(u @ centre.T, -1, 1))
+
+    def deal(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            u, zero = unit(frame["v"])
+            cell, angle = np.full(len(u), zeros), np.zeros(len(u))
+            if centre is not None:
+                turned = angles(u)
+                near = turned.argmin(axis=1)
+                cell, angle = np.where(zero, zeros, near), np.where(zero, 0, turned[np.arange(len(u)), near])
+            for c in np.unique(cell):
+                for at in np.array_split(np.flatnonzero(cell == c), -(-int((cell == c).sum()) // chunk)):
+                    yield pd.DataFrame({"cell": [c], "least": [angle[at].min()], "most": [angle[at].max()], "ids": [frame["vec_id"].to_numpy()[at]], "labels": [list(frame["label"].iloc[at])], "v": [u[at].ravel()]})
+
+    cells = written(vectors.mapInPandas(deal, "cell int, least double, most double, ids array<long>, labels array<int>, v array<double>"))
+    facts = cells.groupBy("cell").agg(F.sum(F.size("ids")).alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("cell").toPandas()  # a row a cell
+
+    def bounds(u, zero):
+        """The greatest cosine that each question can have with a member of each cell, cells in order of ``facts``."""
+        out = np.zeros((len(u), len(facts)))
+        mine = facts["cell"].to_numpy() < zeros
+        if mine.any():
+            turned = angles(u)[:, facts["cell"].to_numpy()[mine]]
+            gap = np.maximum(0, np.maximum(turned - facts["most"].to_numpy()[mine], facts["least"].to_numpy()[mine] - turned))
+            out[:, mine] = np.cos(gap)
+        out[zero] = 0
+        return out
+
+    def plan(second):
+        def read(frames):
+            for frame in frames:
+                if not len(frame) or not len(facts):
+                    continue
+                u, zero = unit(frame["v"])
+                bound = bounds(u, zero)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                held = np.take_along_axis(np.broadcast_to(facts["n"].to_numpy(), bound.shape), order, axis=1).cumsum(axis=1)
+                first = np.zeros(bound.shape, bool)
+                np.put_along_axis(first, order, np.concatenate([np.ones((len(u), 1), bool), held[:, :-1] <= k], axis=1), axis=1)
+                least = frame["least"].to_numpy() if second else np.full(len(u), -2.0)
+                wanted = ~first & (bound >= least[:, None] - 1e-7) if second else first
+                for i, c in enumerate(facts["cell"]):
+                    rows = np.flatnonzero(wanted[:, i])
+                    for at in np.array_split(rows, -(-len(rows) // chunk)) if len(rows) else []:
+                        yield pd.DataFrame({"cell": [c], "qs": [frame["vec_id"].to_numpy()[at]], "floor": [least[at]], "qv": [u[at].ravel()]})
+
+        return read
 
     def best(frames):
         for frame in frames:
-            for left, right in zip(frame["qs"], frame["vs"]):
-                (q, _, qv), (v, label, vv) = unit(left), unit(right)
-                sim = np.round(qv @ vv.T, 9)
-                sim[q[:, None] == v[None, :]] = -2
-                for i, row in enumerate(sim):
-                    order = np.lexsort((v, -row))[:k]
-                    order = order[row[order] > -2]
-                    yield pd.DataFrame({"q": q[i], "vec_id": v[order], "label": label[order], "sim": row[order]})
-
-    pairs = chunked(asked, "qs").crossJoin(chunked(vectors, "vs"))
-    scored = pairs.mapInPandas(best, "q long, vec_id long, label int, sim double")
+            for row in frame.itertuples():
+                q, v, labels = np.asarray(row.qs), np.asarray(row.ids), np.asarray(row.labels, dtype=object)
+                sim = np.round(np.asarray(row.qv).reshape(len(q), -1) @ np.asarray(row.v).reshape(len(v), -1).T, 9)
+                sim[q[:, None] == v[None, :]] = -3
+                for i, near in enumerate(sim):
+                    order = np.flatnonzero(near >= max(row.floor[i] - 1e-9, -2))
+                    order = order[np.lexsort((v[order], -near[order]))[:k]]
+                    if len(order):
+                        yield pd.DataFrame({"q": q[i], "vec_id": v[order], "label": pd.array(labels[order], dtype="Int32"), "sim": near[order]})
+
+    def found(questions, second):
+        asks = questions.mapInPandas(plan(second), "cell int, qs array<long>, floor array<double>, qv array<double>")
+        return asks.join(cells.drop("least", "most"), "cell").mapInPandas(best, "q long, vec_id long, label int, sim double")
+
     w = Window.partitionBy("q").orderBy(F.col("sim").desc(), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    ranked = lambda df: df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    near = written(ranked(found(asked, False)))
+    kth = near.filter(F.col("place") == k).select(F.col("q").alias("vec_id"), F.col("sim").alias("least"))
+    again = asked.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    return ranked(near.drop("place").unionByName(found(again, True)))
 
 
 NEAR = """u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
