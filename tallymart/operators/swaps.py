@@ -18,14 +18,15 @@ pairs AS (SELECT w.chain, w.gtin, w.concept, w.price_c AS base_c, w.size AS base
 judged AS (SELECT *, CASE WHEN department <> base_department THEN 'department' WHEN size * 4 < base_size * 3 OR size * 3 > base_size * 4 THEN 'size' WHEN price_c > 3 * base_c OR price_c * 3 < base_c THEN 'price' ELSE 'ok' END AS reason FROM pairs)"""
 
 
-def swap_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """rows as stocked() -> each offer out of stock with all of its ``key`` (class or family) that its chain has in stock, judged or not.
+def swap_pairs(rows: DataFrame, key: str, n: int | None = 5) -> DataFrame:
+    """rows as stocked() -> each offer out of stock with the n cheapest of its ``key`` (class or family) that its chain has in stock, judged or not.
 
-    Only for queries whose result is these pairs. Where a result is the best or the number of admissible pairs, reach() has it
-    without making them.
+    With n None all of them: only for queries whose result is these pairs. Where a result is the best, the best few or the number of
+    admissible pairs, reach(), shortlist() and signatures.verdict_counts() have it without making them.
     """
     here = Window.partitionBy("chain", key).orderBy("price_c", "gtin")
     c = rows.filter("in_stock").withColumn("nth", F.row_number().over(here))
+    c = c if n is None else c.filter(F.col("nth") <= n)
     c = c.select("chain", key, "nth", F.col("gtin").alias("item"), F.col("concept").alias("item_concept"), "size", "department", "brand", "price_c")
     wanted = rows.filter(~F.col("in_stock")).select(
         "chain", "gtin", *({key, "concept"}), F.col("price_c").alias("base_c"), F.col("size").alias("base_size"), F.col("department").alias("base_department"), F.col("brand").alias("base_brand")
@@ -140,7 +141,7 @@ def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
 
 @query("c01_verdicts", f"WITH {SWAPS} SELECT chain, gtin, item, reason FROM judged")
 def c01_verdicts(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", verdict().alias("reason"))
+    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", verdict().alias("reason"))
 
 
 @query(
@@ -150,7 +151,7 @@ def c01_verdicts(spark, sf_dir):
 )
 def c02_caveats(spark, sf_dir):
     """For lines that would stay empty, refused offers are let in with one caveat, never two."""
-    x = swap_pairs(stocked(spark, sf_dir), "concept").withColumn("reason", verdict())
+    x = swap_pairs(stocked(spark, sf_dir), "concept", None).withColumn("reason", verdict())
     near = (F.col("size") <= 3 * F.col("base_size")) & (F.col("base_size") <= 3 * F.col("size"))
     caveat = F.when((F.col("reason") == "size") & near, "other size").when((F.col("reason") == "department") & (F.col("brand") == F.col("base_brand")), "other department")
     return x.select("chain", "gtin", "item", caveat.alias("caveat")).filter("caveat IS NOT NULL")
@@ -196,7 +197,7 @@ def j19_family_fallback(spark, sf_dir):
 
 @query("j18_class_candidates", f"WITH {SWAPS} SELECT chain, gtin, item, nth AS place FROM pairs")
 def j18_class_candidates(spark, sf_dir):
-    return swap_pairs(stocked(spark, sf_dir), "concept").select("chain", "gtin", "item", F.col("nth").alias("place"))
+    return swap_pairs(stocked(spark, sf_dir), "concept", None).select("chain", "gtin", "item", F.col("nth").alias("place"))
 
 
 @query(
