@@ -95,7 +95,7 @@ def neighbours(vectors: DataFrame, asked: DataFrame, k: int, chunk: int = 2048,
     to one of their own; a cell knows its least and greatest angle. The angle to a cell's members is at least that to its pivot less
     the greatest, and at least the least less that to its pivot. In the first round a question reads the cells that can be nearest until
     they hold over k vectors, in the second all others that can hold one as near as its k-th then; so the result is that of all pairs.
-    Cells are rows of ``chunk`` vectors at most, whatever their size: a task holds two chunks, and no vector is shuffled twice.
+    Cells are rows of ``chunk`` vectors at most, whatever their size: a task holds pairs of chunks, and the cells are shuffled once a round.
     """
     sound = lambda df: df.filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))").select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v")
