@@ -34,6 +34,12 @@ def char_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def set_score(both: Column, either: Column, fewer: Column, chars: Column, pa: Column, pb: Column) -> Column:
+    """Half Jaccard, a quarter containment, a quarter characters; 0.6 of it where percentages conflict."""
+    score = 0.5 * both / either + 0.25 * both / fewer + 0.25 * chars
+    return F.when(pa.isNotNull() & pb.isNotNull() & (pa != pb), 0.6 * score).otherwise(score)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Half Jaccard, a quarter containment, a quarter characters; 0.6 of it where percentages conflict; 0 to 1.
 
@@ -43,9 +49,7 @@ def similarity(a: Column, b: Column) -> Column:
     ta, tb = tokens(ka), tokens(kb)
     both, either = F.size(F.array_intersect(ta, tb)), F.size(F.array_union(ta, tb))
     fewer = F.least(F.size(ta), F.size(tb))
-    pa, pb = percentage(a), percentage(b)
-    score = 0.5 * both / either + 0.25 * both / fewer + 0.25 * char_score(ka, kb)
-    score = F.when(pa.isNotNull() & pb.isNotNull() & (pa != pb), 0.6 * score).otherwise(score)
+    score = set_score(both, either, fewer, char_score(ka, kb), percentage(a), percentage(b))
     score = F.when(fewer == 0, 0.5 * char_score(ka, kb)).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
     return F.when(a.isNotNull() & b.isNotNull(), score)
 
