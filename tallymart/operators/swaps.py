@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import products
+from ..sources.scratch import written
 from .joins import STOCKED, first_reason, stocked
 
 SWAPS = f"""{STOCKED}, cand AS (SELECT *, row_number() OVER (PARTITION BY chain, concept ORDER BY price_c, gtin) AS nth FROM stocked WHERE in_stock),
@@ -129,6 +130,43 @@ def shortlist(
     return wanted.join(found, like).select("chain", "gtin", "place", "item", "price_c", "per_unit", F.when(other, "other size").alias("caveat"))
 
 
+def nearest(rows: DataFrame, key: str, most: int = 5, size_pct: int = 25, size_times: int = 3, price_times: int = 3, own: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """rows as stocked() -> chain, gtin, place (from 1), item, size, price_c, own, caveat: of each offer out of stock (or each of ``wanted``,
+    see reach()) the ``most`` best stand-ins of its ``key``: without a caveat first, then the nearest size, the lower price, the chain's
+    own label (``own``, an expression over an offer; null counts as another's), the smaller code.
+
+    Let in are those of its department at a third to three times its price and up to ``size_times`` as large or small. Sizes that differ
+    by up to ``size_pct`` of the larger are alike; others carry the caveat ``other size`` and rank by larger over smaller, so that half
+    and double are as near. Null sizes and prices match nothing.
+
+    No pair is made. A first round counts, in the blocks of prices of reach(), what each size that fits has in the price range; sizes
+    are then taken from the nearest on until ``most`` offers are nearer than the next. Only those sizes are asked for offers in the
+    second round, where a block holds its ``most`` best.
+    """
+    group = ["chain", key, "department"]
+    like = [*group, "base_size", "base_c"]
+    node = [*group, "size", "level", "block"]
+    rank = ["price_c", "other_label", "gtin"]
+    first = lambda df, by, order: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most)
+    base, size, keep = F.col("base_size"), F.col("size"), 100 - size_pct
+    other = (size * 100 < base * keep) | (base * 100 < size * keep)
+    times = F.when(other, F.greatest(size, base) / F.least(size, base)).otherwise(0.0)
+    stock = rows.filter("in_stock").withColumn("other_label", ~F.coalesce(F.lit(False) if own is None else own, F.lit(False)))
+    wanted = _wishes(rows, key, wanted)
+    nodes = _nodes(stock, *group, "other_label")
+    asked = _asked(wanted, stock, group, like, lambda s: (s <= base * size_times) & (base <= s * size_times), price_times)
+    probes = written(_probes(asked, like))
+    counts = nodes.groupBy(*node).agg(F.count("*").alias("n"))
+    held = probes.join(counts, node).groupBy(*like, "size").agg(F.sum("n").alias("n")).withColumn("times", times)
+    nearer = Window.partitionBy(*like).orderBy("times").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = Window.partitionBy(*like, "times")
+    taken = held.withColumn("before", F.sum("n").over(nearer) - F.sum("n").over(tied)).filter(F.col("before") < most).select(*like, "size", "times")
+    lists = first(nodes, node, rank).drop("place")
+    found = probes.join(taken, [*like, "size"]).join(lists, node)
+    found = first(found, like, ["times", *rank]).withColumnRenamed("gtin", "item")
+    return wanted.join(found, like).select("chain", "gtin", "place", "item", "size", "price_c", (~F.col("other_label")).alias("own"), F.when(F.col("times") > 0, "other size").alias("caveat"))
+
+
 def verdict(size_pct: int = 25, price_times: int = 3) -> Column:
     """The first rule that refuses a pair, else ``ok``. A size may differ by size_pct of the larger, a price by price_times either way."""
     size, base, price, base_c = F.col("size"), F.col("base_size"), F.col("price_c"), F.col("base_c")
@@ -168,6 +206,18 @@ def c04_by_pack_price(spark, sf_dir):
     return reach(stocked(spark, sf_dir), "concept", rank=rank).filter("best IS NOT NULL").select("chain", "gtin", "best.item", "best.per_unit")
 
 
+@query(
+    "c03_nearest_size",
+    f"""WITH {STOCKED}, p AS (SELECT w.chain, w.gtin, c.gtin AS item, c.size, c.price_c, c.brand = 'Brand#' || (w.chain + 1) AS own, c.size * 4 < w.size * 3 OR c.size * 3 > w.size * 4 AS other, greatest(c.size, w.size)::DOUBLE / least(c.size, w.size) AS times
+  FROM stocked w JOIN stocked c ON c.chain = w.chain AND c.family = w.family AND c.department = w.department WHERE NOT w.in_stock AND c.in_stock AND c.size <= 3 * w.size AND w.size <= 3 * c.size AND c.price_c <= 3 * w.price_c AND c.price_c * 3 >= w.price_c)
+SELECT chain, gtin, row_number() OVER (PARTITION BY chain, gtin ORDER BY other, CASE WHEN other THEN times ELSE 0 END, price_c, NOT own, item) AS place, item, size, price_c, own, CASE WHEN other THEN 'other size' END AS caveat FROM p QUALIFY place <= 5""",
+)
+def c03_nearest_size(spark, sf_dir):
+    """The five best stand-ins of the family for each offer out of stock; a chain's own label is here the brand that has its number."""
+    rows = stocked(spark, sf_dir)
+    return nearest(rows.withColumn("_own", F.col("brand") == F.concat(F.lit("Brand#"), F.col("chain") + 1)), "family", own=F.col("_own"))
+
+
 def tiered(rows: DataFrame) -> DataFrame:
     """Each offer out of stock with its best substitute: of its class if one passes, else of its family; tier null without."""
     best = lambda key, tier: reach(rows, key).filter("best IS NOT NULL").select("chain", "gtin", F.struct(F.lit(tier).alias("tier"), "best.price_c", "best.item").alias("x"))
