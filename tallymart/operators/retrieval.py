@@ -18,21 +18,77 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """docs(doc_id, text), questions(q, text) -> q, doc_id, score over the distinct terms of a question.
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """questions(q, text) -> q, term: the distinct terms of each."""
+    return questions.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+
+
+def bm25_parts(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """docs(doc_id, text), asked(q, term) -> term, doc_id, part: what each term of any question adds to a document's score.
 
-    Only postings of question terms are counted and shuffled; lengths and the number of documents come from one more pass.
+    Texts are cut into terms once. Only postings of question terms are counted and shuffled, and a row for each document under the term
+    "", which no text has: the number of documents and their mean length come from these.
     """
-    asked = questions.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    words = docs.select("doc_id", terms(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term"))
-    tf = words.join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(terms(F.col("text"))), F.lit(0))).alias("mean"))
-    rows = asked.join(df, "term").join(tf, "term").join(F.broadcast(stats))
+    wanted = written(asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    words = docs.select("doc_id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("ws"))
+    words = words.select("doc_id", F.size("ws").alias("length"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("term"))
+    counted = written(words.join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")))
+    tf = counted.filter("term <> ''")
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")))
+    stats = counted.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    rows = tf.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.groupBy("q", "doc_id").agg(F.sum(part).alias("score"))
+    return rows.select("term", "doc_id", part.alias("part"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """docs(doc_id, text), questions(q, text) -> q, doc_id, score of all documents that share a term with a question; best_sums() has
+    the best few without scoring all of them."""
+    asked = asked_terms(questions)
+    return asked.join(bm25_parts(docs, asked, k1, b), "term").groupBy("q", "doc_id").agg(F.sum("part").alias("score"))
+
+
+def essential(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """asked(q, term), parts(term, doc_id, part above 0) -> q, term, least, rest, skipped: which terms of a question need not be met.
+
+    A question's rarest terms, up to ten times k postings, give k documents a score of ``least`` or more (0 where fewer than k are found). Of
+    its other terms, the most frequent ones whose greatest parts together, ``rest``, stay below that are skipped: a document that has no others
+    can't be among the best k. A question's own terms are few; what is known of a term is one row.
+    """
+    facts = written(parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("top")))
+    known = written(asked.join(facts, "term"))
+    rare = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    pilot = known.withColumn("seen", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("seen") < 10 * k).select("q", "term")
+    sums = pilot.join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sum").desc()))
+    least = sums.withColumn("place", place).filter(F.col("place") <= k).groupBy("q").agg(F.when(F.count("*") == k, F.min("sum")).otherwise(0.0).alias("least"))
+    often = Window.partitionBy("q").orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = known.join(least, "q").withColumn("up_to", F.sum("top").over(often)).withColumn("skipped", F.col("up_to") < F.col("least") - SLACK)
+    rest = F.coalesce(F.max(F.when(F.col("skipped"), F.col("up_to"))).over(Window.partitionBy("q")), F.lit(0.0))
+    return summed.withColumn("rest", rest).select("q", "term", "least", "rest", "skipped")
+
+
+#: Sums that differ by less may be equal after rounding: bounds leave this much room.
+SLACK = 1e-5
+
+
+def best_sums(asked: DataFrame, parts: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """asked(q, term), parts(term, doc_id, part above 0) -> q, doc_id, score, place: the k documents of each question with the greatest sums of
+    parts over its terms, rounded to ``digits`` places (6 at least), the smaller doc_id of equal ones. The same as summing all of them.
+
+    essential() tells which terms to meet. Documents found by these that can still reach ``least`` then look up the skipped, frequent terms
+    by term and document, so that a frequent term's postings don't meet the questions. A question of frequent terms alone meets them all.
+    """
+    parts = written(parts)
+    facts = written(essential(asked, parts, k))
+    found = facts.filter("NOT skipped").join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    found = written(found.filter(F.col("sum") + F.col("rest") >= F.col("least") - SLACK).select("q", "doc_id", "sum"))
+    looked = found.join(facts.filter("skipped").select("q", "term"), "q").alias("x")
+    more = looked.join(parts.alias("y"), (F.col("x.term") == F.col("y.term")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))).select("x.q", "x.doc_id", F.col("y.part").alias("sum"))
+    scored = found.unionByName(more).groupBy("q", "doc_id").agg(F.round(F.sum("sum"), digits).alias("score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
 
 
 BM25 = r"""docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
@@ -53,9 +109,9 @@ def asked_and_docs(spark, sf_dir):
 )
 def r05_bm25(spark, sf_dir):
     """The ten best documents for each question."""
-    scored = bm25(*asked_and_docs(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter("place <= 10")
+    docs, questions = asked_and_docs(spark, sf_dir)
+    asked = asked_terms(questions)
+    return best_sums(asked, bm25_parts(docs, asked), 10)
 
 
 @query("r04_bm25_statistics", f"WITH {BM25} SELECT term, df, (SELECT n FROM st) AS n FROM df WHERE df >= 2")
@@ -73,13 +129,12 @@ SELECT q, doc_id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM (SELEC
 )
 def r06_rank_fusion(spark, sf_dir):
     """Reciprocal ranks of BM25 and of the number of shared terms, added up."""
-    docs, asked = asked_and_docs(spark, sf_dir)
-    best = lambda x, *order: x.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter("place <= 20").select("q", "doc_id", "place")
-    a = best(bm25(docs, asked).withColumn("score", F.round("score", 6)), F.col("score").desc(), "doc_id")
-    q = asked.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    shared = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(q, "term").groupBy("q", "doc_id").agg(F.count("*").alias("n"))
-    b = best(shared, F.col("n").desc(), "doc_id")
-    return a.unionByName(b).groupBy("q", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("place"))), 9).alias("score"))
+    docs, questions = asked_and_docs(spark, sf_dir)
+    asked = asked_terms(questions)
+    parts = written(bm25_parts(docs, asked))
+    a = best_sums(asked, parts, 20)
+    b = best_sums(asked, parts.groupBy("term", "doc_id").agg(F.lit(1.0).alias("part")), 20)
+    return a.unionByName(b).select("q", "doc_id", "place").groupBy("q", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("place"))), 9).alias("score"))
 
 
 #: Vectors that pivots are taken from, and so the most cells; they and a row of facts a cell pass through the driver.
@@ -273,15 +328,19 @@ SELECT count(*) AS n_questions, count(*) FILTER (best = 1) AS hits_1, count(*) F
 def r16_hits(spark, sf_dir):
     """Of the questions whose text stands in a document, how many find such a one first, or among three.
 
-    A document that holds the text has all of its terms, so the candidates are those with a full count of them: no
-    document is compared with a question that it shares no term with.
+    A document that holds the text has all of its terms but two at most: a word cut at the text's ends may be part of a longer one
+    there. So it has one of the question's three rarest terms, and only documents found by these count how many of the others they have.
     """
     docs, asked = asked_and_docs(spark, sf_dir)
-    q = asked.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    q = asked_terms(asked)
+    has = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    has = written(has.join(q.select("term").distinct(), "term", "left_semi").distinct())
+    df = written(has.groupBy("term").agg(F.count("*").alias("df")))
+    # Terms that no document has are the rarest.
+    ranked = q.join(df, "term", "left").withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "term")))
+    found = ranked.filter("nth <= 3").select("q", "term").join(has, "term").select("q", "doc_id").distinct()
     need = q.groupBy("q").agg(F.count("*").alias("need"))
-    have = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(q, "term").groupBy("q", "doc_id").agg(F.count("*").alias("n"))
-    # A word cut at the text's ends may be part of a longer one there: two terms may lack.
-    maybe = have.join(need, "q").filter("n >= need - 2").select("q", "doc_id")
+    maybe = found.join(q, "q").join(has, ["term", "doc_id"]).groupBy("q", "doc_id").agg(F.count("*").alias("n")).join(need, "q").filter("n >= need - 2").select("q", "doc_id")
     truth = maybe.join(asked.withColumnRenamed("text", "asked"), "q").join(docs, "doc_id").filter(F.contains("text", "asked")).select("q", "doc_id")
     found = truth.join(r05_bm25(spark, sf_dir), ["q", "doc_id"], "left").groupBy("q").agg(F.min("place").alias("best"))
     return found.agg(F.count("*").alias("n_questions"), F.count_if(F.col("best") == 1).alias("hits_1"), F.count_if(F.col("best") <= 3).alias("hits_3"))

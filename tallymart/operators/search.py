@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import PRODUCTS, products, table
-from .retrieval import BM25, NEAR, VOTES, asked_and_docs, bm25, label_votes, nearest
+from .retrieval import BM25, NEAR, VOTES, asked_and_docs, asked_terms, best_sums, bm25_parts, label_votes, nearest
 
 
 def index_tokens(text: Column) -> Column:
@@ -52,11 +52,11 @@ def r07_cosine_to_centre(spark, sf_dir):
 )
 def r08_filtered_retrieval(spark, sf_dir):
     """The five best documents of the sources that a pattern admits; scores use the statistics of all documents."""
-    docs, asked = asked_and_docs(spark, sf_dir)
+    docs, questions = asked_and_docs(spark, sf_dir)
     admitted = table(spark, sf_dir, "documents").filter(F.col("source").rlike("[02468]$")).select("doc_id")
-    scored = bm25(docs, asked).join(admitted, "doc_id", "left_semi").withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("q", "doc_id", "score")
+    asked = asked_terms(questions)
+    parts = bm25_parts(docs, asked).join(admitted, "doc_id", "left_semi")
+    return best_sums(asked, parts, 5).select("q", "doc_id", "score")
 
 
 @query("o03_search_order", f"WITH {PRODUCTS}, s AS (SELECT gtin, name, CASE WHEN name = 'red ring' THEN 3 WHEN starts_with(name, 'red') THEN 2 WHEN contains(name, 'ring') THEN 1 END AS score FROM products) SELECT gtin, name, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, name, gtin LIMIT 30")
