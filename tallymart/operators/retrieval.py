@@ -49,20 +49,24 @@ def bm25(docs: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75
     return asked.join(bm25_parts(docs, asked, k1, b), "term").groupBy("q", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def kth_sums(sums: DataFrame, k: int) -> DataFrame:
+    """sums(q, doc_id, sum) -> q, least: the k-th greatest sum of each question, 0 where it has fewer."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sum").desc()))
+    return sums.withColumn("place", place).filter(F.col("place") <= k).groupBy("q").agg(F.when(F.count("*") == k, F.min("sum")).otherwise(0.0).alias("least"))
+
+
 def essential(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
     """asked(q, term), parts(term, doc_id, part above 0) -> q, term, least, rest, skipped: which terms of a question need not be met.
 
-    A question's rarest terms, up to ten times k postings, give k documents a score of ``least`` or more (0 where fewer than k are found). Of
+    A question's rarest terms, up to a hundred times k postings, give k documents a score of ``least`` or more (0 where fewer than k are found). Of
     its other terms, the most frequent ones whose greatest parts together, ``rest``, stay below that are skipped: a document that has no others
     can't be among the best k. A question's own terms are few; what is known of a term is one row.
     """
     facts = written(parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("top")))
     known = written(asked.join(facts, "term"))
     rare = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    pilot = known.withColumn("seen", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("seen") < 10 * k).select("q", "term")
-    sums = pilot.join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sum").desc()))
-    least = sums.withColumn("place", place).filter(F.col("place") <= k).groupBy("q").agg(F.when(F.count("*") == k, F.min("sum")).otherwise(0.0).alias("least"))
+    pilot = known.withColumn("seen", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("seen") < 100 * k).select("q", "term")
+    least = kth_sums(pilot.join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum")), k)
     often = Window.partitionBy("q").orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = known.join(least, "q").withColumn("up_to", F.sum("top").over(often)).withColumn("skipped", F.col("up_to") < F.col("least") - SLACK)
     rest = F.coalesce(F.max(F.when(F.col("skipped"), F.col("up_to"))).over(Window.partitionBy("q")), F.lit(0.0))
@@ -77,13 +81,14 @@ def best_sums(asked: DataFrame, parts: DataFrame, k: int, digits: int = 6) -> Da
     """asked(q, term), parts(term, doc_id, part above 0) -> q, doc_id, score, place: the k documents of each question with the greatest sums of
     parts over its terms, rounded to ``digits`` places (6 at least), the smaller doc_id of equal ones. The same as summing all of them.
 
-    essential() tells which terms to meet. Documents found by these that can still reach ``least`` then look up the skipped, frequent terms
+    essential() tells which terms to meet. What these alone add up to raises ``least``; documents that can still reach it then look up the skipped, frequent terms
     by term and document, so that a frequent term's postings don't meet the questions. A question of frequent terms alone meets them all.
     """
     parts = written(parts)
     facts = written(essential(asked, parts, k))
-    found = facts.filter("NOT skipped").join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum"), F.first("least").alias("least"), F.first("rest").alias("rest"))
-    found = written(found.filter(F.col("sum") + F.col("rest") >= F.col("least") - SLACK).select("q", "doc_id", "sum"))
+    found = written(facts.filter("NOT skipped").join(parts, "term").groupBy("q", "doc_id").agg(F.sum("part").alias("sum")))
+    bound = kth_sums(found, k).join(facts.groupBy("q").agg(F.first("rest").alias("rest")), "q")
+    found = written(found.join(bound, "q").filter(F.col("sum") + F.col("rest") >= F.col("least") - SLACK).select("q", "doc_id", "sum"))
     looked = found.join(facts.filter("skipped").select("q", "term"), "q").alias("x")
     more = looked.join(parts.alias("y"), (F.col("x.term") == F.col("y.term")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))).select("x.q", "x.doc_id", F.col("y.part").alias("sum"))
     scored = found.unionByName(more).groupBy("q", "doc_id").agg(F.round(F.sum("sum"), digits).alias("score"))
