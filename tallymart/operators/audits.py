@@ -165,12 +165,25 @@ def a62_longest_name(spark, sf_dir):
 SELECT source, name FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.source = a.source AND starts_with(b.name, a.name) AND len(b.name) > len(a.name))""",
 )
 def w12_truncated_names(spark, sf_dir):
-    """Names less those that begin a longer one of the group. In binary order a name's longer forms come right after it, so
-    that the next name tells."""
     name = F.expr("substring(split_part(text, '\n', 1), 1, 12 + CAST(doc_id % 5 AS INT))")
-    n = table(spark, sf_dir, "documents").select("source", name.alias("name")).distinct()
-    after = F.lead("name").over(Window.partitionBy("source", F.substring("name", 1, 4)).orderBy("name"))
-    return n.withColumn("after", after).filter(F.col("after").isNull() | ~F.col("after").startswith(F.col("name"))).select("source", "name")
+    return untruncated(table(spark, sf_dir, "documents").select("source", name.alias("name")))
+
+
+def untruncated(names: DataFrame, head: int = 4) -> DataFrame:
+    """names(source, name) -> the distinct ones less those that begin a longer one of their source; a null source or name is no one's
+    beginning and stays.
+
+    Names of ``head`` characters or more meet those with the same first ones: in binary order a name's longer forms come right after
+    it, so that the next name tells. Shorter ones (the empty one too) are looked up among the short beginnings of all longer names.
+    """
+    n = names.distinct()
+    after = F.lead("name").over(Window.partitionBy("source", F.substring("name", 1, head)).orderBy("name"))
+    begins = F.col("source").isNotNull() & F.col("after").startswith(F.col("name"))
+    long = n.filter(F.length("name") >= head).withColumn("after", after).filter(~F.coalesce(begins, F.lit(False))).select("source", "name")
+    short = n.filter((F.length("name") < head) | F.col("name").isNull())
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.length("name"), F.lit(head)) - 1), lambda i: F.substring("name", F.lit(1), i))
+    starts = n.filter(F.length("name") > 0).select("source", F.explode(starts).alias("name")).distinct()
+    return long.unionByName(short.join(starts, ["source", "name"], "left_anti"))
 
 
 @query(
