@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import group_id, similarity
 from ..registry import query
 from ..sources.market import OFFERS, PRICE_ROWS, PRODUCTS, offers, price_rows, products, table
+from ..sources.scratch import written
+from .ranges import best_in_range
 
 
 @query(
@@ -256,10 +258,17 @@ def substitutes(wanted: DataFrame, sold: DataFrame, most: int = 5) -> DataFrame:
     Compatible: the same concept and chain, another product, size within a quarter, price within three times. Ranked by
     size distance, price, code.
     """
-    s = sold.select("chain", "concept", F.col("gtin").alias("item"), F.col("size").alias("item_size"), "price_c")
-    pairs = wanted.join(s, ["chain", "concept"]).filter("item <> gtin AND item_size * 4 >= size * 3 AND item_size * 3 <= size * 4 AND price_c <= 3 * base_c AND price_c * 3 >= base_c")
-    w = Window.partitionBy("chain", "gtin").orderBy(F.abs(F.col("item_size") - F.col("size")), "price_c", "item")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("chain", "gtin", "item", "price_c", "place")
+    group = ["chain", "concept"]
+    first = lambda df, by, n, *order: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
+    offered = sold.select(*group, "size", "price_c", F.struct("price_c", F.col("gtin").alias("item")).alias("x"), F.lit(1).alias("n"))
+    offered = first(offered, [*group, "size", "price_c"], most + 1, "x")
+    size, base = F.col("size"), F.col("base_c")
+    ends = {"size_from": F.ceil(size * 3 / F.lit(4)), "size_to": F.floor(size * 4 / F.lit(3)), "low": F.ceil(base / F.lit(3)), "past": base * 3 + 1}
+    asks = wanted.select(*group, F.struct("chain", "gtin").alias("id"), size.alias("base_size"), *[v.cast("long").alias(c) for c, v in ends.items()])
+    # One more than wanted, for the product itself may be sold.
+    found = best_in_range(offered, asks, group, most + 1, lambda size, base: abs(size - base)).filter("x.item <> id.gtin")
+    found = first(found, ["id"], most, F.abs(size - F.col("base_size")), "x")
+    return found.select("id.chain", "id.gtin", "x.item", "x.price_c", "place")
 
 
 @query(
@@ -271,6 +280,6 @@ FROM wanted w JOIN sold s ON s.chain = w.chain AND s.concept = w.concept AND s.g
 QUALIFY place <= 5""",
 )
 def c03_substitutes(spark, sf_dir):
-    rows = offers(spark, sf_dir).join(products(spark, sf_dir), "gtin").select("chain", "gtin", F.col("name").alias("concept"), "size", "price_c", "in_stock")
+    rows = written(offers(spark, sf_dir).join(products(spark, sf_dir), "gtin").select("chain", "gtin", F.col("name").alias("concept"), "size", "price_c", "in_stock"))
     wanted = rows.filter(~F.col("in_stock")).select("chain", "gtin", "concept", "size", F.col("price_c").alias("base_c"))
     return substitutes(wanted, rows.filter("in_stock"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +39,7 @@ def _codes(known: np.ndarray, *asked: np.ndarray):
     return len(values), *[np.searchsorted(values, x) for x in (known, *asked)]
 
 
-def _found(stock: pa.Table, asks: pa.Table, most: int, ratio: int | None):
+def _found(stock: pa.Table, asks: pa.Table, most: int, distance: Callable | None):
     """Batches of (ask row, stock row, n): the ``most`` least stock rows of each ask by x (or by how far the size is, then x); n, on
     the first of them, counts all that the ask lets in. Within a cell and size, prices are sorted and the least of any run is read
     from a table of the least of all runs of 1, 2, 4 ... rows."""
@@ -88,10 +90,8 @@ def _found(stock: pa.Table, asks: pa.Table, most: int, ratio: int | None):
                 break
             r = best(i, j)
             far = np.zeros(len(ask))
-            if ratio is not None:
-                base, x = a["base_size"][ask], sizes[i]
-                other = (x * 100 < base * ratio) | (base * 100 < x * ratio)
-                far[other] = np.maximum(x, base)[other] / np.minimum(x, base)[other]
+            if distance is not None and len(ask):
+                far = distance(sizes[i], a["base_size"][ask])
             by = np.lexsort((r, far, ask))
             top = by[np.concatenate(([True], ask[by][1:] != ask[by][:-1]))]
             yield ask[top], order[at[r[top]]], n[ask[top] - lo] if turn == 0 else np.zeros(len(top), np.int64)
@@ -100,12 +100,21 @@ def _found(stock: pa.Table, asks: pa.Table, most: int, ratio: int | None):
             ask, i, j = np.concatenate((ask, ask[top])), np.concatenate((i, right)), np.concatenate((j, left))
 
 
-def best_in_range(stock: DataFrame, asks: DataFrame, group: list[str], most: int = 1, ratio: int | None = None, cell: int = CELL) -> DataFrame:
+def by_ratio(keep: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Sizes are alike where the smaller is at least keep percent of the larger; others are as far as the larger over the smaller."""
+
+    def far(size: np.ndarray, base: np.ndarray) -> np.ndarray:
+        other = (size * 100 < base * keep) | (base * 100 < size * keep)
+        return np.where(other, np.maximum(size, base) / np.where(other, np.minimum(size, base), 1), 0.0)
+
+    return far
+
+
+def best_in_range(stock: DataFrame, asks: DataFrame, group: list[str], most: int = 1, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, cell: int = CELL) -> DataFrame:
     """stock(group, size, price_c, n, x: a struct to rank by), asks(group, id: a struct, base_size, size_from, size_to, low, past) -> id,
     base_size, n_ok, size, price_c, x: the ``most`` least offers of the ask's group with size_from <= size <= size_to and low <= price_c < past.
 
-    With ``ratio`` sizes alike (the smaller at least ratio percent of the larger) come first, then the nearer by larger over smaller.
-    n_ok are numbers of all offers let in (n summed), to be summed over an ask's rows; an ask without any has no row. Numbers are
+    With ``distance`` (arrays of sizes and of base sizes -> how far apart) nearer sizes come before x; see by_ratio(). n_ok are numbers of all offers let in (n summed), to be summed over an ask's rows; an ask without any has no row. Numbers are
     whole; rows with a null among them are no one's.
 
     Each offer is shuffled once to its cell, a range of prices of its group, each ask to the cells that its prices lie in (one, unless
@@ -127,7 +136,7 @@ def best_in_range(stock: DataFrame, asks: DataFrame, group: list[str], most: int
 
     def run(offers: pa.Table, asked: pa.Table) -> pa.Table:
         offers, asked = offers.combine_chunks(), asked.combine_chunks()
-        parts = list(_found(offers, asked, most, ratio)) if len(offers) and len(asked) else []
+        parts = list(_found(offers, asked, most, distance)) if len(offers) and len(asked) else []
         ask, row, n = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
         mine, theirs = asked.select(["id", "base_size"]).take(pa.array(ask)), offers.select(["size", "price_c", "x"]).take(pa.array(row))
         return pa.table({"id": mine["id"], "base_size": mine["base_size"], "n_ok": pa.array(n, pa.int64()), **{c: theirs[c] for c in theirs.column_names}})

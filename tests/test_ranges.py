@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymart.operators import ranges
+from tallymart.operators import quality, ranges
 
 
 @pytest.mark.parametrize("cell, most, ratio", [(7, 1, None), (7, 4, 75), (100_000, 1, None), (100_000, 4, 75)])
@@ -25,10 +26,26 @@ def test_best_in_range_against_all_pairs(spark, cell, most, ratio):
         want |= {(i, r[4][1]) for r in order[:most]}
         if ok:
             counts[i] = sum(r[3] for r in ok)
-    got = ranges.best_in_range(s, q, ["k"], most, ratio, cell).collect()
+    got = ranges.best_in_range(s, q, ["k"], most, ratio and ranges.by_ratio(ratio), cell).collect()
     sums = {}
     for r in got:
         sums[r.id.i] = sums.get(r.id.i, 0) + r.n_ok
     assert sums == counts and want <= {(r.id.i, r.x["item"]) for r in got}
     assert len(got) == len(want) or cell < 100_000
-    assert ranges.best_in_range(s.limit(0), q, ["k"], most, ratio, cell).count() == 0 and ranges.best_in_range(s, q.filter(F.lit(False)), ["k"], most, ratio, cell).count() == 0
+    assert ranges.best_in_range(s.limit(0), q, ["k"], most, ratio and ranges.by_ratio(ratio), cell).count() == 0 and ranges.best_in_range(s, q.filter(F.lit(False)), ["k"], most, ratio and ranges.by_ratio(ratio), cell).count() == 0
+
+
+def test_substitutes_meet_no_pairs(spark):
+    """One class of 40,000 offers, a wish in stock under its own code, an odd number of nearest sizes: the five nearest without 400 million pairs."""
+    sold = spark.range(20000).selectExpr("1 AS chain", "id AS gtin", "'a' AS concept", "int(id % 40) + 1 AS size", "100 + id * 37 % 5000 AS price_c")
+    wanted = spark.range(20000).selectExpr("1 AS chain", "id + if(id < 9, 0, 50000) AS gtin", "'a' AS concept", "int(id % 50) + 1 AS size", "100 + id * 31 % 5000 AS base_c")
+    got = {}
+    for r in quality.substitutes(wanted, sold).collect():
+        got.setdefault(r.gtin, []).append((r.place, r["item"], r.price_c))
+    g = np.arange(20000)
+    size, price = g % 40 + 1, 100 + g * 37 % 5000
+    for i in (0, 1, 5, 8, 9, 77, 4321, 19999):
+        code, s, p = i + (50000 if i >= 9 else 0), i % 50 + 1, 100 + i * 31 % 5000
+        ok = np.flatnonzero((size * 4 >= s * 3) & (size * 3 <= s * 4) & (price <= 3 * p) & (price * 3 >= p) & (g != code))
+        order = ok[np.lexsort((ok, price[ok], abs(size[ok] - s)))][:5]
+        assert sorted(got.get(code, [])) == [(n, int(x), int(price[x])) for n, x in enumerate(order, 1)]
