@@ -140,9 +140,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cart ORDER BY delivers DESC
     row_number() OVER (PARTITION BY cart ORDER BY (n_missing = 0 AND NOT below_min) DESC, coverage DESC, total_c, chain) = 1 AS best FROM cmp)"""
 
 
+def by_cart(lines: DataFrame, cells: DataFrame, *fields: str) -> DataFrame:
+    """lines(cart, gtin, ...), cells(gtin, fields) -> the lines with the fields of each of their product's cells, dealt by cart. A line meets its
+    product's cells as arrays and is shuffled once with them; rows come of them after that, so that what is grouped by cart, or by cart
+    and chain, needs no further shuffle."""
+    cells = cells.groupBy("gtin").agg(F.collect_list(F.struct(*fields)).alias("_cells"))
+    packed = cells.select("gtin", *[F.col(f"_cells.{f}").alias(f) for f in fields])
+    return lines.join(packed, "gtin").repartition("cart").select(*lines.columns, F.inline(F.arrays_zip(*fields)))
+
+
 def comparison(spark, sf_dir: str) -> DataFrame:
-    sizes = cart_lines(spark, sf_dir).groupBy("cart").agg(F.count("*").alias("n_lines"))
-    return compare_baskets(priced_lines(spark, sf_dir), sizes, chain_fees(spark, sf_dir))
+    lines = cart_lines(spark, sf_dir)
+    met = by_cart(lines.select("cart", "gtin", "qty"), offers(spark, sf_dir).select("gtin", "chain", "price_c", "pct"), "chain", "price_c", "pct")
+    met = met.withColumns({"rules": rules_from_percent(F.col("pct"), F.col("price_c")), "weighed": F.lit(False)})
+    return compare_baskets(line_prices(met), lines.groupBy("cart").agg(F.count("*").alias("n_lines")), chain_fees(spark, sf_dir))
 
 
 @query("b13_basket_comparison", f"WITH {COMPARED} SELECT * FROM ranked")
