@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from .files import file_parts, filled, promotion_files
+from .files import PER_FILE, file_parts, filled, promotion_files
 from .market import OFFERS, PRICE_ROWS, PRODUCTS, STORES, offers, price_rows, products, stores, table
 from .scratch import shared_folder
 
@@ -28,7 +28,7 @@ def s02_flat_promotions(spark, sf_dir):
         F.struct(item.alias("Item")).alias("PromotionItems"),
     )
     path = shared_folder(spark)
-    out.write.format("xml").option("rootTag", "Promotions").option("rowTag", "Promotion").save(path)
+    out.write.format("xml").option("maxRecordsPerFile", PER_FILE).option("rootTag", "Promotions").option("rowTag", "Promotion").save(path)
     return promotion_files(spark, path).select("promo_id", "code", F.col("rate").cast("long").alias("rate"), "starts", "gift")
 
 
@@ -43,7 +43,7 @@ def s03_grouped_promotions(spark, sf_dir):
     group = F.struct(F.struct(F.col("items").alias("PromotionItem")).alias("PromotionItems"))
     out = per.select(F.concat(F.lit("p"), "gtin").alias("PromotionId"), F.struct(F.array(group).alias("Group")).alias("Groups"))
     path = shared_folder(spark)
-    out.write.format("xml").option("rootTag", "Promos").option("rowTag", "Promotion").save(path)
+    out.write.format("xml").option("maxRecordsPerFile", PER_FILE).option("rootTag", "Promos").option("rowTag", "Promotion").save(path)
     return promotion_files(spark, path).select("promo_id", "code", "reward", F.col("rate").cast("long").alias("rate"))
 
 
@@ -63,7 +63,7 @@ def store_files(spark: SparkSession, path: str) -> DataFrame:
 def s04_store_registry(spark, sf_dir):
     out = stores(spark, sf_dir).select(F.col("store").cast("string").alias("StoreId"), F.col("city").alias("City"), (F.col("chain") % 3).cast("string").alias("StoreType"))
     path = shared_folder(spark)
-    out.write.format("xml").option("rootTag", "Stores").option("rowTag", "Store").save(path)
+    out.write.format("xml").option("maxRecordsPerFile", PER_FILE).option("rootTag", "Stores").option("rowTag", "Store").save(path)
     return store_files(spark, path).select("store", "city", "kind")
 
 

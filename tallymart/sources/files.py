@@ -21,6 +21,9 @@ PROMOTION = (
     f"Groups struct<Group:array<struct<PromotionItems:struct<PromotionItem:array<{PROMO_ITEM}>>>>>"
 )
 
+#: Elements of an XML file that is written here: a scan reads such a file in one task, whatever its size.
+PER_FILE = 50_000
+
 
 def number(c: Column) -> Column:
     """A decimal from text such as `1,234.5`; null where it is none."""
@@ -117,7 +120,7 @@ def s01_xml_round_trip(spark, sf_dir):
         F.format_number(F.col("base_c") / 100, 2).alias("ItemPrice"), F.when(F.col("size") % 7 == 0, "1").otherwise("0").alias("bIsWeighted"),
     )
     path = shared_folder(spark)
-    out.write.format("xml").option("rootTag", "Items").option("rowTag", "Item").save(path)
+    out.write.format("xml").option("maxRecordsPerFile", PER_FILE).option("rootTag", "Items").option("rowTag", "Item").save(path)
     rows = drop_unpriced(price_files(spark, path))
     return rows.select("code", "name", "manufacturer", (F.col("price") * 100).cast("long").alias("price_c"), "weighed")
 
