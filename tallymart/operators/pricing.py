@@ -169,12 +169,16 @@ def w06_winning_chains(spark, sf_dir):
 
 
 def take_more_hint(lines: DataFrame, most: int = 3) -> DataFrame:
-    """The fewest units (1 to most) that can be added for no more than the line costs; null without."""
-    tries = lines.withColumns({"_qty": F.col("qty"), "_total": F.col("total_c")}).drop("total_c", "base_c", "club_c", "rule_no")
-    more = tries.withColumn("add", F.explode(F.array(*[F.lit(i) for i in range(1, most + 1)]))).withColumn("qty", F.col("_qty") + F.col("add"))
-    found = line_prices(more).filter(F.col("total_c") <= F.col("_total"))
+    """The fewest units (1 to most) that can be added for no more than the line costs; null without.
+
+    Each number of units is a column of its line, priced by line_prices() one after another: no line is repeated, and only hints are shuffled (a cart's
+    line may stand in several rows)."""
     keys = [c for c in ("cart", "line", "chain") if c in lines.columns]
-    return found.groupBy(*keys).agg(F.min("add").alias("add"))
+    more = lines.select(*keys, F.col("qty").alias("_qty"), F.col("total_c").alias("_total"), "qty", "price_c", "weighed", "rules", F.lit(None).cast("int").alias("add"))
+    for i in range(1, most + 1):
+        tried = line_prices(more.withColumn("qty", F.col("_qty") + i))
+        more = tried.withColumn("add", F.coalesce("add", F.when(F.col("total_c") <= F.col("_total"), i))).select(*more.columns)
+    return more.filter("add IS NOT NULL").groupBy(*keys).agg(F.min("add").alias("add"))
 
 
 @query(
