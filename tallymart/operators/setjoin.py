@@ -9,6 +9,7 @@ from ..functions.text import char_score, percentage, set_score, text_key, tokens
 from ..registry import query
 from ..sources.market import PRODUCTS, products
 from ..sources.scratch import written
+from .joins import tiles
 
 
 def thousandths(score: Column) -> Column:
@@ -33,42 +34,74 @@ def rare_first(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def prefixes(sets: DataFrame, others: DataFrame, own: str, other: str, at_least: int) -> DataFrame:
-    """key, toks -> a row for each size that names of the other side have and each of the first words that a name of that size must
-    meet one of: of n words of which o must be shared, the first n - o + 1 in rare-first order hold the first shared one.
+    """key, toks -> a row for each size that names of the other side have and each group of words that a name of that size must meet
+    one of: of n words of which o must be shared, the first n - o + g in rare-first order hold the first g shared ones.
 
-    Columns: tok, the two sizes, need (o), key, toks, left (words after tok). The sizes of the other side are one row: as many
-    numbers as names differ in length.
+    g is up to three, as long as the longer name has at most ``GROUPS`` such groups. A group is rarer than its words, so that names
+    which share fewer words than they must seldom meet. Columns: tok (the group's words), the two sizes, need (o), g, key, toks, left
+    (words after the group). The sizes of the other side are one row: as many numbers as names differ in length.
     """
     sizes = others.agg(F.collect_set(F.size("toks")).alias("_sizes"))
     n, k = F.size("toks"), F.col(other)
     rows = sets.join(F.broadcast(sizes)).withColumn(other, F.explode("_sizes")).withColumn("need", least_overlap(n, k, at_least)).filter("need IS NOT NULL")
-    first = F.posexplode(F.slice("toks", 1, n - F.col("need") + 1)).alias("_at", "tok")
-    return rows.select("key", "toks", n.alias(own), other, "need", first).select("tok", own, other, "need", "key", "toks", (F.col(own) - F.col("_at") - 1).alias("left"))
+    spare = F.greatest(n, k) - F.col("need")
+    g = F.when((F.col("need") >= 3) & ((spare + 3) * (spare + 2) * (spare + 1) <= 6 * GROUPS), 3).when((F.col("need") >= 2) & ((spare + 2) * (spare + 1) <= 2 * GROUPS), 2).otherwise(1)
+    rows = rows.withColumns({own: n, "g": g}).withColumn("_last", n - F.col("need") + F.col("g") - 1)
+    word, end = lambda i: F.get("toks", i), F.col("_last")
+    group = lambda *at: F.struct(F.concat_ws(" ", *map(word, at)).alias("tok"), (n - at[-1] - 1).alias("left"))
+    after = lambda i, stop, use: F.transform(F.sequence(i, stop), use)
+    one = after(F.lit(0), end, lambda i: group(i))
+    two = F.flatten(after(F.lit(0), end - 1, lambda i: after(i + 1, end, lambda j: group(i, j))))
+    three = F.flatten(after(F.lit(0), end - 2, lambda i: F.flatten(after(i + 1, end - 1, lambda j: after(j + 1, end, lambda m: group(i, j, m))))))
+    groups = F.when(F.col("g") == 3, three).when(F.col("g") == 2, two).otherwise(one)
+    return rows.select("key", "toks", own, other, "need", "g", F.inline(groups)).select("tok", own, other, "need", "g", "key", "toks", "left")
+
+
+#: Groups of words that a name meets names of one size by.
+GROUPS = 20
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, at_least: int) -> DataFrame:
     """Distinct text keys (column key) of two sides -> a, b, score (thousandths): all pairs that score at_least or more, exactly.
 
-    Words stand rarest first; a pair can only score enough if it shares a given number of words, so that one of the first few
-    words of each is common to both. Only those few are joined on, together with both sizes; a pair counts at its first common
-    word alone, where enough words must follow on both sides, and is then scored. The score is that of ``similarity`` on keys
-    (percentages are read from the key). A key without words scores half its letters at most, so at_least must be above 500.
-    Null keys match nothing; repeated keys, which callers remove, would repeat pairs. Empty tables give no pairs.
+    Words stand rarest first; a pair can only score enough if it shares a given number of words, so that the first one to three shared
+    words are among the first few of each. Only groups of those few are joined on, together with both sizes; a pair counts at its first
+    common words alone, where enough words must follow on both sides, and is then scored. Pairs that meet are dealt evenly, since
+    few rows make many. The score is that of ``similarity`` on keys (percentages are read from the key). A key without words scores
+    half its letters at most, so at_least must be above 500. Null keys match nothing; repeated keys, which callers remove, would
+    repeat pairs. Empty tables give no pairs.
     """
     if at_least <= 500:
         raise ValueError("at_least must be above 500: below, names without a common word may match")
     a, b = rare_first(left, right)
+    on = ["tok", "na", "nb"]
+    side = lambda p, end: p.select(*on, F.col("key").alias(end), F.col("toks").alias(f"t{end}"), F.col("left").alias(f"l{end}"))
     x, y = (written(p) for p in (prefixes(a, b, "na", "nb", at_least), prefixes(b, a, "nb", "na", at_least)))
-    x, y = x.alias("x"), y.drop("need").alias("y")
-    shared = F.array_intersect("x.toks", "y.toks")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("tok", "na", "nb")]
-    met = x.join(y, [*on, F.least("x.left", "y.left") + 1 >= F.col("x.need")]).withColumn("shared", shared).filter(F.get("shared", F.lit(0)) == F.col("x.tok"))
-    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.size("shared").alias("both"), "x.na", "x.nb", "x.need").filter("both >= need")
+    mine = x.select(*on, F.col("key").alias("a"), F.col("toks").alias("ta"), F.col("left").alias("la"), "need", "g")
+    met = tiles(mine, side(y, "b"), on).filter(F.least("la", "lb") + F.col("g") >= F.col("need")).withColumn("shared", F.array_intersect("ta", "tb"))
+    pairs = met.filter((F.size("shared") >= F.col("need")) & (F.concat_ws(" ", F.slice("shared", F.lit(1), F.col("g"))) == F.col("tok")))
+    pairs = pairs.select("a", "b", F.size("shared").alias("both"), "na", "nb")
     either, fewer = F.col("na") + F.col("nb") - F.col("both"), F.least("na", "nb")
     score = set_score(F.col("both"), either, fewer, char_score(F.col("a"), F.col("b")), percentage(F.col("a")), percentage(F.col("b")))
     return pairs.select("a", "b", thousandths(score).alias("score")).filter(F.col("score") >= at_least)
 
 
+#: Texts that have two labels from this score on (thousandths) aren't compared with those below.
+FIRST = 750
+
+
+def two_best(texts: DataFrame, labels: DataFrame, at_least: int) -> DataFrame:
+    """Distinct keys of two sides -> a, b, score, place: the two best labels of each text. A text with two from ``FIRST`` on has its best;
+    only the others meet those from at_least on, whose number grows much faster."""
+    rank = lambda pairs: written(pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))).filter("place <= 2"))
+    if at_least >= FIRST:
+        return rank(similar_pairs(texts, labels, at_least))
+    near = rank(similar_pairs(texts, labels, FIRST))
+    told = near.filter("place = 2").select("a")
+    rest = written(texts.join(told, texts["key"] == told["a"], "left_anti"))
+    return near.join(told, "a", "left_semi").unionByName(rank(similar_pairs(rest, labels, at_least)))
+
+
 def best_matches(entries: DataFrame, offered: DataFrame, at_least: int) -> DataFrame:
     """entries(id, own, text: one row for each name or alias), offered(label) -> id, other, score: the label most like any of an
     entry's texts, not its own; of equal scores the first in order. Entries without one have no row.
@@ -77,9 +110,8 @@ def best_matches(entries: DataFrame, offered: DataFrame, at_least: int) -> DataF
     the entry's own, unless ``own`` differs from both: either way the best other one is among them.
     """
     keyed = entries.select("id", text_key(F.col("own")).alias("own"), text_key(F.col("text")).alias("a"))
-    pairs = similar_pairs(keyed.select(F.col("a").alias("key")).distinct(), offered.select(text_key(F.col("label")).alias("key")).distinct(), at_least)
-    two = pairs.withColumn("_place", F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))).filter("_place <= 2")
-    found = keyed.join(written(two), "a").filter(~F.col("b").eqNullSafe(F.col("own")))
+    texts, labels = written(keyed.select(F.col("a").alias("key")).distinct()), written(offered.select(text_key(F.col("label")).alias("key")).distinct())
+    found = keyed.join(two_best(texts, labels, at_least), "a").filter(~F.col("b").eqNullSafe(F.col("own")))
     best = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("x"))
     return best.select("id", F.col("x.b").alias("other"), (-F.col("x.s")).alias("score"))
 

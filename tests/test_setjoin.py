@@ -58,3 +58,25 @@ def test_best_match_skips_the_own_label(spark):
     assert setjoin.best_matches(entries, offered.limit(0), 550).count() == 0 and setjoin.best_matches(entries.limit(0), offered, 550).count() == 0
     with pytest.raises(ValueError):
         setjoin.similar_pairs(offered.select(F.col("label").alias("key")), offered.select(F.col("label").alias("key")), 500)
+
+
+def test_names_of_few_words_seldom_meet_in_vain(spark):
+    """Names of five words out of about a hundred, as a catalogue has: rows that meet are few beside those that share one of the rarest words."""
+    rng = random.Random(4)
+    word = lambda kind, n: f"{kind}{rng.randrange(n)}"
+    keys = {f"{word('a', 8)} {word('b', 8)} {word('c', 25)} {word('d', 6)} {word('e', 50)}" for _ in range(3000)}
+    a, b = setjoin.rare_first(*[spark.createDataFrame([(x,) for x in keys], "key string")] * 2)
+    x, y = setjoin.prefixes(a, b, "na", "nb", 750), setjoin.prefixes(b, a, "nb", "na", 750)
+    count = lambda p, n: p.groupBy("tok", "na", "nb").agg(F.count("*").alias(n))
+    meet = count(x, "l").join(count(y, "r"), ["tok", "na", "nb"]).agg(F.sum(F.col("l") * F.col("r"))).first()[0]
+    assert meet * 100 < len(keys) ** 2
+    assert setjoin.similar_pairs(*[a.select("key")] * 2, 750).rdd.getNumPartitions() > 1
+
+
+def test_two_best_in_two_rounds_equal_one(spark, monkeypatch):
+    df = lambda xs: spark.createDataFrame([(x,) for x in {*xs}], "key string")
+    texts, labels = df(names(5, 120, 40)), df(names(6, 120, 40) + names(5, 120, 40)[::4])
+    read = lambda: {tuple(r) for r in setjoin.two_best(texts, labels, 550).select("a", "b", "score", "place").collect()}
+    two = read()
+    monkeypatch.setattr(setjoin, "FIRST", 550)
+    assert two == read() and len(two) > 50
