@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.market import OFFERS, PRICE_ROWS, PRODUCTS, STORES, offers, price_rows, products, stores
+from ..sources.scratch import written
 
 def mode_by(rows: DataFrame, keys: list[str], value: str, *ties: Column) -> DataFrame:
     """The most frequent value of each key; ties by the given columns, then by value."""
@@ -193,14 +194,25 @@ def resolve(items: DataFrame, sold: DataFrame, overrides: DataFrame) -> DataFram
 
     sold(chain, gtin, concept, price_c, in_stock), overrides(chain, gtin, item). One row for each tier that has an
     answer, the first tier stays; a product and chain without any has no row.
+
+    A product is one row with its chains' answers as an array, and a concept (or, of a product in several, their set) one with its cheapest
+    items: what a concept offers at each chain is neither shuffled nor sorted for each product.
     """
-    by_code = items.join(sold.select("chain", "gtin", "price_c"), "gtin").select("chain", "gtin", F.col("gtin").alias("item"), F.lit(2).alias("tier"), "price_c")
-    manual = overrides.join(sold.select("chain", F.col("gtin").alias("item"), "price_c"), ["chain", "item"]).select("chain", "gtin", "item", F.lit(1).alias("tier"), "price_c")
+    answer = lambda tier, item, price="price_c": F.struct("chain", F.lit(tier).alias("tier"), F.col(item).alias("item"), F.col(price).alias("price_c"))
+    by_code = sold.select("gtin", answer(2, "gtin").alias("x"))
+    manual = overrides.join(sold.select("chain", F.col("gtin").alias("item"), "price_c"), ["chain", "item"]).select("gtin", answer(1, "item").alias("x"))
+    own = by_code.unionByName(manual).groupBy(F.col("gtin").alias("_gtin")).agg(F.collect_list("x").alias("own"))
+    wanted = written(items.groupBy("gtin").agg(F.array_sort(F.collect_set("concept")).alias("concepts")))
     cheapest = sold.filter("in_stock AND price_c > 0").groupBy("chain", "concept").agg(F.min(F.struct("price_c", "gtin")).alias("x"))
-    by_class = items.join(cheapest, "concept").select("chain", "gtin", F.col("x.gtin").alias("item"), F.lit(3).alias("tier"), "x.price_c")
-    tiers = manual.unionByName(by_code).unionByName(by_class)
-    best = tiers.groupBy("chain", "gtin").agg(F.min(F.struct("tier", "item", "price_c")).alias("x"))
-    return best.select("chain", "gtin", "x.item", F.element_at(F.array(*map(F.lit, ("manual", "code", "concept"))), F.col("x.tier")).alias("method"), "x.price_c")
+    of_set = wanted.select("concepts").distinct().select("concepts", F.explode("concepts").alias("concept")).join(cheapest, "concept")
+    of_set = of_set.groupBy("concepts", "chain").agg(F.min(F.struct(F.col("x.gtin").alias("item"), "x.price_c")).alias("y"))
+    by_class = written(of_set.groupBy("concepts").agg(F.collect_list(answer(3, "y.item", "y.price_c")).alias("others")))
+    met = wanted.join(own, F.col("gtin").eqNullSafe(F.col("_gtin")), "full").join(by_class, "concepts", "left")
+    known = F.filter("own", lambda x: (x["tier"] == 1) | (F.col("concepts").isNotNull() & F.col("gtin").isNotNull()))
+    in_order = F.array_sort(F.concat(*[F.coalesce(c, F.array().cast(met.schema["own"].dataType)) for c in (known, F.col("others"))]))
+    first = F.transform(F.array(in_order), lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~x["chain"].eqNullSafe(F.get(xs, i - 1)["chain"])))
+    best = met.select(F.coalesce("gtin", "_gtin").alias("gtin"), F.get(first, F.lit(0)).alias("best")).select("gtin", F.inline("best"))
+    return best.select("chain", "gtin", "item", F.element_at(F.array(*map(F.lit, ("manual", "code", "concept"))), F.col("tier")).alias("method"), "price_c")
 
 
 RESOLVED = f"""{OFFERS}, {PRODUCTS}, sold AS (SELECT o.chain, gtin, name AS concept, price_c, in_stock FROM offers o JOIN products USING (gtin)),
@@ -213,7 +225,7 @@ resolved AS (SELECT chain, gtin, item, (['manual', 'code', 'concept'])[tier] AS
 
 def resolved(spark, sf_dir: str) -> DataFrame:
     items = products(spark, sf_dir).select("gtin", F.col("name").alias("concept"))
-    sold = offers(spark, sf_dir).join(items, "gtin").select("chain", "gtin", "concept", "price_c", "in_stock")
+    sold = written(offers(spark, sf_dir).join(items, "gtin").select("chain", "gtin", "concept", "price_c", "in_stock"))
     overrides = sold.filter("gtin % 50 = 7").select("chain", "gtin", (F.col("gtin") + 1).alias("item"))
     return resolve(items, sold, overrides)
 

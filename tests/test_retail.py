@@ -158,3 +158,21 @@ def test_neighbours_and_votes(spark):
 def test_chunks(spark):
     docs = spark.createDataFrame([(1, "\n".join(map(str, range(45)))), (2, ""), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.chunk, r.first_line, r.n_lines) for r in retrieval.chunks(docs).collect()) == [(1, 0, 1, 20), (1, 1, 21, 20), (1, 2, 41, 5), (2, 0, 1, 1)]
+
+
+def test_resolution_keeps_a_product_in_one_row(spark):
+    """A concept's answers meet a product as one array: nothing is grouped by chain and product after that. Repeated products, two
+    concepts of one, products without a concept and codes that aren't in the catalogue."""
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None), (4, "b"), (None, "a")], "gtin long, concept string")
+    sold = spark.createDataFrame(
+        [(0, 1, "a", 9, True), (0, 8, "a", 7, True), (0, 6, "b", 5, True), (1, 4, "b", 8, False), (1, 3, "c", 4, True), (1, 2, "a", 6, True), (1, 2, "a", 5, True)],
+        "chain int, gtin long, concept string, price_c long, in_stock boolean",
+    )
+    over = spark.createDataFrame([(1, 4, 3), (0, 2, 99), (0, 77, 8)], "chain int, gtin long, item long")
+    out = catalogue.resolve(items, sold, over)
+    assert "Aggregate [chain" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.chain, -1 if r.gtin is None else r.gtin, r["item"], r.method, r.price_c) for r in out.collect())
+    assert got == [
+        (0, -1, 8, "concept", 7), (0, 1, 1, "code", 9), (0, 2, 8, "concept", 7), (0, 4, 6, "concept", 5), (0, 77, 8, "manual", 7),
+        (1, -1, 2, "concept", 5), (1, 1, 2, "concept", 5), (1, 2, 2, "code", 5), (1, 3, 3, "code", 4), (1, 4, 3, "manual", 4),
+    ]
