@@ -6,6 +6,7 @@ holds what the watermark has closed.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,36 +69,53 @@ def t04_failure_rate(spark, sf_dir):
     return run(out)
 
 
+#: A report that waits: 17 bytes. FAILED and NO_ID are its flags.
+REPORT = np.dtype([("micros", "<i8"), ("event_id", "<i8"), ("flags", "i1")])
+FAILED, NO_ID = 1, 2
+#: Rows of one frame that a chain's reports come out in.
+FRAME = 100_000
+
+
 def last_ten_in_order(key, parts, state: GroupState):
     """As last_ten(), but in order of event time: reports wait in the state until the watermark has passed them, so that late ones still
-    take their place; those that come after the watermark are dropped by Spark. A chain's state is the reports of the watermark's delay and ten outcomes."""
+    take their place; those that come after the watermark are dropped by Spark. A chain's state is the reports of the watermark's delay and
+    ten outcomes. Reports are packed, in the state and here: the first batch of a stream has no watermark, so that all of it waits."""
     (chain,) = key
-    held, waiting = ([list(x) for x in state.get] if state.exists else [[], []])
-    waiting = [tuple(x) for x in waiting]
+    held, waiting = (np.frombuffer(x, kind) for x, kind in zip(state.get if state.exists else (b"", b""), (np.int8, REPORT)))
+    packed = [waiting]
     for rows in parts:
-        waiting.extend(zip(rows["micros"].tolist(), rows["event_id"].tolist(), (~rows["ok"].astype(bool)).astype(int).tolist()))
+        packed.append(np.empty(len(rows), REPORT))
+        for name in REPORT.names:
+            packed[-1][name] = rows[name].to_numpy()
+    waiting = np.concatenate(packed)
+    del packed
     closed = state.getCurrentWatermarkMs()
-    waiting.sort()
-    due = [w for w in waiting if w[0] < closed * 1000]
-    waiting = waiting[len(due) :]
-    out = []
-    for _, event_id, failed in due:
-        held = [*held, failed][-10:]
-        if len(held) >= 3 and 2 * sum(held) >= len(held):
-            out.append((event_id, chain, sum(held), len(held)))
-    state.update((held, waiting))
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, closed + 1))
-    yield pd.DataFrame(out, columns=["event_id", "chain", "failed", "n"])
+    passed = waiting["micros"] < closed * 1000
+    due, waiting = waiting[passed], waiting[~passed]
+    order = np.lexsort((due["event_id"], due["flags"] & NO_ID, due["micros"]))
+    outcomes = np.concatenate((held, due["flags"][order] & FAILED))
+    state.update((outcomes[-10:].tobytes(), waiting.tobytes()))
+    if len(waiting):
+        state.setTimeoutTimestamp(max(int(waiting["micros"].min()) // 1000, closed + 1))
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(outcomes, dtype=np.int64)))
+    for at in range(0, max(len(due), 1), FRAME):
+        rows, end = due[order[at : at + FRAME]], len(held) + np.arange(at, min(at + FRAME, len(due))) + 1
+        n = np.minimum(end, 10)
+        failed = sums[end] - sums[end - n]
+        hit = (n >= 3) & (2 * failed >= n)
+        ids = pd.arrays.IntegerArray(rows["event_id"][hit], (rows["flags"][hit] & NO_ID) > 0)
+        yield pd.DataFrame({"event_id": ids, "chain": pd.array([chain] * len(ids), dtype="Int32"), "failed": failed[hit], "n": n[hit]})
 
 
 def failure_rates(reports: DataFrame, late: str = LATE) -> DataFrame:
     """A stream of event_id, chain, ts, ok -> event_id, chain, failed, n: the reports at which half of a chain's last ten by event time,
     three at least, had failed. A report counts once the watermark (``late`` behind the newest) has passed it, however the reports
-    were cut into batches."""
-    s = reports.select("event_id", "chain", "ts", "ok", F.unix_micros("ts").alias("micros")).withWatermark("ts", late)
-    kept = "held array<long>, waiting array<struct<micros:long,event_id:long,failed:long>>"
-    return s.groupBy("chain").applyInPandasWithState(last_ten_in_order, "event_id long, chain int, failed long, n long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    were cut into batches. One without a time never does; one without an outcome hasn't failed; one without an id comes after others of its time."""
+    flags = F.when(~F.col("ok"), FAILED).otherwise(0) + F.when(F.col("event_id").isNull(), NO_ID).otherwise(0)
+    packed = [F.unix_micros("ts").alias("micros"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("event_id"), flags.cast("tinyint").alias("flags")]
+    s = reports.filter("ts IS NOT NULL").select("chain", "ts", *packed).withWatermark("ts", late)
+    out = "event_id long, chain int, failed long, n long"
+    return s.groupBy("chain").applyInPandasWithState(last_ten_in_order, out, "held binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @query(

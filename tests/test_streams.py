@@ -1,7 +1,11 @@
 """Streams fed in several batches."""
 
+import tracemalloc
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallymart.operators import audits
@@ -59,3 +63,28 @@ def test_prints_follow_changes(spark):
     changed = audits.after_change(p(old), p([(2, "d"), (4, "e")]), p([(1, "a"), (3, "c")]), "k")
     assert read(changed) == read(p(new))
     assert read(p([(5, None)]))[0][1:] == read(p([(5, "")]))[0][1:]
+
+
+def test_waiting_reports_are_packed():
+    """A chain's reports, all of a batch before the first watermark, take 17 bytes each in the state and under 100 while it is made."""
+    n, batch = 300_000, 10_000
+    frame = lambda at: pd.DataFrame({"micros": np.arange(at, at + batch)[::-1], "event_id": np.arange(at, at + batch), "flags": np.ones(batch, np.int8), "ok": False})
+    kept = []
+    state = SimpleNamespace(exists=False, getCurrentWatermarkMs=lambda: 0, update=kept.append, setTimeoutTimestamp=lambda at: None)
+    tracemalloc.start()
+    assert sum(map(len, alerts.last_ten_in_order((3,), (frame(at) for at in range(0, n, batch)), state))) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept[0][1]) == 17 * n and peak < 100 * n, peak
+    state = SimpleNamespace(exists=True, get=kept[0], getCurrentWatermarkMs=lambda: 200, update=kept.append, setTimeoutTimestamp=lambda at: None)
+    out = pd.concat(alerts.last_ten_in_order((3,), iter(()), state))
+    assert len(out) == 200_000 - 2 and out["event_id"].iloc[0] == batch - 3 and len(kept[1][1]) == 17 * 100_000
+
+
+def test_reports_with_gaps(spark, tmp_path):
+    """No outcome is no failure, as in SQL; no time never counts; no id comes last of its time."""
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    rows = [(1, 0, at(0), None), (2, 0, at(1), None), (3, 0, None, False), (4, 0, at(2), None), (None, 0, at(3), False), (5, 0, at(3), False), (6, 0, at(4), False), (7, 0, at(60), True)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = alerts.run(alerts.failure_rates(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")))
+    assert [tuple(r) for r in got.collect()] == [(6, 0, 3, 6)]
