@@ -16,9 +16,10 @@ Null, empty and wordless texts have fingerprint zero and are linked like any oth
 table gives an empty result.
 
 ``similar`` is the form for stages: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At 0.8
-SimHash's majority bits differ in about 15 % of places, so that balls of ten fingerprints find 0.71 of the pairs only. Its
-fingerprints therefore have one bit of the least hash of the set under each of 320 orders, of which 10 % differ at 0.8: ten of 32 bits
-each meet within two bits by the same balls for 0.99 of such pairs, and each pair found is decided by its exact similarity (see there).
+SimHash's majority bits differ in about 15 % of places, so that balls of ten fingerprints find 0.71 of the pairs only. It takes the
+least hashes of the set under each of 320 orders instead: of each one bit for a fingerprint, of which 10 % differ at 0.8, and ten at a time
+as 45 bands, one of which at least is equal for 0.99 of such pairs. Texts that share a band are compared, first by fingerprints, then by
+their exact similarity (see there). Unlike balls of 32 bits, bands of 64 don't meet by chance, however many the texts.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ CHUNK = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Of ``similar``: words a shingle, least Jaccard similarity as a fraction's parts, longs of fingerprint bits.
 SHINGLE, SHARE, LONGS = 5, (4, 5), 5
-#: Nodes of a value's largest root that the others are compared with before all pairs are.
-REPS = 4
+#: Bands for each long of fingerprint bits, and least hashes a band: 45 of ten find 0.99 of pairs at the share.
+BANDS, LEAST = 9, 10
 #: Longs of a sketch of a shingle set, and how many standard deviations sketches may be farther apart than those of sets at the share.
 SKETCH, SIGMAS = 32, 5
 
@@ -171,11 +172,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -
     return fps.join(named, "fp").select("doc_id", "tkey", "fp", "root", "component_id")
 
 
-def signature(text: bytes | None, longs: int, n: int = SHINGLE) -> tuple[int, list[int]]:
-    """A hash of the words, and the sketch of the set of n-word shingles, 64 bits a long."""
+def signature(text: bytes | None, longs: int, n: int = SHINGLE) -> tuple[int, list[int], np.ndarray]:
+    """A hash of the words, and of the set of n-word shingles the sketch, 64 bits a long, and the bands."""
     words = (text or b"").lower().split()
     node = xxhash.xxh64_intdigest(b" ".join(words), 7)
-    return node - (1 << 64 if node >> 63 else 0), sketch(shingles(words, n), longs).tolist()
+    least = least_hashes(shingles(words, n), longs)
+    return node - (1 << 64 if node >> 63 else 0), bits_of(least).tolist(), bands(least, longs)
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -193,46 +195,52 @@ def orders(longs: int) -> tuple[np.ndarray, np.ndarray]:
     return mix, odd << np.uint64(1) | np.uint64(1)
 
 
-def sketch(h: np.ndarray, longs: int = SKETCH) -> np.ndarray:
-    """Of distinct hashes, one bit of the least under each of 64 * longs orders: two sets of similarity s differ in (1 - s) / 2 of them."""
+def least_hashes(h: np.ndarray, longs: int) -> np.ndarray:
+    """The least of distinct hashes under each of 64 * longs orders."""
     mix, odd = orders(longs)
     least = np.full(64 * longs, ~np.uint64(0))
     for at in range(0, len(h), 256):  # a part of a very long text at a time
         np.minimum(least, ((h[None, at : at + 256] ^ mix) * odd).min(axis=1), out=least)
+    return least
+
+
+def bits_of(least: np.ndarray) -> np.ndarray:
     return np.packbits((least * MIX >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def sketch(h: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Of distinct hashes, one bit of the least under each of 64 * longs orders: two sets of similarity s differ in (1 - s) / 2 of them."""
+    return bits_of(least_hashes(h, longs))
+
+
+@functools.lru_cache
+def picks(longs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each band the orders whose least hashes it takes, and a factor for each."""
+    rng = np.random.default_rng(12)
+    orders = np.array([rng.choice(64 * longs, LEAST, replace=False) for _ in range(BANDS * longs)])
+    return orders, rng.integers(0, 1 << 63, orders.shape, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def bands(least: np.ndarray, longs: int) -> np.ndarray:
+    """A value of 64 bits for each band: sets of similarity s have the same one with a probability of s ** LEAST."""
+    which, odd = picks(longs)
+    return (least[which] * odd).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def with_signature(docs: DataFrame, longs: int, n: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tkey (a hash of the text), node (a hash of its words), w0, w1 and so on."""
+    """docs(doc_id, text) -> doc_id, tkey (a hash of the text), node (a hash of its words), w0, w1 and so on, bands."""
     names = [f"w{k}" for k in range(longs)]
 
     def run(parts):
         for part in parts:
             found = [signature(t.as_py(), longs, n) for t in part.column(2)]
-            ws = [pa.array([w[k] for _, w in found], pa.int64()) for k in range(longs)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v for v, _ in found], pa.int64()), *ws], ["doc_id", "tkey", "node", *names])
+            ws = [pa.array([w[k] for _, w, _ in found], pa.int64()) for k in range(longs)]
+            keys = pa.array([b for _, _, b in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v for v, _, _ in found], pa.int64()), *ws, keys], ["doc_id", "tkey", "node", *names, "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cols = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text"))
-    return cols.mapInArrow(run, f"doc_id {kind}, tkey long, node long, " + ", ".join(f"{w} long" for w in names))
-
-
-def emit_tables(nodes: DataFrame, longs: int) -> DataFrame:
-    """nodes(node, w0, ...) -> key, node: the balls of radius 1 of each 32 bits, keys of different places kept apart."""
-    masks = ball(32, 1)
-
-    def run(parts):
-        for part in parts:
-            for at in range(0, part.num_rows, 256):
-                cut = part.slice(at, 256)
-                node = np.repeat(cut.column(0).to_numpy(), len(masks))
-                for place in range(2 * longs):
-                    w = cut.column(1 + place // 2).to_numpy().view(np.uint64)
-                    x = (w >> np.uint64(32 * (place % 2))) & np.uint64((1 << 32) - 1)
-                    key = (x[:, None] ^ masks[None, :]) | np.uint64(place << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
-
-    return nodes.mapInArrow(run, "key long, node long")
+    return cols.mapInArrow(run, f"doc_id {kind}, tkey long, node long, " + ", ".join(f"{w} long" for w in names) + ", bands array<long>")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
@@ -318,26 +326,21 @@ def similar(docs: DataFrame, longs: int = LONGS, n: int = SHINGLE, share: tuple[
     """docs(doc_id, text) -> doc_id, tkey, root: documents are of one root where links join them, a link being two texts whose
     sets of n-word shingles have a Jaccard similarity of share (4 / 5) or more.
 
-    Texts with the same words (by a 64-bit hash) are one node. Each of the 2 * longs fingerprints of 32 bits emits its ball of
-    radius 1; nodes with a value in common are compared. First, each value's smallest node with its other nodes, then those that
-    are not of the value's largest root with a few of it, others in each value: large groups come together by that. Last, in
-    values whose nodes are still of several roots, the nodes across roots are joined where sketches of their shingle sets (2,048
-    bits, made for these nodes only) are close: no pair that meets and could join two roots goes unlooked at, none inside a root
-    is, and of a large group of texts that are less alike no rows come out but those near the share.
+    Texts with the same words (by a 64-bit hash) are one node; nodes with a band in common are compared. First, each band's
+    smallest node with its other nodes: large groups come together by that. Then, in bands whose nodes are still of several roots,
+    the nodes across roots are joined where sketches of their shingle sets (2,048 bits, made for these nodes only) are close: no
+    pair that meets and could join two roots goes unlooked at, none inside a root is, and of a large group of texts that are less
+    alike no rows come out but those near the share.
 
-    Of pairs at exactly 0.8 ten fingerprints find 0.99, of those at 0.85 and more nearly all (``longs`` raises that: 330 rows a text at 5).
+    Of pairs at exactly 0.8 the bands find 0.99, of those at 0.85 and more nearly all (``longs`` raises that: 45 rows a text at 5).
     Null, empty and wordless texts are one node; texts of fewer than n words link to those of the same words only.
     """
     ws = [f"w{k}" for k in range(longs)]
     signed = written(with_signature(docs, longs, n))
-    nodes = written(signed.groupBy("node").agg(F.min("tkey").alias("tkey"), *[F.min(w).alias(w) for w in ws]))
-    met = written(gathered(emit_tables(nodes.select("node", *ws), longs).repartition("key").sortWithinPartitions("key", "node")))
+    nodes = written(signed.groupBy("node").agg(F.min("tkey").alias("tkey"), *[F.min(w).alias(w) for w in ws], F.min("bands").alias("bands")))
+    met = written(gathered(nodes.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")))
     verify = lambda pairs: similar_pairs(pairs, nodes, docs, longs, n, share)
     stars = verify(met.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    rows = across(met, written(components(stars)))
-    reps = rows.filter("root = main").groupBy("key").agg(F.array(*[F.min_by("node", F.xxhash64("node", "key", F.lit(k))) for k in range(REPS)]).alias("reps"))
-    tried = rows.filter("root <> main").join(written(reps), "key").select("node", F.explode("reps").alias("rep"))
-    stars = written(stars.unionByName(verify(tried.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())))
 
     rows = across(met, written(components(stars)))
     keys = written(rows.select("node").distinct().join(nodes.select("node", "tkey"), "node"))

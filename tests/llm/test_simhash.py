@@ -159,3 +159,25 @@ def test_sketches_differ_by_similarity(size):
         if alike >= 0.8:
             assert differ <= simhash.sketch_limit((4, 5))
     assert simhash.sketch(np.zeros(0, np.uint64)).shape == (simhash.SKETCH,)
+
+
+@pytest.mark.parametrize("changed, most", [(3, 10), (60, 0)])
+def test_few_rows_meet_of_texts_that_are_less_alike(spark, monkeypatch, changed, most):
+    """Copies of one text with words changed, at a similarity of about 0.4 to each other, and unrelated texts: each was in dozens of values before."""
+    rng, met, gathered = random.Random(17), [], simhash.gathered
+
+    def counted(rows):
+        met.append(gathered(rows).count())
+        return gathered(rows)
+
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        for at in rng.sample(range(60), changed):
+            copy[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(simhash, "gathered", counted)
+    got = groups(spark, rows)
+    assert met[0] <= most * len(rows), met
+    assert changed < 60 or all(got[i] == i for i in got)
