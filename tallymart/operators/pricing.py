@@ -143,8 +143,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cart ORDER BY delivers DESC
 def by_cart(lines: DataFrame, cells: DataFrame, *fields: str) -> DataFrame:
     """lines(cart, gtin, ...), cells(gtin, fields) -> the lines with the fields of each of their product's cells, dealt by cart. A line meets its
     product's cells as arrays and is shuffled once with them; rows come of them after that, so that what is grouped by cart, or by cart
-    and chain, needs no further shuffle."""
-    cells = cells.groupBy("gtin").agg(F.collect_list(F.struct(*fields)).alias("_cells"))
+    and chain, needs no further shuffle. Arrays are sorted, so that what products have in common (the chains, as first field) compresses."""
+    cells = cells.groupBy("gtin").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_cells"))
     packed = cells.select("gtin", *[F.col(f"_cells.{f}").alias(f) for f in fields])
     return lines.join(packed, "gtin").repartition("cart").select(*lines.columns, F.inline(F.arrays_zip(*fields)))
 
