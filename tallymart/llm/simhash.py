@@ -358,15 +358,24 @@ def similar(docs: DataFrame, longs: int = LONGS, n: int = SHINGLE, share: tuple[
 
 def keep_one(docs: DataFrame, groups=similar) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, of equal ids that with the smallest hash of its text; null
-    ids come last. A document is its id and text: its equal rows stay with it, rows of the same id with another text don't.
+    ids come last. A document is its id and text: its equal rows stay with it, rows of the same id with another text don't. Rows
+    without an id are documents of their own: of those with one text one stays (by a hash of its other columns).
 
-    Only what goes is joined with the texts, which aren't shuffled where that is little.
+    Only what goes is joined with the texts, which aren't shuffled where that is little; texts of several rows without an id are.
     """
     near = written(groups(docs.select("doc_id", "text")).select("doc_id", "tkey", "root"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
     first = written(near.groupBy("root").agg(F.min(own).alias("first")))
     gone = written(near.join(first, "root").filter(own != F.col("first")).select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_key")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tm_id")) & (F.xxhash64(docs["text"]) == F.col("_tm_key")), "left_anti")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tm_id")) & (F.xxhash64(docs["text"]) == F.col("_tm_key")), "left_anti")
+    again = written(near.filter("doc_id IS NULL").groupBy(F.col("tkey").alias("_tm_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_tm_key"))
+    if again.isEmpty():
+        return left
+    copy = left["doc_id"].isNull() & (F.xxhash64(left["text"]) == F.col("_tm_key"))
+    rest = [c for c in docs.columns if c != "text"]
+    by = F.xxhash64(*[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
+    ones = left.join(again, copy, "left_semi").groupBy("text").agg(F.min_by(F.struct(*rest), by).alias("_tm_row")).select("text", "_tm_row.*")
+    return left.join(again, copy, "left_anti").unionByName(ones)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -71,6 +71,17 @@ def test_empty_and_repeated(spark):
     assert [r.doc_id for r in simhash.keep_one(twice).collect()] == [1, 1]
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """One of those with a text stays, as of any group; before, all of them did. None stays beside one with an id."""
+    text, other = "a b c d e f g h", "q r s t u v w x"
+    rows = [(None, text, s, 1) for s in ("y", "x", "x", None)] + [(7, other, "z", 1), (None, other, "x", 2), (None, other, "y", 2), (None, None, "n", 3), (None, None, "m", 3), (None, "", "o", 3), (None, "k l m n o p", "p", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    first, again = (sorted(map(repr, simhash.keep_one(d).collect())) for d in (docs, docs.repartition(2, "source")))
+    got = simhash.keep_one(docs)
+    assert first == again and got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, text), (0, "k l m n o p"), (7, other)]
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(7, 7), (60, 59)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
